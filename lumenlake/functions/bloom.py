@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks that build partial filters; their number, not the table's, bounds what the merging task receives.
+BUILDERS = 32
+
 #: Size limit of a filter, so of what is broadcast: 8 MiB. More keys only raise the share of false positives.
 MAX_BITS = 8 * 1024 * 1024 * 8
 
@@ -34,9 +37,10 @@ def bloom_filter(df: DataFrame, key: Column, expected: int, bits: int | None = N
     bits = min(bits or max(1024, expected * 12), MAX_BITS)
     catalyst = spark._jvm.org.apache.spark.sql.catalyst.expressions
     build = catalyst.aggregate.BloomFilterAggregate(
-        _expression(spark, F.xxhash64(key)), _expression(spark, F.lit(max(1, expected)).cast("long")), _expression(spark, F.lit(bits).cast("long"))
+        _expression(spark, F.col("h")), _expression(spark, F.lit(max(1, expected)).cast("long")), _expression(spark, F.lit(bits).cast("long"))
     )
-    return df.where(key.isNotNull()).agg(_classic(spark, build.toAggregateExpression()).alias("filter"))
+    hashes = df.where(key.isNotNull()).select(F.xxhash64(key).alias("h")).distinct().coalesce(BUILDERS)
+    return hashes.agg(_classic(spark, build.toAggregateExpression()).alias("filter"))
 
 
 def might_contain(filter_df: DataFrame, key: Column) -> Column:

@@ -16,7 +16,7 @@ from ..functions.bloom import bloom_filter, might_contain
 _WRAPPING = "{}()[]<>\"'- \t\r\n ​﻿"
 
 #: Keys that the filter is laid out for at 12 bits each; with more keys only the false positives rise.
-EXPECTED_PARENTS = 5_000_000
+EXPECTED_PARENTS = 2_500_000
 
 
 def uuid_key(ref: Column) -> Column:
