@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, skeleton, tokenizers
+from . import langid, packing, skeleton, tokenizers
 from .sql import ORACLE  # noqa: F401
 
 FIELDS = ["caption", "search_text"]
@@ -49,4 +49,33 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), table(spark, d, "pack_capacities"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_consistent, p2_classes, p8_ids, p8_round_trip, p9_pack, p9_fill)}
+def _captions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "insta_content").select("id", F.col("caption").alias("text")).where("id IS NOT NULL AND caption IS NOT NULL")
+
+
+def _caption_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "caption_labels").select(F.col("insta_content_id").alias("id"), F.col("lang").alias("label"))
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    captions = _captions(spark, d)
+    return langid.segments(captions, langid.fit(captions, _caption_labels(spark, d)))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    wrong = langid.mislabelled(langid.text_languages(_segments(spark, d)), _caption_labels(spark, d))
+    return wrong.select(F.col("id").alias("insta_content_id"), "lang")
+
+
+def p6_captions(spark: SparkSession, d: str) -> DataFrame:
+    return langid.text_languages(_segments(spark, d)).withColumnRenamed("id", "insta_content_id")
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).withColumnRenamed("id", "insta_content_id").distinct()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_consistent, p2_classes, p6_found, p6_captions, p6_segments, p8_ids, p8_round_trip, p9_pack, p9_fill)
+}
