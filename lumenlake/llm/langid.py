@@ -52,12 +52,13 @@ NO_LANGUAGE = "xx xxx un und unk unknown na n/a nan none null nil no-language zx
 
 def label_code(label: Column) -> Column:
     """Two-letter code of a declared language; null where the label names none. Languages outside the model keep a code or name of their own."""
-    text = F.lower(F.regexp_replace(label, r"^[\s  ]+|[\s  ]+$", ""))
+    text = F.lower(F.btrim(label, F.lit(" \t\r\n\u00a0\u3000")))
     base = F.regexp_replace(F.regexp_replace(text, r"\(.*\)$", ""), r"[-_][a-z0-9]{2,8}([-_.@].*)?$", "")
     base = F.trim(base)
     known = F.create_map(*(F.lit(x) for code, names in LANGUAGES.items() for name in names for x in (name, code)))
     return (
-        F.when(text.isNull() | (text == "") | text.isin(*NO_LANGUAGE) | base.isin(*NO_LANGUAGE), None)
+        F.when(F.map_contains_key(known, text), F.element_at(known, text))  # most labels need no pattern
+        .when(text.isNull() | (text == "") | text.isin(*NO_LANGUAGE) | base.isin(*NO_LANGUAGE), None)
         .when(F.map_contains_key(known, base), F.element_at(known, base))
         .when(base.isin(*OTHER_NAMES) | base.rlike("^[a-z]{2,3}$"), base)
     )
@@ -106,13 +107,13 @@ def normal(text: str) -> str:
 # Features
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all texts: ``owner`` (ascending index of the text) and ``feature`` of each occurrence."""
+def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed n-grams of all texts, for each order: ``owner`` (ascending index of the text) and ``feature`` of each occurrence."""
     codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     owner = np.cumsum(codes == 10) - (codes == 10)
     inside = codes != 10
     h = np.zeros(len(codes), np.uint64)
-    owners, features = [], []
+    out = []
     ok = np.ones(len(codes), bool)
     for n in range(1, max(ORDERS) + 1):
         k = len(codes) - n + 1
@@ -123,11 +124,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ok = ok[:k] & inside[n - 1 :]
         if n in ORDERS:
             at = np.flatnonzero(ok)
-            owners.append(owner[at])
-            features.append(((h[at] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64))
-    o, f = np.concatenate(owners), np.concatenate(features)
-    order = np.argsort(o, kind="stable")
-    return o[order], f[order]
+            out.append((owner[at], ((h[at] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)))
+    return out
 
 
 def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -141,8 +139,8 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
             for at in range(0, len(texts), 32):
                 part = [" " + " ".join(normal(t).lower().split()) + " " for t in texts[at : at + 32]]
                 seen = np.zeros((len(part), 1 << BITS), bool)
-                o, f = grams(part)
-                seen[o, f] = True
+                for o, f in grams(part):
+                    seen[o, f] = True
                 total += seen.sum(axis=0)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["feature", "n"])
@@ -167,11 +165,14 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros((0, len(self.languages)))
-        o, f = grams(texts)
-        starts = np.searchsorted(o, np.arange(len(texts)))
-        idf = self.idf[f]
-        norm = np.sqrt(np.add.reduceat(idf * idf, starts))
-        return np.add.reduceat(self.weights[f], starts, axis=0) / np.maximum(norm, 1e-9)[:, None] + self.bias
+        norm, total = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
+        for o, f in grams(texts):
+            starts = np.searchsorted(o, np.arange(len(texts) + 1))
+            there = np.flatnonzero(starts[1:] > starts[:-1])
+            if len(there):
+                norm[there] += np.add.reduceat(self.idf[f] ** 2, starts[there])
+                total[there] += np.add.reduceat(self.weights[f], starts[there], axis=0)
+        return total / np.sqrt(np.maximum(norm, 1e-9))[:, None] + self.bias
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return softmax(self.scores(texts) / self.temperature)
@@ -192,7 +193,10 @@ def train(texts: list[str], labels: list[str], df: np.ndarray, n_docs: int, alph
     zb, nb = np.zeros(k), np.zeros(k)
     order = np.random.default_rng(seed).permutation(len(texts))
     held, fit = order[: len(order) // 10], order[len(order) // 10 :]
-    o, f = grams(texts) if texts else (np.zeros(0, int), np.zeros(0, int))
+    parts = grams(texts)
+    o, f = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    by_owner = np.argsort(o, kind="stable")
+    o, f = o[by_owner], f[by_owner]
     starts = np.searchsorted(o, np.arange(len(texts) + 1))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import langid, packing, skeleton, tokenizers
+from . import langid, packing, skeleton, tokenizers, toxicity
 from .sql import ORACLE  # noqa: F401
 
 FIELDS = ["caption", "search_text"]
@@ -75,7 +75,24 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).withColumnRenamed("id", "insta_content_id").distinct()
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, d, "document_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.source_rates(_scored(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_consistent, p2_classes, p6_found, p6_captions, p6_segments, p8_ids, p8_round_trip, p9_pack, p9_fill)
+    for f in (p2_found, p2_consistent, p2_classes, p6_found, p6_captions, p6_segments, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)
 }
