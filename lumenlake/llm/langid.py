@@ -66,14 +66,19 @@ def label_code(label: Column) -> Column:
 
 # Texts into sentences
 
-_NOISE = re.compile(
-    r"https?://\S+|www\.\S+|[\w.+-]+\s*@\s*[\w-]+(?:\.[\w-]+)+|(?<!\w)[#@]\w[\w.]*|\b\w*\d[\w:./,x×-]*", re.UNICODE
-)
+_ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+\s*@\s*[\w-]+(?:\.[\w-]+)+")
+_TAG = re.compile(r"(?<!\w)[#@]\w[\w.]*")
+_DIGITS = re.compile(r"[^\W\d]*\d[\w:./,×-]*")
+_ANY_DIGIT = re.compile(r"\d")
 _END = re.compile(r"(?<=[.!?…])[\s]+|(?<=[。！？])|\n+|\s[/|·•–—]\s|[^\w\s.,;:!?…'’‘\"“”«»()&%/+*=°§$€£¿¡、。「」・ー〜！？（）,-]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]")
 
 
+def _blank(m: re.Match) -> str:
+    return " " * len(m.group())
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, cleaned)`` of the sentences of a text; positions are those of the original text.
 
@@ -82,7 +87,13 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     or five ideographs or kana.
     """
     out, last = [], 0
-    blanked = _NOISE.sub(lambda m: " " * len(m.group()), text)
+    blanked = text
+    if "@" in text or "://" in text or "www." in text:
+        blanked = _ADDRESS.sub(_blank, blanked)
+    if "#" in text or "@" in text:
+        blanked = _TAG.sub(_blank, blanked)
+    if _ANY_DIGIT.search(blanked):
+        blanked = _DIGITS.sub(_blank, blanked)
     for m in _END.finditer(blanked + "\n"):
         start, end, last = last, m.start(), m.end()
         part = blanked[start:end]

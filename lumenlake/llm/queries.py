@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import langid, packing, skeleton, tokenizers, toxicity
+from . import langid, packing, pii, skeleton, tokenizers, toxicity
 from .sql import ORACLE  # noqa: F401
 
 FIELDS = ["caption", "search_text"]
@@ -75,6 +75,20 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).withColumnRenamed("id", "insta_content_id").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.found(table(spark, d, "insta_content").where("id IS NOT NULL"), "id", "caption")
+    return found.select(F.col("id").alias("insta_content_id"), "pii_type").distinct()
+
+
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "insta_content"), "id", "caption").withColumnRenamed("id", "insta_content_id").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    posts = table(spark, d, "insta_content")
+    return posts.select(F.col("id").alias("insta_content_id"), pii.redacted(F.col("caption")).alias("caption")).distinct()
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, d, "document_labels")))
@@ -94,5 +108,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_consistent, p2_classes, p6_found, p6_captions, p6_segments, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)
+    for f in (p2_found, p2_consistent, p2_classes, p5_found, p5_spans, p5_redacted, p6_found, p6_captions, p6_segments, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)
 }

@@ -63,6 +63,19 @@ class _Shape(dict):
 
 _SHAPE = _Shape()
 _PLAIN = re.compile(r"[\n\x20-\x7e]*\Z")
+_OTHER = re.compile(r"[^\n\x20-\x7e]+")
+_FOLDED: dict[str, str] = {}
+
+
+def _fold(run: re.Match) -> str:
+    """The prototype of a run of other than plain characters; decomposing it apart is the same as within the text."""
+    text = run.group()
+    if (out := _FOLDED.get(text)) is None:
+        if len(_FOLDED) > 100_000:
+            _FOLDED.clear()
+        out = unicodedata.normalize("NFD", text.translate(_SHAPE))
+        out = _FOLDED[text] = unicodedata.normalize("NFD", out.translate(_PROTOTYPES))
+    return out
 
 
 def skeleton(text: str | None) -> str | None:
@@ -80,8 +93,7 @@ def skeleton(text: str | None) -> str | None:
         tags = _FLAG_TAGS.findall(text) if "\U000e007f" in text else ()
         for flag, letters in tags:
             text = text.replace(flag + letters, flag + _KEEP_JOINED + "".join(chr(ord(x) - 0xE0000) for x in letters[:-1]) + _KEEP_JOINED)
-        text = unicodedata.normalize("NFD", text.translate(_SHAPE))
-        text = unicodedata.normalize("NFD", text.translate(_PROTOTYPES))
+        text = _OTHER.sub(_fold, text)
     return "\n".join(line.rstrip() for line in text.split("\n")).rstrip("\n") if " \n" in text or text[-1:] in (" ", "\n") else text
 
 
