@@ -30,15 +30,16 @@ def _fold(bits: Column) -> Column:
 
 
 def dhash(grid: Column, size: int = 8) -> Column:
-    """Difference hash of a row-major grid of ``size`` rows by ``size + 1`` columns: bit i is set where the right neighbour is larger."""
+    """Difference hash of a row-major grid of ``size`` rows by ``size + 1`` columns: bit i is set where the right neighbour is larger; null for a missing or shorter grid."""
     at = lambda i: (i / size).cast("int") * (size + 1) + i % size + 1  # noqa: E731  1-based
-    return _fold(F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.element_at(grid, at(i) + 1) > F.element_at(grid, at(i))))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.element_at(grid, at(i) + 1) > F.element_at(grid, at(i)))
+    return F.when(F.size(grid) >= size * (size + 1), _fold(bits))
 
 
 def average_hash(grid: Column, cells: int = 64) -> Column:
     """Average hash of a row-major grid: bit i is set where the cell exceeds the mean."""
     mean = F.aggregate(F.slice(grid, 1, cells), F.lit(0.0), lambda a, x: a + x.cast("double")) / cells
-    return _fold(F.transform(F.slice(grid, 1, cells), lambda x: x.cast("double") > mean))
+    return F.when(F.size(grid) >= cells, _fold(F.transform(F.slice(grid, 1, cells), lambda x: x.cast("double") > mean)))
 
 
 def block_mean_hash(grid: Column, rows: int, columns: int, block: int) -> Column:
@@ -50,7 +51,7 @@ def block_mean_hash(grid: Column, rows: int, columns: int, block: int) -> Column
         cell = lambda j: ((k / per_row).cast("int") * block + (j / block).cast("int")) * columns + (k % per_row) * block + j % block + 1
         return F.aggregate(F.sequence(F.lit(0), F.lit(block * block - 1)), F.lit(0.0), lambda a, j: a + F.element_at(grid, cell(j)).cast("double")) / (block * block)
 
-    return _fold(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: block_mean(k) >= mean))
+    return F.when(F.size(grid) >= rows * columns, _fold(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: block_mean(k) >= mean)))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -59,4 +60,4 @@ def hamming(a: Column, b: Column) -> Column:
 
 def unsigned(h: Column) -> Column:
     """A hash as the unsigned number it stands for."""
-    return F.when(h < 0, h.cast("decimal(20,0)") + F.lit(2**64).cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.when(h < 0, h.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)")).cast("decimal(20,0)")

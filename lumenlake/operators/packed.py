@@ -84,6 +84,9 @@ def tokenize(text: str | None) -> list[str]:
 
     while i < n:
         c = text[i]
+        if not value and c.isspace() and c not in DELIMITERS:  # blanks before a value
+            i += 1
+            continue
         if c in QUOTES and (q := _quoted(text, i)):
             rest = text[q[1] :].lstrip("  ")
             if not "".join(value).strip() and (not rest or rest[0] in DELIMITERS):
