@@ -135,4 +135,4 @@ def phash(grid: np.ndarray) -> int:
     basis[0] = np.sqrt(1 / 32)
     low = (basis @ grid @ basis.T)[:8, :8].ravel()
     low[0] = 0.0
-    return int(sum(1 << i for i in np.flatnonzero(low > low.mean())))
+    return int(sum(1 << int(i) for i in np.flatnonzero(low > low.mean())))
