@@ -45,7 +45,7 @@ LANGUAGES = {
 # Names of further languages, and values that name none.
 OTHER_NAMES = (
     "dutch nederlands swedish svenska danish dansk norwegian norsk finnish suomi polish polski czech čeština slovak hungarian magyar romanian română bulgarian български greek ελληνικά "
-    "turkish türkçe ukrainian українська arabic العربية hebrew עברית hindi हिन्दी bengali korean 한국어 chinese 中文 mandarin vietnamese thai indonesian malay catalan català galician galego basque euskara latin esperanto persian farsi tagalog croatian serbian"
+    "turkish türkçe ukrainian українська arabic العربية hebrew עברית hindi हिन\u094dदी bengali korean 한국어 chinese 中文 mandarin vietnamese thai indonesian malay catalan català galician galego basque euskara latin esperanto persian farsi tagalog croatian serbian"
 ).split()
 NO_LANGUAGE = "xx xxx un und unk unknown na n/a nan none null nil no-language zxx mis mul zz zzz ? ?? - -- other other? misc empty missing tbd todo test default auto undefined".split()
 

@@ -25,74 +25,88 @@ from ..session import cut_lineage
 #: Ranks are counted apart in so many parts of each size, so that no size, however frequent, is ranked in one task.
 PARTS = 32
 
-#: Size classes that patterns are enumerated over; their number bounds the least-squares problem.
-CLASSES = 96
+#: Patterns of three sizes take two of them from so many of the most frequent sizes.
+FREQUENT = 160
 
-Group = tuple[int, int, tuple[tuple[int, int], ...]]  # containers, space left in each, (size, items of it) in each
+#: Share of a container that a pattern may leave unused.
+WASTE = 0.01
 
+Group = tuple[int, int, tuple[tuple[int, int], ...]]  # containers, space left in each, (size, items of it) in each
 
-def fill_patterns(classes: int) -> list[tuple[int, ...]]:
-    """All patterns of one to three classes (descending) that fill a container of ``classes`` units."""
-    out: list[tuple[int, ...]] = [(classes,)]
-    for a in range(classes - 1, 0, -1):
-        if (b := classes - a) <= a:
-            out.append((a, b))
-        out += [(a, b, classes - a - b) for b in range(min(a, classes - a - 1), 0, -1) if classes - a - b <= b]
-    return out
 
+def fill_patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """Patterns of one to three sizes that fill a container, as rows of three sizes (0 for none), of the sizes that occur.
 
-def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradients."""
-    step = 1.0 / max(np.linalg.norm(matrix, 2) ** 2, 1e-12)
-    x = y = np.zeros(matrix.shape[1])
+    Two sizes must add up to the capacity, and so must three, or fall short by WASTE at most. The
+    number of patterns is bounded by the capacity and FREQUENT.
+    """
+    present = np.flatnonzero(counts[: capacity + 1])
+    present = present[present > 0]
+    rows = [np.array([[capacity, 0, 0]])] if counts[capacity] else []
+    big = present[(present * 2 >= capacity) & (present < capacity)]
+    small = capacity - big
+    ok = counts[small] > 0
+    rows.append(np.stack([big[ok], small[ok], np.zeros(ok.sum(), int)], axis=1))
+    frequent = np.sort(present[np.argsort(-counts[present], kind="stable")][:FREQUENT])
+    if len(present):
+        a, b = np.meshgrid(frequent, frequent, indexing="ij")
+        a, b = a[a >= b], b[a >= b]
+        rest = capacity - a - b
+        at = np.searchsorted(present, rest, side="right") - 1
+        c = np.where((rest > 0) & (at >= 0), present[np.maximum(at, 0)], 0)
+        ok = (c > 0) & (rest - c <= WASTE * capacity) & (c <= rest)
+        rows.append(np.stack([a[ok], b[ok], c[ok]], axis=1))
+    return np.unique(np.sort(np.concatenate(rows), axis=1)[:, ::-1], axis=0) if rows else np.zeros((0, 3), int)
+
+
+def nnls(patterns: np.ndarray, target: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Repeat counts x >= 0 of the patterns that minimise the squared difference between the sizes used and ``target``.
+
+    The matrix has a column per pattern with at most three entries, so both products are sums over
+    indexes; accelerated projected gradients. Size 0 is no size.
+    """
+    n = len(patterns)
+    columns = np.repeat(np.arange(n), 3)
+    sizes = patterns.ravel()
+    columns, sizes = columns[sizes > 0], sizes[sizes > 0]
+    used = lambda x: np.bincount(sizes, x[columns], len(target))
+    back = lambda r: np.bincount(columns, r[sizes], n)
+    v = np.ones(n)
+    for _ in range(20):  # the largest eigenvalue bounds the step
+        v = back(used(v))
+        v /= max(np.linalg.norm(v), 1e-12)
+    step = 1.0 / max(1.05 * np.linalg.norm(back(used(v))), 1e-12)
+    x = y = np.zeros(n)
     t = 1.0
     for _ in range(rounds):
-        nxt = np.maximum(0.0, y - step * (matrix.T @ (matrix @ y - target)))
+        following = np.maximum(0.0, y - step * back(used(y) - target))
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = nxt + (t - 1) / t_next * (nxt - x)
-        x, t = nxt, t_next
+        y = following + (t - 1) / t_next * (following - x)
+        x, t = following, t_next
     return x
 
 
 def _fitted(counts: np.ndarray, capacity: int) -> tuple[list[Group], np.ndarray]:
-    """Containers by fitted patterns, and the counts that are left. ``counts[s]`` is the number of items of size s."""
-    left, unit = counts.copy(), -(-capacity // CLASSES)
-    classes = capacity // unit
-    of = lambda size: -(-size // unit)  # noqa: E731  sizes are rounded up to their class
-    histogram = np.zeros(classes + 2)
-    for size in np.flatnonzero(left):
-        histogram[min(of(int(size)), classes + 1)] += left[size]
-    patterns = fill_patterns(classes)
-    matrix = np.zeros((classes, len(patterns)))
-    for j, p in enumerate(patterns):
-        for k in p:
-            matrix[k - 1, j] += 1
-    target = histogram[1 : classes + 1]
-    scale = max(target.max(), 1.0)
-    repeats = np.floor(nnls(matrix, target / scale) * scale + 1e-9).astype(np.int64)
-    queues: dict[int, list[int]] = defaultdict(list)  # the sizes of each class that still have items, largest last
-    for size in np.flatnonzero(left):
-        queues[of(int(size))].append(int(size))
+    """Containers by fitted and rounded patterns, and the counts that are left. ``counts[s]`` is the number of items of size s."""
+    left = counts.copy()
+    patterns = fill_patterns(counts, capacity)
     groups: list[Group] = []
+    if not len(patterns):
+        return groups, left
+    scale = max(float(counts.max()), 1.0)
+    repeats = np.floor(nnls(patterns, counts / scale) * scale + 1e-6).astype(np.int64)
     for j in np.argsort(-repeats, kind="stable"):
-        todo = int(repeats[j])
-        while todo > 0:
-            taken: dict[int, int] = defaultdict(int)
-            for k in patterns[j]:
-                while queues[k] and left[queues[k][-1]] == 0:
-                    queues[k].pop()
-                free = next((s for s in reversed(queues[k]) if left[s] > taken[s]), None)
-                if free is None:
-                    break
-                taken[free] += 1
-            else:
-                n = min([todo, *(int(left[s]) // c for s, c in taken.items())])
-                for s, c in taken.items():
-                    left[s] -= n * c
-                groups.append((n, capacity - sum(s * c for s, c in taken.items()), tuple(sorted(taken.items()))))
-                todo -= n
-                continue
-            break  # the rounded counts ask for more of a class than there is
+        if repeats[j] < 1:
+            break
+        taken: dict[int, int] = defaultdict(int)
+        for s in patterns[j]:
+            if s:
+                taken[int(s)] += 1
+        n = min([int(repeats[j]), *(int(left[s]) // c for s, c in taken.items())])
+        if n > 0:
+            for s, c in taken.items():
+                left[s] -= n * c
+            groups.append((n, capacity - sum(s * c for s, c in taken.items()), tuple(sorted(taken.items()))))
     return groups, left
 
 

@@ -137,14 +137,14 @@ _DOT = r"dot|punto|ponto|point|punkt|точка|ドット"
 _HOST = rf"[^\W_](?:[\w-]*[^\W_])?(?:(?:\.|\s\.\s|\s*[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]\s*|\s+(?:{_DOT})\s+)[^\W_](?:[\w-]*[^\W_])?)+"
 _BRACKETED_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)\s*[(\[{{<]\s*(?:{_AT}|@|a)\s*[)\]}}>]\s*({_HOST})", re.I)
 _CAPITAL_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)\s+(?:AT|ARROBA|AROBASE|CHIOCCIOLA)\s+({_HOST})")
-_SPELLED_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)\s+(?:{_AT})\s+([^\W_][\w-]*(?:\s+(?:{_DOT})\s+[\w-]+)+)", re.I)
+_SPELLED_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?(?:\s+(?:{_DOT})\s+[\w-]+)*)\s+(?:{_AT})\s+([^\W_][\w-]*(?:\s+(?:{_DOT})\s+[\w-]+)+)", re.I)
 _PLAIN_AT = re.compile(rf"(?<![\w.+-])([\w]+[.+_-][\w.+-]*[\w])\s+(?:{_AT})\s+([\w-]+(?:\.[\w-]+)+)", re.I)
 _SIGN_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)\s?@\s?({_HOST})", re.I)
 _DOTS = re.compile(rf"\s*[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]\s*|\s+(?:{_DOT})\s+|\s?\.\s?", re.I)
 
 
 def _joined(m: re.Match) -> str:
-    return f"{m[1]}@{_DOTS.sub('.', m[2])}"
+    return f"{_DOTS.sub(chr(46), m[1])}@{_DOTS.sub(chr(46), m[2])}"
 
 
 def _not_sentence(m: re.Match) -> str | None:
@@ -413,9 +413,9 @@ _PAIR_KEYS = [(_keys(a), _keys(b)) for a, b in _PAIRS]
 
 
 _JA_NAME = re.compile(
-    "(?:撮影|カメラ|編集|写真|動画|ドラム|ギター|ベース|監督|音声|モデル|演奏|出演|協力|提供|先生|友人)(?:は|：|:|担当は)\\s?([一-龯々ぁ-ゖァ-ヶー]{2,4}[ 　・]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|くん|君|様|氏|先生|です|でした|。)"
-    "|([一-龯々]{2,4}[ 　]?[一-龯々ぁ-ゖァ-ヶー]{1,5}?)(?=さん|様|氏)(?:さん|様|氏)(?=に|が|の|、|と|は|へ|ありがとう)"
-    "|(?:📷|📸|🎥|📹|👤|[–—])\\s*:?\\s*([一-龯々]{2,4}[ 　]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|[。✨\\s]|$)"
+    "(?:撮影|カメラ|編集|写真|動画|ドラム|ギター|ベース|監督|音声|モデル|演奏|出演|協力|提供|先生|友人)(?:は|：|:|担当は)\\s?([一-龯々ぁ-ゖァ-ヶー]{2,4}[ \u3000・]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|くん|君|様|氏|先生|です|でした|。)"
+    "|([一-龯々]{2,4}[ \u3000]?[一-龯々ぁ-ゖァ-ヶー]{1,5}?)(?=さん|様|氏)(?:さん|様|氏)(?=に|が|の|、|と|は|へ|ありがとう)"
+    "|(?:📷|📸|🎥|📹|👤|[–—])\\s*:?\\s*([一-龯々]{2,4}[ \u3000]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|[。✨\\s]|$)"
 )
 _JA_NOT = re.compile("(?:の隣|隣の人|友だち|友達|みんな|誰|皆|お客|妹|弟|兄|姉|人|屋)$")
 

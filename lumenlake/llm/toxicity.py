@@ -62,7 +62,7 @@ _CODE = re.compile(r"^(?:[\d:.,%x/-]+[a-z%]{0,3}|[a-z]{1,2}\d[\w-]*|\w*\d\w*[-_]
 def plain(text: str) -> str:
     """Lower case without look-alikes, invisible characters, accents, spacing-out, stretched letters and signs for letters."""
     out = skeleton(text.lower()) or ""
-    out = "".join(c for c in unicodedata.normalize("NFKD", out.replace(MASK, "\ue001")) if not unicodedata.combining(c) or c in "゙゚")
+    out = "".join(c for c in unicodedata.normalize("NFKD", out.replace(MASK, "\ue001")) if not unicodedata.combining(c) or c in "\u3099\u309a")
     out = unicodedata.normalize("NFC", out).replace("\ue001", MASK)
     if _SPACED.search(out):
         out = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·/]", "", m.group()) + " ", out)
@@ -76,8 +76,8 @@ def passages(text: str | None) -> list[tuple[str, str]]:
         return []
     out = []
     cleaned = _STAMP.sub(" ", text)
-    if "​" in cleaned or "⁠" in cleaned or "­" in cleaned:
-        cleaned = re.sub("[​⁠­‌﻿]", "", cleaned)
+    if "\u200b" in cleaned or "\u2060" in cleaned or "\u00ad" in cleaned:
+        cleaned = re.sub("[\u200b\u2060\u00ad\u200c\ufeff]", "", cleaned)
     for part in _EDGE.split(_TAGS.sub(" ", cleaned)):
         part = part.strip()
         if len(part) > 1:
