@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bloom import bloom_filter, might_contain
 
-_WRAPPING = "{}()[]<>\"'- \t\r\n ​﻿"
+_WRAPPING = "{}()[]<>\"'- \t\r\n\u00a0\u200b\ufeff"
 
 #: Keys that the filter is laid out for at 12 bits each; with more keys only the false positives rise.
 EXPECTED_PARENTS = 2_500_000

@@ -88,7 +88,7 @@ def tokenize(text: str | None) -> list[str]:
             i += 1
             continue
         if c in QUOTES and (q := _quoted(text, i)):
-            rest = text[q[1] :].lstrip("  ")
+            rest = text[q[1] :].lstrip(" \u00a0\u3000")
             if not "".join(value).strip() and (not rest or rest[0] in DELIMITERS):
                 if not depth:  # the whole value is quoted
                     value[:] = [q[0]]
