@@ -131,15 +131,22 @@ _SPELLED = re.compile(rf"(?<!\w)(?:{_ONE_DIGIT})(?:[\s,.-]+(?:{_ONE_DIGIT})){{5,
 _JA_DIGITS = re.compile("[〇零一二三四五六七八九](?:[-・ ]?[〇零一二三四五六七八九]){6,}")
 _JA_VALUE = {c: str(i) for i, c in enumerate("〇一二三四五六七八九")} | {"零": "0"}
 
+#: Characters of addresses and codes; kana and ideographs stand beside them without a blank.
+_L = "A-Za-z0-9_À-ɏ"
+
 # Words for the at-sign and the dot.
 _AT = r"at|arroba|arobase|chiocciola|klammeraffe|собака|アット(?:マーク)?"
 _DOT = r"dot|punto|ponto|point|punkt|точка|ドット"
-_HOST = rf"[^\W_](?:[\w-]*[^\W_])?(?:(?:\.|\s\.\s|\s*[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]\s*|\s+(?:{_DOT})\s+)[^\W_](?:[\w-]*[^\W_])?)+"
-_BRACKETED_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)\s*[(\[{{<]\s*(?:{_AT}|@|a)\s*[)\]}}>]\s*({_HOST})", re.I)
-_CAPITAL_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)\s+(?:AT|ARROBA|AROBASE|CHIOCCIOLA)\s+({_HOST})")
-_SPELLED_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?(?:\s+(?:{_DOT})\s+[\w-]+)*)\s+(?:{_AT})\s+([^\W_][\w-]*(?:\s+(?:{_DOT})\s+[\w-]+)+)", re.I)
-_PLAIN_AT = re.compile(rf"(?<![\w.+-])([\w]+[.+_-][\w.+-]*[\w])\s+(?:{_AT})\s+([\w-]+(?:\.[\w-]+)+)", re.I)
-_SIGN_AT = re.compile(rf"(?<![\w.+-])([\w](?:[\w.+-]*[\w])?)\s?@\s?({_HOST})", re.I)
+_AT_KEYS = (" at ", "arroba", "arobase", "chiocciola", "klammeraffe", "собака", "アット")
+_DOT_KEYS = tuple(f" {w} " for w in _DOT.split("|"))
+_LABEL = rf"[{_L}](?:[{_L}-]*[{_L}])?"
+_HOST = rf"{_LABEL}(?:(?:\.|\s\.\s|\s*[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]\s*|\s+(?:{_DOT})\s+){_LABEL})+"
+_USER = rf"(?<![{_L}.+-])([{_L}](?:[{_L}.+-]*[{_L}])?"
+_BRACKETED_AT = re.compile(rf"{_USER})\s*[(\[{{<]\s*(?:{_AT}|@|a)\s*[)\]}}>]\s*({_HOST})", re.I)
+_CAPITAL_AT = re.compile(rf"{_USER})\s+(?:AT|ARROBA|AROBASE|CHIOCCIOLA)\s+({_HOST})")
+_SPELLED_AT = re.compile(rf"{_USER}(?:\s+(?:{_DOT})\s+{_LABEL})*)\s+(?:{_AT})\s+({_LABEL}(?:\s+(?:{_DOT})\s+{_LABEL})+)", re.I)
+_PLAIN_AT = re.compile(rf"(?<![{_L}.+-])([{_L}]+[.+_-][{_L}.+-]*[{_L}])\s+(?:{_AT})\s+({_LABEL}(?:\.{_LABEL})+)", re.I)
+_SIGN_AT = re.compile(rf"{_USER})\s?@\s?({_HOST})", re.I)
 _DOTS = re.compile(rf"\s*[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]\s*|\s+(?:{_DOT})\s+|\s?\.\s?", re.I)
 
 
@@ -161,7 +168,31 @@ def normal_form(source: str) -> Tape:
         tape = tape.rewrite(_SPELLED, lambda m: "".join(_WORD_DIGIT[w] for w in re.findall(r"[^\W\d_]+", m[0].lower())))
     if any(c in lower for c in "〇零七九"):
         tape = tape.rewrite(_JA_DIGITS, lambda m: "".join(_JA_VALUE.get(c, "") for c in m[0]))
-    return tape
+    return Tape(one_script(tape.text), tape.start, tape.end)
+
+
+_LATIN = re.compile(r"[A-Za-z]")
+_MIXED = re.compile(r"[A-Za-zÀ-ɏͰ-ӿ]+")
+_FOREIGN = re.compile("[Ͱ-ӿ]")
+_TO_CYRILLIC = {ord(v): chr(k) for k, v in _PROTOTYPES.items() if 0x400 <= k <= 0x45F}
+
+
+def one_script(text: str) -> str:
+    """Each word in one script, character for character: a word with letters that only Cyrillic has becomes Cyrillic, others with look-alikes Latin, if the text is mainly Latin or the word mixes both."""
+    if text.isascii() or not _FOREIGN.search(text) or not _LATIN.search(text):
+        return text
+    latin = sum("a" <= c <= "z" for c in text.lower()) > sum("\u0370" <= c <= "\u04ff" for c in text)
+
+    def word(m: re.Match) -> str:
+        w = m.group()
+        if not _FOREIGN.search(w):
+            return w
+        mapped = w.translate(_PROTOTYPES)
+        if _FOREIGN.search(mapped):
+            return w.translate(_TO_CYRILLIC)
+        return mapped if latin or mapped != w and re.search("[A-Za-z]", w) else w
+
+    return _MIXED.sub(word, text)
 
 
 def latin_form(tape: Tape) -> Tape:
@@ -173,9 +204,9 @@ def latin_form(tape: Tape) -> Tape:
         tape = tape.rewrite(_BRACKETED_AT, _joined)
     if " AT " in text or " ARROBA " in text or " CHIOCCIOLA " in text:
         tape = tape.rewrite(_CAPITAL_AT, lambda m: _joined(m) if not text.isupper() or re.search(rf"\s(?:{_DOT})\s|\.", m[2], re.I) else None)
-    if re.search(rf"\s(?:{_DOT})\s", low):
-        tape = tape.rewrite(_SPELLED_AT, _joined)
-    if re.search(rf"\s(?:{_AT})\s", low):
+    if any(k in low for k in _AT_KEYS):
+        if any(k in low for k in _DOT_KEYS):
+            tape = tape.rewrite(_SPELLED_AT, _joined)
         tape = tape.rewrite(_PLAIN_AT, _joined)
     if "@" in tape.text:
         tape = tape.rewrite(_SIGN_AT, _not_sentence)
@@ -184,11 +215,15 @@ def latin_form(tape: Tape) -> Tape:
 
 # Detectors
 
-_EMAIL = re.compile(r"(?<![\w.+-])(?:mailto:)?[A-Za-z0-9](?:[\w.+%-]*[\w])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])", re.I)
+_EMAIL = re.compile(rf"(?<![{_L}.+-])(?:mailto:)?[{_L}](?:[{_L}.+%-]*[{_L}])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,24}}(?![{_L}-])", re.I)
 
 # Numbers: a run of digits with the usual separators, or a code of letters and digits.
-_NUMBER = re.compile(r"(?<![\w.,:/#@€$£%~-])(?:\+\s?|00\s?)?\(?\+?\d[\d()\s./–-]{4,24}\d(?:\s?(?:x|ext\.?|доб\.?)\s?\d{1,5})?(?![\w%€]|[.,:/-]\d)", re.I)
-_CODE = re.compile(r"(?<![\w@#/.:-])(?=[A-Z0-9 .–-]*\d)(?:[A-Z]{1,3}[ .-]?\d[\d .–-]{3,16}[A-Z]{0,2}|\d[\d .–-]{3,14}[ .-]?[A-Z](?:[ .-]?\d{1,4})?|[A-Z0-9]{1,3}\d{2}[A-Z0-9]{4,9}|[A-Z]{1,2}\d{1,5}[A-Z]{1,3}\d{0,5}[A-Z]{0,2})(?![\w])", re.I)
+_NUMBER = re.compile(rf"(?<![{_L}А-яЁё.,:/#@€$£%~-])(?:\+\s?|00\s?)?\(?\+?\d[\d()\s./–-]{{4,24}}\d(?:\s?(?:x|ext\.?|доб\.?)\s?\d{{1,5}})?(?![{_L}А-яЁё%€]|[.,:/-]\d)", re.I)
+_CODE = re.compile(
+    rf"(?<![{_L}А-яЁё@#/.:-])(?=[A-Z0-9 .–-]*\d)(?:[A-Z]{{6}} ?\d{{2}}[A-Z]\d{{2}} ?[A-Z]\d{{3}}[A-Z]|[A-Z]{{1,3}}[ .-]?\d[\d .–-]{{3,16}}[A-Z]{{0,2}}|\d[\d .–-]{{3,14}}[ .-]?[A-Z](?:[ .-]?\d{{1,4}})?|"
+    rf"[A-Z0-9]{{1,3}}\d{{2}}[A-Z0-9]{{4,9}}|[A-Z]{{1,2}}\d{{1,5}}[A-Z]{{1,3}}\d{{0,5}}[A-Z]{{0,2}})(?![{_L}А-яЁё])",
+    re.I,
+)
 
 # Words that make a number near them an identity number of a person, a telephone number, or neither.
 _ID_CUE = re.compile(
@@ -198,16 +233,18 @@ _ID_CUE = re.compile(
     re.I,
 )
 _PHONE_CUE = re.compile(
-    r"☎|📞|📱|✆|(?<!\w)(?:call|ring|text|phone|tel\.?|mobile|whats\s?app|line|dial|number|fastest way|reach|llama\w*|ll[aá]m\w*|número de siempre|teléfono|tfno?\.?|móvil|liga|ligue|telefone|telemóvel|contat[oe]|contacto|"
-    r"appelez\w*|appelle\w*|tél\.?|téléphone|numéro|joindre|ruft|anruf\w*|rufen|nummer|telefon\w*|handy|erreichbar|chiama\w*|telefono|cell\.?|cellulare|numero|messaggi|manda mensagem|mensagem|mensajes?|звони\w*|телефон\w*|тел\.?|номер\w*|пиши\w*|電話\w*|携帯)(?!\w)|電話|携帯|番号は|連絡",
+    r"☎|📞|📱|✆|(?<!\w)(?:call|ring|text|phone|tel\.?|mobile|whats\s?app|line|dial|fastest way|reach|llama\w*|ll[aá]m\w*|número de siempre|numero de siempre|teléfono|tfno?\.?|móvil|liga|ligue|telefone|telemóvel|contat[oe]|contacto|"
+    r"appelez\w*|appelle\w*|tél\.?|téléphone|joindre|ruft|anruf\w*|rufen|telefon\w*|handy|erreichbar|chiama\w*|telefono|cell\.?|cellulare|messaggi|manda mensagem|mensagem|mensajes?|звони\w*|телефон\w*|тел\.?|пиши\w*)(?!\w)|"
+    r"電話|携帯|連絡|問い合わせ|スタジオは",
     re.I,
 )
+_NUMBER_CUE = re.compile(r"(?<!\w)(?:number|número|numero|numéro|nummer|номер\w*)(?!\w)|番号", re.I)
 _NO_CUE = re.compile(
     r"(?<!\w)(?:isbn|issn|ean|upc|sku|gtin|doi|lot|batch|code|promo|coupon|order|parcel|tracking|shipment|invoice|pedido|encomenda|commande|colis|bestellung|paket|sendung|ordine|pacco|заказ\w*|посылк\w*|"
     r"frames?|views?|reviews?|fps|iso|tc|img|dsc|mov|version|v|rated|item|serial|model|part no|ref|résumé|likes?|followers?|km|kg|mm|px|hz|mah|gb|mb|kb|ms|sec|min|hours?|photos?|apples)(?!\w)|注文番号|伝票|品番|回|枚|フレーム",
     re.I,
 )
-_DATE = re.compile(r"^\s*(?:\d{1,2}[./-]\d{1,2}[./-](?:19|20)?\d{2}|(?:19|20)\d{2}[./-]\d{1,2}[./-]\d{1,2})(?:[ /T.,-].*)?$")
+_DATE = re.compile(r"^\s*(?:\d{1,2}[./-]\d{1,2}[./-](?:19|20)?\d{2}|(?:19|20)\d{2}[./-]\d{1,2}[./-]\d{1,2})(?:\s*[ /T,]\s*\d{1,2}(?:[:.]\d{2})*)?\s*$")
 
 
 def _near(text: str, a: int, b: int, before: int, after: int) -> tuple[str, str]:
@@ -257,28 +294,52 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
                 raw = raw.rstrip(" .–-")
                 b = a + len(raw)
                 head = re.match(r"([^\W\d_]+)[ .-]+", raw)
-                if head and (head[1].lower() in _STOP or head[1].lower() in ("id", "no", "nr", "es", "nif", "dni", "cpf", "tax")):
+                if head and (head[1].lower() in _STOP or head[1].lower() in ("no", "nr", "es") or _ID_CUE.fullmatch(head[1])):
                     raw, a = raw[head.end() :], a + head.end()
             digits = sum(c.isdigit() for c in raw)
             letters = sum(c.isalpha() for c in raw) if pattern is _CODE else 0
             if digits < 5 or digits > 15 or pattern is _CODE and not letters or "\n" in raw:
                 continue
             left, right = _near(text, a, b, 46, 46)
-            no = min(_last(_NO_CUE, left), _first(_NO_CUE, right) if _first(_NO_CUE, right) <= 3 else 1 << 20)
-            ident = min(_last(_ID_CUE, left), _first(_ID_CUE, right))
-            phone = min(_last(_PHONE_CUE, left), _first(_PHONE_CUE, right) + 4)
-            if _DATE.match(raw) or no <= 12 and no < min(ident, phone):
-                continue
-            if ident < 40 and (ident <= phone or letters or _ID_CUE.search(left) and not _PHONE_CUE.search(left)):
-                yield a, b, "ID_NUMBER"
-            elif letters:
-                continue
-            elif phone < 40 and digits >= 6:
-                yield a, b, "PHONE"
-            elif _SSN.match(raw.strip()):
-                yield a, b, "ID_NUMBER"
-            elif digits >= 7 and _SHAPES.match(raw.strip()):
-                yield a, b, "PHONE"
+            kind = _kind(raw.strip(), digits, bool(letters), left, right)
+            if kind:
+                yield a, b, kind
+
+
+def _kind(raw: str, digits: int, letters: bool, left: str, right: str) -> str | None:
+    """What a number is, by the words before it, then those after it, then its shape."""
+    no, ident, phone = _last(_NO_CUE, left), _last(_ID_CUE, left), _last(_PHONE_CUE, left)
+    after = _first(_NO_CUE, right)
+    if _DATE.match(raw) or after <= 3 and min(ident, phone) > 12 or no <= 12 and no < min(ident, phone):
+        return None
+    if ident < 40 or phone < 40:
+        if ident <= phone or letters and ident < 40:
+            return "ID_NUMBER"
+        return "PHONE" if digits >= 6 and not letters else None
+    if _FISCAL.match(raw):
+        return "ID_NUMBER"
+    later = _ID_CUE.search(right)
+    if later and not re.match(r"[\s:.#№n°]{0,6}[A-Z]{0,3}\d", right[later.end() :], re.I):
+        return "ID_NUMBER"
+    if letters:
+        return None
+    if _SSN.match(raw):
+        return "ID_NUMBER"
+    if digits >= 6 and (_first(_PHONE_CUE, right) < 30 or _last(_NUMBER_CUE, left) < 20):
+        return "PHONE"
+    if digits >= 7 and _SHAPES.match(raw) or _ALONE.match(raw) and _stands_alone(left, right):
+        return "PHONE"
+    return None
+
+
+_FISCAL = re.compile(r"[A-Z]{6} ?\d{2}[A-Z]\d{2} ?[A-Z]\d{3}[A-Z]$", re.I)
+_ALONE = re.compile(r"^(?:\d{3}-\d{4}|\d{2,4}(?:[\s.-]\d{2,4}){2,4}|\d{2,3}[\s-]\d{7,9}|0\d{8,11}|8(?:[\s-]\d{2,3}){2,4}|[5-9]\d{8})$")
+
+
+def _stands_alone(left: str, right: str) -> bool:
+    """The number is a sentence of its own."""
+    before, behind = left.rstrip(), right.lstrip()
+    return (not before or not (before[-1].isalnum() or before[-1] in ",:;-(/")) and (not behind or not (behind[0].isalnum() and not behind[0].isupper() and not "\u3040" <= behind[0] <= "\u9fff") and behind[0] not in ",;/%€)")
 
 
 # Addresses: a street with a house number, in the order and words of each language.
@@ -407,15 +468,56 @@ def _keys(pattern: str) -> tuple[str, ...]:
     return tuple(out) if all(out) else ("",)
 
 
-_BEFORE_KEYS, _AFTER_KEYS = _keys(_BEFORE), _keys(_AFTER)
 _AFTER_HINT = re.compile(_bare(_AFTER), re.I)
-_PAIR_KEYS = [(_keys(a), _keys(b)) for a, b in _PAIRS]
+
+# Stretches of which one occurs in every address of a pattern, in the order of _ADDRESSES; none given means any digit.
+_ADDRESS_KEYS = (
+    " st| rd| road| lane| ln| av| court| ct| sq| dr| way| close| terrace| pl| row| hill| cres| boul| blvd| mews| walk| garden| grove| parade| quay| yard| alley| parkway| pkwy",
+    "calle|c/|c.|avda|avenida|av|plaza|pza|plza|paseo|p\u00ba|po.|camino|cno|ronda|carrer|travesia|trav|callejon|glorieta|rua|r.|travessa|tv|praca|pc|largo|lgo|estr|alameda|al.|beco|rodovia|via|v.|viale|piazza|za|corso|vico|vic.|strada|salita|lungomare",
+    "rue|avenue|av.|b|imp|pl|ch|all|quai|route|rte|passage|cours|square|sentier|venelle|villa",
+    "stra|str.|gasse|gasschen|weg|platz|allee|ring|ufer|damm|steig|steg|pfad|chaussee|promenade|graben|markt",
+    "am |an der |im |in der |zum |zur |auf de|unter den ",
+    "ул|пр|пер|наб|пл|бульвар|б-р|ш|алле|туп",
+    "улиц|ул.|просп|переул|пер.|набереж|наб.|площад|пл.|бульвар|шоссе|проезд",
+    "丁目|番地",
+)
+
+
+def _automaton():
+    """Finds in one pass which patterns a text can match at all."""
+    import ahocorasick
+
+    of: dict[str, set[str]] = {}
+    groups = {"before": _keys(_BEFORE), "after": _keys(_AFTER)}
+    for i, (a, b) in enumerate(_PAIRS):
+        groups |= {f"left{i}": _keys(a), f"right{i}": _keys(b)}
+    for i, keys in enumerate(_ADDRESS_KEYS):
+        groups[f"address{i}"] = tuple(_bare(keys).split("|"))
+    for name, keys in groups.items():
+        for k in keys:
+            if k:
+                of.setdefault(k, set()).add(name)
+    out = ahocorasick.Automaton()
+    for k, names in of.items():
+        out.add_word(k, frozenset(names))
+    out.make_automaton()
+    return out, frozenset(name for name, keys in groups.items() if "" in keys)
+
+
+_AUTOMATON, _ALWAYS = _automaton()
+
+
+def _possible(low: str) -> set[str]:
+    out = set(_ALWAYS)
+    for _, names in _AUTOMATON.iter(low):
+        out |= names
+    return out
 
 
 _JA_NAME = re.compile(
     "(?:撮影|カメラ|編集|写真|動画|ドラム|ギター|ベース|監督|音声|モデル|演奏|出演|協力|提供|先生|友人)(?:は|：|:|担当は)\\s?([一-龯々ぁ-ゖァ-ヶー]{2,4}[ \u3000・]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|くん|君|様|氏|先生|です|でした|。)"
-    "|([一-龯々]{2,4}[ \u3000]?[一-龯々ぁ-ゖァ-ヶー]{1,5}?)(?=さん|様|氏)(?:さん|様|氏)(?=に|が|の|、|と|は|へ|ありがとう)"
-    "|(?:📷|📸|🎥|📹|👤|[–—])\\s*:?\\s*([一-龯々]{2,4}[ \u3000]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|[。✨\\s]|$)"
+    "|([一-龯々ヶ]{2,4}[ \u3000]?[一-龯々ぁ-ゖァ-ヶー]{1,5}?)(?=さん|様|氏)(?:さん|様|氏)(?=に|が|の|、|と|は|へ|ありがとう)"
+    "|(?:📷|📸|🎥|📹|👤|[–—])\\s*:?\\s*([一-龯々ヶ]{2,4}[ \u3000]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|[。✨\\s]|$)"
 )
 _JA_NOT = re.compile("(?:の隣|隣の人|友だち|友達|みんな|誰|皆|お客|妹|弟|兄|姉|人|屋)$")
 
@@ -426,9 +528,9 @@ def _is_name(words: str) -> bool:
     return bool(full) and len(parts) >= 2 and not any(w.lower() in _STOP for w in full) and not _FIRM.search(words)
 
 
-def _names(text: str) -> Iterator[tuple[int, int, str]]:
+def _names(text: str, possible: set[str]) -> Iterator[tuple[int, int, str]]:
+    """Names in a text without accents; ``possible`` says which patterns can match."""
     found: list[tuple[int, int]] = []
-    text = _bare(text)
 
     def add(m: re.Match, g: int = 1) -> None:
         a, b = m.span(g)
@@ -447,15 +549,14 @@ def _names(text: str) -> Iterator[tuple[int, int, str]]:
         for pattern in (_SIGN_NAME, _CAPITAL_NAME):
             for m in pattern.finditer(text):
                 add(m)
-    low = text.lower()
-    if any(k in low for k in _BEFORE_KEYS):
+    if "before" in possible:
         for m in _BEFORE_NAME.finditer(text):
             add(m)
-    for (a, b), pattern in zip(_PAIR_KEYS, _PAIR_NAMES, strict=True):
-        if any(k in low for k in a) and any(k in low for k in b):
+    for i, pattern in enumerate(_PAIR_NAMES):
+        if f"left{i}" in possible and f"right{i}" in possible:
             for m in pattern.finditer(text):
                 add(m)
-    for hint in _AFTER_HINT.finditer(text) if any(k in low for k in _AFTER_KEYS) else ():
+    for hint in _AFTER_HINT.finditer(text) if "after" in possible else ():
         left = text[max(0, hint.start() - 70) : hint.start()].rstrip()
         cut = max(left.rfind("\n"), left.rfind("! "), left.rfind("? "), left.rfind("✨"), left.rfind("… "), left.rfind(".. "), -1)
         m = re.search(rf"(?:^|[\s.!?…])({_LONG})$", left[cut + 1 :])
@@ -494,14 +595,19 @@ def find(source: str | None) -> list[tuple[int, int, str]]:
     tape = normal_form(source)
     latin = latin_form(tape)
     spans: list[tuple[int, int, str]] = []
+    bare = _bare(tape.text)
+    possible = _possible(bare.lower())
     if "@" in latin.text:
         spans += [(*latin.span(*m.span()), "EMAIL") for m in _EMAIL.finditer(latin.text)]
     if _HAS_DIGIT.search(tape.text):
-        for pattern in _ADDRESSES:
-            spans += [(*tape.span(m.start(), m.start() + len(m.group().rstrip(" ,"))), "ADDRESS") for m in pattern.finditer(tape.text)]
-        plain = tape.text if tape.text.isascii() else tape.text.translate(_PROTOTYPES_IN_CODES)
-        spans += [(*tape.span(a, b), kind) for a, b, kind in _numbers(plain)]
-    spans += [(*tape.span(a, b), kind) for a, b, kind in _names(tape.text)]
+        rest = tape.text
+        for i, pattern in enumerate(_ADDRESSES):
+            for m in pattern.finditer(tape.text) if f"address{i}" in possible else ():
+                a, b = m.start(), m.start() + len(m.group().rstrip(" ,"))
+                spans.append((*tape.span(a, b), "ADDRESS"))
+                rest = rest[:a] + "§" * (b - a) + rest[b:]  # its digits are no other number's
+        spans += [(*tape.span(a, b), kind) for a, b, kind in _numbers(rest)]
+    spans += [(*tape.span(a, b), kind) for a, b, kind in _names(bare, possible)]
     rank = {"EMAIL": 0, "ADDRESS": 1, "ID_NUMBER": 2, "PHONE": 3, "NAME": 4}
     out: list[tuple[int, int, str]] = []
     for s in sorted(spans, key=lambda s: (rank[s[2]], s[0] - s[1])):
@@ -510,10 +616,6 @@ def find(source: str | None) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-# Codes hold Latin letters; Cyrillic and Greek words around them must stay readable for the cues, so only capitals next to digits are mapped.
-_PROTOTYPES_IN_CODES: dict[int, str] = {}
-
-
 def redact(source: str | None) -> str | None:
     """The text with a placeholder such as ``[EMAIL]`` for every find; all other characters unchanged. Null for null."""
     if source is None:
