@@ -28,8 +28,11 @@ from .skeleton import skeleton
 #: Hashed term space, neighbours that vote, least similarity of a neighbour, passages in an index block.
 BITS, NEIGHBOURS, LEAST_SIMILARITY, BLOCK = 18, 12, 0.2, 48
 
+#: Most terms that are kept as dense columns with a largest weight per block; all others are posting lists.
+FREQUENT = 256
+
 #: Bounds of the labelled sample: documents (chosen by a hash of the id) and distinct passages of them.
-SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 6000, 60_000
+SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 8000, 60_000
 
 #: A document is reported from this calibrated score on.
 THRESHOLD = 0.5
@@ -38,7 +41,7 @@ THRESHOLD = 0.5
 SUSPECT, WINDOW = (0.07, 0.8), 8
 
 #: Weight and value of the prior in a vote.
-PRIOR_WEIGHT, PRIOR = 0.2, 0.05
+PRIOR_WEIGHT, PRIOR = 1.0, 0.05
 
 #: Suspicion of a passage that no other labelled document resembles, in a document called toxic.
 UNSEEN = 0.3
@@ -155,8 +158,10 @@ class Index:
     toxic: np.ndarray  # the sum of their labels
     slope: float = 8.0
     centre: float = 0.5
-    block_of: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    postings: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # rare terms: passages and weights
+    columns: dict[int, int] = field(default_factory=dict)  # frequent terms: their column in the next two
+    largest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # largest weight of a frequent term in each block
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # weight of a frequent term in each passage
     shapes: dict[tuple[int, str], list[str]] = field(default_factory=dict)  # (length, first letter) -> words
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +178,7 @@ class Index:
         return next((w for w in self.shapes.get((len(word), word[0]), ()) if pattern.fullmatch(w)), word)
 
     def build(self) -> Index:
-        """Similar passages share blocks: they are sorted by their rarest term first."""
+        """Similar passages share blocks: they are sorted by the terms that weigh most and are shared most."""
         said: dict[str, float] = defaultdict(float)
         for x, n in zip(self.texts, self.toxic, strict=True):
             for w in set(x.split(" ")):
@@ -183,47 +188,80 @@ class Index:
         for w in sorted(said, key=lambda w: (-said[w], w)):
             self.shapes.setdefault((len(w), w[0]), []).append(w)
         vectors = [self.vector(x) for x in self.texts]
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, self.texts[i]))
+        shared = np.log1p(np.bincount(np.concatenate([t for t, _ in vectors]), minlength=1 << BITS) - 0.99) if vectors else np.zeros(0)
+
+        def place(i: int) -> tuple:
+            t, w = vectors[i]
+            return (*t[np.argsort(-w * shared[t], kind="stable")[:3]].tolist(), self.texts[i]) if len(t) else (-1, self.texts[i])
+
+        order = sorted(range(len(vectors)), key=lambda i: tuple(map(str, place(i))))
         self.texts, vectors = [self.texts[i] for i in order], [vectors[i] for i in order]
         self.votes, self.toxic = self.votes[order], self.toxic[order]
-        largest: dict[int, dict[int, float]] = defaultdict(dict)
-        for b in range(0, len(vectors), BLOCK):
-            part = vectors[b : b + BLOCK]
-            t = np.concatenate([v[0] for v in part])
-            w = np.concatenate([v[1] for v in part])
-            row = np.repeat(np.arange(len(part)), [len(v[0]) for v in part])
-            self.blocks.append((t, w, row))
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                if weight > largest[term].get(b // BLOCK, 0.0):
-                    largest[term][b // BLOCK] = weight
-        self.block_of = {t: (np.fromiter(x.keys(), np.int64, len(x)), np.fromiter(x.values(), float, len(x))) for t, x in largest.items()}
+        n = len(vectors)
+        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
+        row = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
+        by = np.argsort(term, kind="stable")
+        term, weight, row = term[by], weight[by], row[by]
+        names, first = np.unique(term, return_index=True)
+        last = np.append(first[1:], len(term))
+        frequent = set(names[np.argsort(first - last, kind="stable")[:FREQUENT]].tolist()) & set(names[(last - first) > max(32, n // 100)].tolist())
+        self.columns = {t: i for i, t in enumerate(sorted(frequent))}
+        self.weights = np.zeros((n, len(frequent)), np.float32)
+        self.postings = {}
+        for t, i, j in zip(names.tolist(), first.tolist(), last.tolist(), strict=True):
+            if t in frequent:
+                self.weights[row[i:j], self.columns[t]] = weight[i:j]
+            else:
+                self.postings[t] = (row[i:j].astype(np.int32), weight[i:j])
+        blocks = -(-n // BLOCK)
+        padded = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
+        padded[:n] = self.weights
+        self.largest = np.nextafter(padded.reshape(blocks, BLOCK, len(frequent)).max(axis=1), np.float32(2)) if blocks else padded
         return self
 
-    def nearest(self, text: str, k: int = NEIGHBOURS, scratch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The exact ``k`` nearest passages with a cosine of at least LEAST_SIMILARITY, best first, ties by place."""
+    def nearest(self, text: str, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The exact ``k`` nearest passages with a cosine of at least LEAST_SIMILARITY, best first, ties by place.
+
+        Postings of rare terms are summed up. Those of frequent ones are long: for them the largest
+        weights of each block bound what its passages can still gain, and their weights are read only in
+        passages that can reach the worst neighbour.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0)
         t, w = self.vector(text)
-        known = [(self.block_of[x], y) for x, y in zip(t.tolist(), w.tolist(), strict=True) if x in self.block_of]
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.bincount(np.concatenate([b for (b, _), _ in known]), np.concatenate([m * y for (_, m), y in known]), len(self.blocks))
-        q = np.zeros(1 << BITS) if scratch is None else scratch
-        q[t] = w
-        ids, sims, worst = np.zeros(0, np.int64), np.zeros(0), LEAST_SIMILARITY
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] < worst - 1e-12:
-                break
-            bt, bw, row = self.blocks[b]
-            s = np.bincount(row, q[bt] * bw)
-            near = np.flatnonzero(s >= worst - 1e-12)
-            if len(near):
-                ids, sims = np.concatenate([ids, near + b * BLOCK]), np.concatenate([sims, s[near]])
-                if len(ids) > k:
-                    top = np.lexsort((ids, -sims))[:k]
-                    ids, sims = ids[top], sims[top]
-                if len(ids) == k:
-                    worst = max(worst, sims.min())
-        q[t] = 0.0
-        top = np.lexsort((ids, -sims))
+        rare, columns, values = [], [], []
+        for x, y in zip(t.tolist(), w.tolist(), strict=True):
+            if (got := self.postings.get(x)) is not None:
+                rare.append((got[0], got[1] * y))
+            elif (column := self.columns.get(x)) is not None:
+                columns.append(column)
+                values.append(y)
+        n = len(self.texts)
+        if not rare and not columns:
+            return none
+        part = np.bincount(np.concatenate([r for r, _ in rare]), np.concatenate([v for _, v in rare]), n) if rare else np.zeros(n)
+        if not columns:
+            at = np.flatnonzero(part >= LEAST_SIMILARITY - 1e-9)
+            return self._best(at, part[at], k)
+        values = np.array(values)
+        bound = np.repeat(self.largest[:, columns] @ values, BLOCK)[:n] + part
+        at = np.flatnonzero(bound >= LEAST_SIMILARITY - 1e-9)
+        if len(at) > 4 * k:  # the passages of the largest bounds give a first threshold
+            top = at[np.argpartition(-bound[at], 2 * k)[: 2 * k]]
+            exact = part[top] + self.weights[np.ix_(top, columns)] @ values
+            worst = np.partition(exact, len(exact) - k)[len(exact) - k]
+            at = at[bound[at] >= max(worst, LEAST_SIMILARITY) - 1e-9]
+        exact = part[at] + self.weights[np.ix_(at, columns)] @ values
+        near = exact >= LEAST_SIMILARITY - 1e-9
+        return self._best(at[near], exact[near], k)
+
+    @staticmethod
+    def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) > 4 * k:
+            cut = np.partition(sims, len(sims) - k)[len(sims) - k]
+            keep = sims >= cut
+            ids, sims = ids[keep], sims[keep]
+        top = np.lexsort((ids, -sims))[:k]
         return ids[top], sims[top]
 
     def vote(self, ids: np.ndarray, sims: np.ndarray, votes: np.ndarray | None = None, toxic: np.ndarray | None = None) -> float:
@@ -267,9 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, m
     place = {t: i for i, t in enumerate(index.texts)}
     by_doc = {d: [place[r] for r in ps] for d, ps in _passages_of(rows).items()}
     near = {}
-    scratch = np.zeros(1 << BITS)
     for i, t in enumerate(index.texts):
-        near[i] = index.nearest(t, scratch=scratch)
+        near[i] = index.nearest(t)
 
     def left_out(i: int, y: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, sims = near[i]
@@ -335,14 +372,14 @@ def score_documents(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE_PASSAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, scratch = shared.value, np.zeros(1 << BITS)
+        ix = shared.value
         memo: dict[str, tuple[float, int, float]] = {}
 
         def score(p: str) -> tuple[float, int, float]:
             if (got := memo.get(p)) is None:
                 if len(memo) > 100_000:
                     memo.clear()
-                ids, sims = ix.nearest(p, scratch=scratch)
+                ids, sims = ix.nearest(p)
                 got = memo[p] = (ix.vote(ids, sims), int(ids[0]) if len(ids) else -1, float(sims[0]) if len(ids) else 0.0)
             return got
 
