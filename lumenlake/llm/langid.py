@@ -27,8 +27,11 @@ BITS, ORDERS = 16, (1, 2, 3, 4)
 #: Bound of the training sample: so many labelled texts, chosen by a hash of the id, and at most so many of their sentences.
 SAMPLE_TEXTS, SAMPLE_SENTENCES = 8000, 16000
 
+#: Sentences of each language in the second fit; rarer languages repeat theirs up to four times.
+PER_LANGUAGE = 1500
+
 #: Confidence that a sentence needs to count, and one in a language other than most of its text.
-LEAST, LEAST_OTHER = 0.4, 0.9
+LEAST, LEAST_OTHER = 0.4, 0.95
 
 # Codes and names of the languages to tell apart.
 LANGUAGES = {
@@ -42,6 +45,18 @@ LANGUAGES = {
     "ja": ("ja", "jpn", "jp", "japanese", "日本語", "nihongo", "japonés", "japonais", "japanisch", "giapponese", "japonês"),
 }
 
+# The commonest words of each language. They support the fit where the labelled texts are few or alike.
+COMMON = {
+    "en": "the of and to in is was for on that with as it at by this are from be have not or an but his her they we you which their has were all there been one my would what about who will your when can if time now here just some into than only very over know made where these after back other how our work first well way even new because any good day most us me please send call write found ask still out up down its hope best thanks bring meet open closed full number card address live",
+    "es": "el la de que y a en un ser se no haber por con su para como estar tener le lo todo pero más hacer o poder decir este ir otro ese si me ya ver porque dar cuando él muy sin vez mucho saber qué sobre mi alguno mismo yo también hasta año dos querer entre así primero desde grande eso ni nos llegar pasar tiempo ella sí día uno bien poco deber entonces poner cosa tanto hombre parecer nuestro tan donde ahora parte después vida quedar siempre creer hablar llevar dejar nada cada nuevo gracias hola casa mercado era está son los las del al una",
+    "pt": "o a de que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas me esse eles estão você tinha foram essa num nem suas meu às minha têm numa pelos elas havia seja qual será nós tenho lhe deles essas esses este dele tu te vocês lhes meus minhas teu tua nosso nossa obrigado casa feira cheia agora aqui onde novo ano dia",
+    "fr": "le la de et à les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont son avec je nous vous mais ou comme elle on tout y fait être deux même aussi leur bien peut ces sans où cette ses si mon quand très ils était donc ont entre dit avant après autre encore faire sous peu chez notre votre jamais toujours ici maintenant jour année merci maison marché plein rue rien tous toutes depuis lors quel quelle celui ceux aux cet été avoir",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich wir ihr uns mich dich ihm kann wenn schon sehr hier jetzt immer alle diese dieser dieses kein keine mein dein unser viel gut neu jahr tag zeit heute danke haus markt voll straße wo wer was warum doch dann weil",
+    "it": "il di che è e la un a per non in una sono mi si lo ho ha ma con le ti cosa no se da come io ci questo qui bene sì tu solo della mio me del al dei alla nel i o più anche hai gli era tutto lui lei sei quando fatto perché molto essere sta fare chi dove quello ora così cui tutti questa suo sua loro nella delle degli dal dalla sul sulla ai alle uno due anni anno giorno casa mercato pieno via nuovo nostra nostro noi voi grazie ancora sempre mai prima dopo senza fino già",
+    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой от так о для ты же все год один как вы его только мой было ещё бы уже нет если когда или ни до время наш мочь очень себя под какой этого где там здесь сейчас потом первый два день жизнь новый дом рынок улица спасибо можно надо тоже без через после перед между кто чтобы даже самый раз её их был была были есть вот другой",
+    "ja": "の に は を た が で て と し れ さ ある いる も する から な こと として い や など なっ ない この ため その あっ よう また もの という あり まで られ なる へ か だ これ によって により おり より による ず なり られる において ば なかっ なく しかし について だっ できる それ う です ます でした ました ください ありがとう 今日 明日 私 人 時 年 日 家 市場 町",
+}
+
 # Names of further languages, and values that name none.
 OTHER_NAMES = (
     "dutch nederlands swedish svenska danish dansk norwegian norsk finnish suomi polish polski czech čeština slovak hungarian magyar romanian română bulgarian български greek ελληνικά "
@@ -67,6 +82,7 @@ def label_code(label: Column) -> Column:
 # Texts into sentences
 
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+\s*@\s*[\w-]+(?:\.[\w-]+)+")
+_DISGUISED = re.compile(r"[\w.+-]+\s*(?:[(\[]\s*at\s*[)\]]|\sAT\s)\s*[\w-]+(?:(?:\.|\s*[(\[]\s*dot\s*[)\]]\s*|\sDOT\s)[\w-]+)*", re.I)
 _TAG = re.compile(r"(?<!\w)[#@]\w[\w.]*")
 _DIGITS = re.compile(r"[^\W\d]*\d[\w:./,×-]*")
 _ANY_DIGIT = re.compile(r"\d")
@@ -90,6 +106,8 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     blanked = text
     if "@" in text or "://" in text or "www." in text:
         blanked = _ADDRESS.sub(_blank, blanked)
+    if " AT " in text or "at)" in text or "at]" in text:
+        blanked = _DISGUISED.sub(lambda m: _blank(m) if m.group().count("(") or m.group().count("[") or " AT " in m.group() else m.group(), blanked)
     if "#" in text or "@" in text:
         blanked = _TAG.sub(_blank, blanked)
     if _ANY_DIGIT.search(blanked):
@@ -256,12 +274,29 @@ def fit(captions: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> M
     texts, codes = texts[:SAMPLE_SENTENCES], codes[:SAMPLE_SENTENCES]
     if len(set(codes)) < 2:
         raise ValueError("fewer than two languages are labelled")
+    support = _support(sorted(set(codes)))
+
     first = train(texts, codes, frequencies, n_docs)
     said = first.probabilities(texts).argmax(axis=1)
     kept = [i for i, k in enumerate(said) if first.languages[k] == codes[i]]
     if len({codes[i] for i in kept}) < len(set(codes)):
         return first
-    return train([texts[i] for i in kept], [codes[i] for i in kept], frequencies, n_docs, epochs=2)
+    balanced: list[int] = []
+    for code in sorted(set(codes)):
+        own = [i for i in kept if codes[i] == code][:PER_LANGUAGE]
+        balanced += (own * min(4, -(-PER_LANGUAGE // len(own))))[:PER_LANGUAGE]
+    return train([texts[i] for i in balanced] + [t for t, _ in support], [codes[i] for i in balanced] + [c for _, c in support], frequencies, n_docs, epochs=2)
+
+
+def _support(codes: list[str], of_each: int = 250, words: int = 7) -> list[tuple[str, str]]:
+    """Made-up sentences of common words, the same every time."""
+    rng = np.random.default_rng(5)
+    out = []
+    for code in codes:
+        common = np.array(COMMON[code].split())
+        glue = "" if code == "ja" else " "
+        out += [(f" {normal(glue.join(rng.choice(common, words)))} ", code) for _ in range(of_each)]
+    return out
 
 
 SEGMENT = "id string, segment int, start int, end int, lang string, confidence double"
