@@ -106,3 +106,15 @@ def margin_rect(lines: DataFrame, image: str, axis: str, index: str, pixels: str
     median = F.floor((F.element_at(s, ((n + 1) / 2).cast("int")) + F.element_at(s, (n / 2).cast("int") + 1)) / 2)
     kept = lines.where(~F.forall(F.col(pixels), lambda x: F.abs(x.cast("double") - median) <= tol))
     return kept.groupBy(image, axis).agg(F.min(index).alias("first"), F.max(index).alias("last"))
+
+
+def crop_or_original(videos: DataFrame, rects: DataFrame, video: str = "video", least: float = 0.0) -> DataFrame:
+    """Every video once with ``position``, the rectangle to cut to and whether it is cut: a missing, empty or too slight crop falls back to the whole frame.
+
+    ``videos``: ``video, position, width, height``; ``rects``: ``video, x, y, w, h``, one per video.
+    """
+    joined = videos.join(rects, video, "left")
+    enough = (F.col("w") > 0) & (F.col("h") > 0) & (((F.col("width") - F.col("w")) / F.col("width") >= least) | ((F.col("height") - F.col("h")) / F.col("height") >= least))
+    cut = F.coalesce(enough, F.lit(False))
+    whole = {"x": F.lit(0), "y": F.lit(0), "w": F.col("width"), "h": F.col("height")}
+    return joined.select(video, "position", *(F.when(cut, F.col(c)).otherwise(o).alias(c) for c, o in whole.items()), cut.alias("cropped")).orderBy("position")

@@ -191,3 +191,35 @@ def encode_text_stub(spark, d):
 @R.query("SELECT id, TRY_CAST(duration AS DOUBLE) AS seconds FROM insta_content")
 def duration_numbers(spark, d):
     return table(spark, d, "insta_content").select("id", F.col("duration").try_cast("double").alias("seconds"))
+
+
+@R.query("SELECT event_id, 'instagram/c' || user_id || '/' || event_id || '_' || (event_id % 90) || '.50.png' AS path, CAST(event_id AS INT) AS frame_number, CAST((event_id % 90) + 0.5 AS DOUBLE) AS frame_second, 'c' || user_id || '_' || event_id AS natural_key FROM events")
+def frame_points(spark, d):
+    """Points of frames by name: payload with deterministic ids; the ids themselves are tested against another implementation."""
+    names = _events(spark, d).select("event_id", F.concat(F.lit("c"), "user_id").alias("code"), F.concat("event_id", F.lit("_"), F.col("event_id") % 90, F.lit(".50.png")).alias("name"), F.lit(0).alias("position"))
+    points = migrate.frame_points(names, F.lit("2024-01-01T00:00:00+00:00"))
+    return points.select(F.col("frame_number").cast("long").alias("event_id"), "path", "frame_number", "frame_second", "natural_key")
+
+
+@R.query("SELECT CAST(vec_id AS VARCHAR) AS id, round(embedding[1]::DOUBLE, 6) AS score, 0 AS n_payload FROM embeddings")
+def search_results(spark, d):
+    hits = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("score"), F.lit(None).cast("map<string,string>").alias("payload"))
+    return migrate.search_results(hits).select("id", "score", F.size("payload").alias("n_payload"))
+
+
+@R.query("SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 5 END AS x, CASE WHEN user_id % 2 = 0 THEN 100 ELSE 60 END AS w, user_id % 2 = 1 AS cropped FROM events")
+def crop_or_original(spark, d):
+    from ..operators import frames as frame_operators
+
+    users = _events(spark, d).select(F.col("user_id").alias("video")).distinct()
+    videos = users.select("video", F.col("video").alias("position"), F.lit(100).alias("width"), F.lit(50).alias("height"))
+    rects = users.where("video % 2 = 1").select("video", F.lit(5).alias("x"), F.lit(5).alias("y"), F.lit(60).alias("w"), F.lit(40).alias("h"))
+    return frame_operators.crop_or_original(videos, rects).select(F.col("video").alias("user_id"), "x", "w", "cropped")
+
+
+@R.query("SELECT user_id, bool_and(event_type <> 'error') AS ok FROM events GROUP BY 1")
+def process_codes(spark, d):
+    from .. import api
+
+    ev = _events(spark, d).select(F.col("user_id").alias("code"), (F.col("event_type") != "error").alias("ok"))
+    return api.process_codes(ev, ev).withColumnRenamed("code", "user_id")
