@@ -25,9 +25,11 @@ def uuid_key(ref: Column) -> Column:
     Null for null, blank and empty-bodied references. Text that is no UUID keeps its own bytes,
     so it can equal only the same text.
     """
+    usual = F.when(F.length(ref) == 36, F.unhex(F.replace(ref, F.lit("-"), F.lit(""))))
     body = F.translate(F.lower(ref), _WRAPPING, "")
     body = F.regexp_replace(body, "^(urn:)?(uuid:)", "")
-    return F.when(body == "", None).when(body.rlike("^[0-9a-f]{32}$"), F.unhex(body)).otherwise(F.encode(body, "UTF-8"))
+    other = F.when(body == "", None).when(body.rlike("^[0-9a-f]{32}$"), F.unhex(body)).otherwise(F.encode(body, "UTF-8"))
+    return F.when(F.octet_length(usual) == 16, usual).otherwise(other)  # most need no pattern
 
 
 def references(df: DataFrame, table_name: str, row_id: str, ref: str, time: str) -> DataFrame:
