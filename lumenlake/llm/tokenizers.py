@@ -114,23 +114,27 @@ def _edges(index: pd.Series, last: pd.Series, text: pd.Series, chunk: pd.Series,
 
 
 def _pieces(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """``doc_id, i, piece`` of the long texts of ``docs``: consecutive pieces that begin and end at true pre-token boundaries."""
+    """``row, doc_id, i, piece`` of the long texts of ``docs``: consecutive pieces that begin and end at true pre-token boundaries.
+
+    ``row`` tells apart repeated rows; it depends only on the row's place in the scan.
+    """
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
     n = F.ceil(F.length("text") / chunk).cast("int")
-    cut = docs.select("doc_id", "text", n.alias("n")).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk + overlap)))).alias("i", "part"), "n")
-    cut = cut.repartition("doc_id", "i")  # the chunks of one text are spread over the cluster
-    edges = cut.select("doc_id", "i", "part", "n", _edges(F.col("i"), F.col("i") == F.col("n") - 1, F.col("part"), F.lit(chunk), F.lit(overlap)).alias("e"))
-    w = Window.partitionBy("doc_id").orderBy("i")
+    cut = docs.select("row", "doc_id", "text", n.alias("n")).select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk + overlap)))).alias("i", "part"), "n")
+    cut = cut.repartition("row", "i")  # the chunks of one text are spread over the cluster
+    edges = cut.select("row", "i", "n", _edges(F.col("i"), F.col("i") == F.col("n") - 1, F.col("part"), F.lit(chunk), F.lit(overlap)).alias("e"))
+    w = Window.partitionBy("row").orderBy("i")
     common = F.array_min(F.array_intersect(F.lag("e.tail").over(w), F.col("e.head")))
     # Only boundaries, not texts, are ordered per document.
-    stitches = edges.select("doc_id", "i", "n", F.when(F.col("i") == 0, F.lit(0).cast("long")).otherwise(common).alias("start"))
-    whole = F.count_if(F.col("start").isNull()).over(Window.partitionBy("doc_id")) > 0
-    plan = stitches.select("doc_id", "i", "n", "start", F.lead("start").over(w).alias("end"), whole.alias("whole"))
-    apart = cut.join(plan.where("NOT whole").select("doc_id", "i", "start", "end"), ["doc_id", "i"])
+    stitches = edges.select("row", "i", F.when(F.col("i") == 0, F.lit(0).cast("long")).otherwise(common).alias("start"))
+    whole = F.count_if(F.col("start").isNull()).over(Window.partitionBy("row")) > 0
+    plan = stitches.select("row", "i", "start", F.lead("start").over(w).alias("end"), whole.alias("whole"))
+    apart = cut.join(plan.where("NOT whole").select("row", "i", "start", "end"), ["row", "i"])
     offset = F.col("start") - F.col("i").cast("long") * chunk
     length = F.coalesce(F.col("end") - F.col("start"), F.length("part").cast("long"))
-    pieces = apart.select("doc_id", "i", F.substring(F.col("part"), (offset + 1).cast("int"), length.cast("int")).alias("piece"))
-    unsynced = plan.where("whole").select("doc_id").distinct()
-    return pieces.unionByName(docs.join(unsynced, "doc_id").select("doc_id", F.lit(0).alias("i"), F.col("text").alias("piece")))
+    pieces = apart.select("row", "doc_id", "i", F.substring(F.col("part"), (offset + 1).cast("int"), length.cast("int")).alias("piece"))
+    unsynced = plan.where("whole").select("row").distinct()
+    return pieces.unionByName(docs.join(unsynced, "row").select("row", "doc_id", F.lit(0).alias("i"), F.col("text").alias("piece")))
 
 
 def _parts(df: DataFrame, doc_id: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -142,15 +146,14 @@ def _parts(df: DataFrame, doc_id: str, text: str, chunk: int) -> tuple[DataFrame
 def encode_corpus(df: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text", folder: str = FOLDER, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, ids``: the ids of every text, without special tokens; null and empty texts have the empty list.
 
-    Texts of any length are encoded whole. ``doc_id`` is expected to be unique among texts longer than
-    ``chunk``. Other columns are dropped. An empty table gives no rows.
+    Texts of any length are encoded whole. Repeated rows and repeated or null ids give a row each. Other columns are dropped. An empty table gives no rows.
     """
     short, long = _parts(df, doc_id, text, chunk)
     out = short.select("doc_id", _encode_udf(name, folder)("text").alias("ids"))
     if not os.path.exists(os.path.join(folder, f"{name}.tiktoken")):  # pieces of other kinds of vocabulary cannot be encoded apart
         return out.unionByName(long.select("doc_id", _encode_udf(name, folder)("text").alias("ids")))
-    pieces = _pieces(long, chunk, overlap).select("doc_id", "i", _encode_udf(name, folder)("piece").alias("ids"))
-    whole = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("s")).select("doc_id", F.flatten(F.col("s.ids")).alias("ids"))
+    pieces = _pieces(long, chunk, overlap).select("row", "doc_id", "i", _encode_udf(name, folder)("piece").alias("ids"))
+    whole = pieces.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("s")).select("doc_id", F.flatten(F.col("s.ids")).alias("ids"))
     return out.unionByName(whole)
 
 
@@ -160,8 +163,8 @@ def count_tokens(df: DataFrame, name: str, doc_id: str = "doc_id", text: str = "
     out = short.select("doc_id", _count_udf(name, folder)("text").alias("n_tokens"))
     if not os.path.exists(os.path.join(folder, f"{name}.tiktoken")):
         return out.unionByName(long.select("doc_id", _count_udf(name, folder)("text").alias("n_tokens")))
-    pieces = _pieces(long, chunk, overlap).select("doc_id", _count_udf(name, folder)("piece").alias("n"))
-    return out.unionByName(pieces.groupBy("doc_id").agg(F.sum("n").cast("int").alias("n_tokens")))
+    pieces = _pieces(long, chunk, overlap).select("row", "doc_id", _count_udf(name, folder)("piece").alias("n"))
+    return out.unionByName(pieces.groupBy("row", "doc_id").agg(F.sum("n").cast("int").alias("n_tokens")).select("doc_id", "n_tokens"))
 
 
 def decoded(ids: Column, name: str, folder: str = FOLDER) -> Column:

@@ -43,6 +43,13 @@ def test_long_texts_are_cut_into_pieces_that_add_up(spark):
     assert [r.piece for r in pieces if r.doc_id == 2] == ["q" * 3000]  # no boundary in common: encoded whole
 
 
+def test_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "word " * 90), (1, "word " * 90), (1, "other " * 90), (None, "more " * 90), (2, "x"), (2, "x")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), list(r.ids)) for r in K.encode_corpus(df, NAME, chunk=100, overlap=30).collect())
+    assert got == sorted((str(r.doc_id), reference(r.text)) for r in df.collect())
+    assert K.count_tokens(df, NAME, chunk=100, overlap=30).count() == 6
+
+
 def test_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     back = K.encode_corpus(df, NAME).select("doc_id", K.decoded(F.col("ids"), NAME).alias("t")).collect()
