@@ -9,6 +9,7 @@ the corpus itself never is.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
+from ..session import cut_lineage
 
-#: Most bytes of query vectors that are sent to the executors at once; further queries form further blocks.
+#: Most bytes of query vectors that are in the driver, and sent to the executors, at once; further queries form further blocks.
 BLOCK_BYTES = 32 * 1024 * 1024
 
 
@@ -56,19 +58,26 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, distance: str =
     """
     vector.metric(distance)
     distance = distance.lower()
-    rows = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where(F.size("v") > 0).toArrow()
-    ids = rows.column("id").to_numpy()
-    vectors = [np.asarray(v, dtype=np.float64)[:prefix] for v in rows.column("v").to_pylist()]
-    dim = len(vectors[0]) if vectors else 0
-    if any(len(v) != dim for v in vectors):
+    asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where(F.size("v") > 0)
+    known = asked.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if known.n and known.least != known.most:
         raise ValueError("query vectors differ in length")
-    full = len(rows.column("v")[0]) if len(rows) else 0
+    full = known.most or 0
     slim = corpus.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where(F.size("v") == full)
-    step = max(1, BLOCK_BYTES // max(1, 8 * dim))
-    parts = [_top(slim, ids[i : i + step], np.array(vectors[i : i + step]), k, distance, exclude_self, prefix) for i in range(0, max(1, len(ids)), step)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    blocks = max(1, -(-known.n * 8 * full // BLOCK_BYTES))
+    if blocks == 1:
+        return _nearest(asked, slim, k, distance, exclude_self, prefix)
+    # Only one block of queries is in the driver at a time; what is found for it is written before the next is read.
+    parts = [cut_lineage(_nearest(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), slim, k, distance, exclude_self, prefix)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(asked: DataFrame, slim: DataFrame, k: int, distance: str, exclude_self: bool, prefix: int | None) -> DataFrame:
+    """The nearest points of ``slim`` for one block of queries (``id, v``)."""
+    rows = asked.toArrow()
+    ids = rows.column("id").to_numpy()
+    vectors = np.array([np.asarray(v, dtype=np.float64)[:prefix] for v in rows.column("v").to_pylist()])
+    found = _top(slim, ids, vectors, k, distance, exclude_self, prefix)
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), F.col("id"))
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.select("query_id", "id", (-F.col("s") if distance == "euclid" else F.col("s")).alias("score"), "rank")

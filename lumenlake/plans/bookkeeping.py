@@ -280,7 +280,7 @@ def event_sessions(spark, d):
     return s.select("user_id", "n", F.unix_micros("session_start").alias("session_start_us"))
 
 
-@R.query()
+@R.query("SELECT event_id, k % 6 <= 3 AS ok, CAST(least(k % 6, 3) + 1 AS INT) AS attempts FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")
 def retry_plan(spark, d):
     """Items of every event; an attempt succeeds once its number reaches the item's k modulo 6. Items that need more than 3 retries stay failed."""
     items = table(spark, d, "events").select("event_id", (F.get_json_object("props", "$.k").cast("int") % 6).alias("needs"))

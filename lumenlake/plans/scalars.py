@@ -101,7 +101,7 @@ def whole_number_labels(spark, d):
     return table(spark, d, "insta_content").select("id", text.whole_number(F.col("ig_play_count")).alias("whole"))
 
 
-@R.query()
+@R.query("SELECT id, CASE WHEN ig_play_count >= 1000000 THEN printf('%.1fM', CAST(ig_play_count / 1000000.0 AS DOUBLE)) WHEN ig_play_count >= 1000 THEN printf('%.1fK', CAST(ig_play_count / 1000.0 AS DOUBLE)) ELSE CAST(ig_play_count AS VARCHAR) END AS label FROM insta_content")
 def short_number_labels(spark, d):
     return table(spark, d, "insta_content").select("id", text.short_number(F.col("ig_play_count")).alias("label"))
 
@@ -180,7 +180,7 @@ def frame_explode(spark, d):
     return frames.explode_frames(li, "video", "total", "every").select("video.l_orderkey", "video.l_linenumber", "frame_no")
 
 
-@R.query()
+@R.query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE 16 END AS dim FROM documents")
 def encode_text_stub(spark, d):
     """Vectors of all captions by the deterministic stand-in encoder; dimension and norm only."""
     docs = table(spark, d, "documents").select("doc_id", "text")

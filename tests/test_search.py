@@ -49,7 +49,7 @@ def test_self_hit_is_first_and_ties_go_to_the_smaller_id(corpus):
 
 def test_queries_in_blocks_and_empty_query_table(corpus, monkeypatch):
     whole = {tuple(r) for r in search.knn_join(corpus.where("id < 9"), corpus, 3).collect()}
-    monkeypatch.setattr(search, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 150)
     assert {tuple(r)[:2] for r in search.knn_join(corpus.where("id < 9"), corpus, 3).collect()} == {x[:2] for x in whole}
     assert search.knn_join(corpus.where("id < 0"), corpus, 3).count() == 0
 
