@@ -265,13 +265,16 @@ def fit(captions: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> M
     frequencies, n_docs = document_frequencies(captions, "text")
     coded = labels.select("id", label_code(F.col("label")).alias("code")).where(F.col("code").isin(*LANGUAGES)).groupBy("id").agg(F.min("code").alias("code"), F.max("code").alias("hi")).where("code = hi")
     chosen = coded.select("id", "code").orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample)
-    rows = captions.where(F.length(F.trim("text")) > 0).join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"), F.first("code").alias("code")).orderBy(F.xxhash64("id")).collect()
-    texts, codes = [], []
-    for row in rows:
-        for _, _, s in sentences(normal(row.text)):
-            texts.append(s)
-            codes.append(row.code)
-    texts, codes = texts[:SAMPLE_SENTENCES], codes[:SAMPLE_SENTENCES]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, c, n, s) for i, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for n, (_, _, s) in enumerate(sentences(normal(t)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())], ["id", "code", "n", "sentence"])
+
+    whole = captions.where(F.length(F.trim("text")) > 0).join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"), F.first("code").alias("code"))
+    # Texts are cut where they are; the driver sees sentences, and no more than the bound.
+    rows = whole.mapInArrow(cut, "id string, code string, n int, sentence string").orderBy(F.xxhash64("id"), "id", "n").limit(SAMPLE_SENTENCES).collect()
+    texts, codes = [r.sentence for r in rows], [r.code for r in rows]
     if len(set(codes)) < 2:
         raise ValueError("fewer than two languages are labelled")
     support = _support(sorted(set(codes)))
