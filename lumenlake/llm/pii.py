@@ -220,7 +220,7 @@ _EMAIL = re.compile(rf"(?<![{_L}.+-])(?:mailto:)?[{_L}](?:[{_L}.+%-]*[{_L}])?@(?
 # Numbers: a run of digits with the usual separators, or a code of letters and digits.
 _NUMBER = re.compile(rf"(?<![{_L}А-яЁё.,:/#@€$£%~-])(?:\+\s?|00\s?)?\(?\+?\d[\d()\s./–-]{{4,24}}\d(?:\s?(?:x|ext\.?|доб\.?)\s?\d{{1,5}})?(?![{_L}А-яЁё%€]|[.,:/-]\d)", re.I)
 _CODE = re.compile(
-    rf"(?<![{_L}А-яЁё@#/.:-])(?=[A-Z0-9 .–-]*\d)(?:[A-Z]{{6}} ?\d{{2}}[A-Z]\d{{2}} ?[A-Z]\d{{3}}[A-Z]|[A-Z]{{1,3}}[ .-]?\d[\d .–-]{{3,16}}[A-Z]{{0,2}}|\d[\d .–-]{{3,14}}[ .-]?[A-Z](?:[ .-]?\d{{1,4}})?|"
+    rf"(?<![{_L}А-яЁё@#/.:-])(?=[A-Z0-9 .–-]*\d)(?:[A-Z]{{6}} ?\d{{2}}[A-Z]\d{{2}} ?[A-Z]\d{{3}}[A-Z]|[A-Z]{{1,3}}[ .-]?\d(?:[ .–-]?\d){{3,14}}(?:[A-Z]{{1,2}}|[ -][A-Z](?: \d{{1,4}})?)?|\d(?:[ .–-]?\d){{3,13}}[ .-]?[A-Z](?:[ .-]?\d{{1,4}})?|"
     rf"[A-Z0-9]{{1,3}}\d{{2}}[A-Z0-9]{{4,9}}|[A-Z]{{1,2}}\d{{1,5}}[A-Z]{{1,3}}\d{{0,5}}[A-Z]{{0,2}})(?![{_L}А-яЁё])",
     re.I,
 )
@@ -319,7 +319,7 @@ def _kind(raw: str, digits: int, letters: bool, left: str, right: str) -> str |
     if _FISCAL.match(raw):
         return "ID_NUMBER"
     later = _ID_CUE.search(right)
-    if later and not re.match(r"[\s:.#№n°]{0,6}[A-Z]{0,3}\d", right[later.end() :], re.I):
+    if later and later.start() < _first(_PHONE_CUE, right) and not re.match(r"[\s:.#№n°]{0,6}[A-Z]{0,3}[ .-]?\d", right[later.end() :], re.I):
         return "ID_NUMBER"
     if letters:
         return None
@@ -367,7 +367,7 @@ _ADDRESSES = [
         re.I,
     ),
     re.compile(rf"(?<!\w)(?:{_W}\s+){{1,2}}(?:улиц\w+|ул\.|проспект\w*|переул\w+|пер\.|набережн\w+|наб\.|площад\w+|пл\.|бульвар\w*|шоссе|проезд\w*)\s*,?\s*(?:д(?:ом|\.)?\s*)?{_NO}(?!\w)", re.I),
-    re.compile("[一-龯々ぁ-ゖァ-ヶー]{1,12}?(?:町|通り|通|村|区|市|郷|台|丘|坂)?[0-90-9一二三四五六七八九十]{1,3}丁目[0-9]{1,3}(?:番地?|[-−ー])?[0-9]{0,3}(?:号|[-−][0-9]{1,4})?|[一-龯々]{1,8}(?:町|通り|村)[0-9]{1,4}番地"),
+    re.compile("[一-龯々ァ-ヶー]{1,12}(?:町|通り|通|村|区|市|郷|台|丘|坂)?[0-90-9一二三四五六七八九十]{1,3}丁目[0-9]{1,3}(?:番地?|[-−ー])?[0-9]{0,3}(?:号|[-−][0-9]{1,4})?|[一-龯々]{1,8}(?:町|通り|村)[0-9]{1,4}番地"),
 ]
 # Names: a given name or its initial with a surname, where the words around say that it is a person's.
 _P = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"  # one word of a name
