@@ -28,7 +28,7 @@ def before(text: Column, separator: str = "/frames/") -> Column:
     return F.split_part(text, F.lit(separator), F.lit(1))
 
 
-def parse_key(key: Column, own_platform: str = "oriane") -> Column:
+def parse_key(key: Column, own_platform: str = "own") -> Column:
     """``struct(platform, video_code, video_id, n, sec)`` of a frame's key, else null.
 
     Four parts are read only under ``own_platform`` (the code joins user and video with a dot), three

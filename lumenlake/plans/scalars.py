@@ -62,11 +62,11 @@ def frame_name_format(spark, d):
 
 
 @R.query(
-    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'oriane' ELSE event_type END AS platform, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id || '.v1' ELSE 'u' || user_id END AS video_code, CASE WHEN event_id % 3 = 0 THEN 'v1' ELSE 'u' || user_id END AS video_id, CAST(event_id AS INT) AS n, 12.5 AS sec FROM events WHERE event_id % 5 <> 0"""
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'own' ELSE event_type END AS platform, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id || '.v1' ELSE 'u' || user_id END AS video_code, CASE WHEN event_id % 3 = 0 THEN 'v1' ELSE 'u' || user_id END AS video_id, CAST(event_id AS INT) AS n, 12.5 AS sec FROM events WHERE event_id % 5 <> 0"""
 )
 def parse_keys(spark, d):
     name = F.when(F.col("event_id") % 5 == 0, F.lit("x_y.png")).otherwise(F.concat("event_id", F.lit("_12.5.png")))
-    key = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("oriane/u"), "user_id", F.lit("/v1/"), name)).otherwise(F.concat("event_type", F.lit("/u"), "user_id", F.lit("/"), name))
+    key = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("own/u"), "user_id", F.lit("/v1/"), name)).otherwise(F.concat("event_type", F.lit("/u"), "user_id", F.lit("/"), name))
     return objects.frame_keys(_events(spark, d).select("event_id", key.alias("key")).withColumn("key", F.col("key")), "key").join(
         _events(spark, d).select("event_id", key.alias("key")), "key"
     ).select("event_id", "platform", "video_code", "video_id", "n", "sec")

@@ -34,7 +34,7 @@ def test_folder_of(spark, key, want):
     "key, want",
     [
         ("instagram/c/1_2.50.png", ("instagram", "c", "c", 1, 2.5)),
-        ("oriane/u/v/3_4.png", ("oriane", "u.v", "v", 3, 4.0)),
+        ("own/u/v/3_4.png", ("own", "u.v", "v", 3, 4.0)),
         ("tiktok/u/v/3_4.png", None),
         ("instagram/c/x_y.png", None),
         ("instagram/c/video.mp4", None),

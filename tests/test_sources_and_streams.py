@@ -11,7 +11,7 @@ from lumenlake.streaming import loops
 
 @pytest.fixture()
 def store(tmp_path):
-    for key in ["instagram/c1/video.mp4", "instagram/c1/0_1.50.png", "instagram/c1/x_y.png", "oriane/u/v/2_3.png", "tiktok/c2/video.mp4", "youtube/c3/video.mp4", "a/b/c/d/1_1.png"]:
+    for key in ["instagram/c1/video.mp4", "instagram/c1/0_1.50.png", "instagram/c1/x_y.png", "own/u/v/2_3.png", "tiktok/c2/video.mp4", "youtube/c3/video.mp4", "a/b/c/d/1_1.png"]:
         (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / key).write_bytes(key.encode())
     return tmp_path
@@ -19,8 +19,8 @@ def store(tmp_path):
 
 def test_listing_and_keys(spark, store):
     keys = objects.listing(spark, str(store))
-    assert {r.key for r in keys.collect()} >= {"instagram/c1/video.mp4", "oriane/u/v/2_3.png"}
-    assert {(r.platform, r.video_code, r.n) for r in objects.frame_keys(keys).collect()} == {("instagram", "c1", 0), ("oriane", "u.v", 2)}
+    assert {r.key for r in keys.collect()} >= {"instagram/c1/video.mp4", "own/u/v/2_3.png"}
+    assert {(r.platform, r.video_code, r.n) for r in objects.frame_keys(keys).collect()} == {("instagram", "c1", 0), ("own", "u.v", 2)}
     assert {(r.platform, r.code) for r in objects.video_keys(keys).collect()} == {("instagram", "c1"), ("tiktok", "c2")}
     items = spark.createDataFrame([("instagram", "c1"), ("instagram", "zz"), (None, "c1"), ("tiktok", None)], "platform string, code string")
     assert [r.code for r in objects.available(items, keys).collect()] == ["c1"]
