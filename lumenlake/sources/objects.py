@@ -21,9 +21,9 @@ def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
 
 
-def frame_keys(keys: DataFrame, key: str = "key") -> DataFrame:
-    """``key, platform, video_code, video_id, n, sec`` of the keys of frames; other keys are skipped."""
-    parsed = keys.where(F.endswith(F.col(key), F.lit(".png"))).select(key, text.parse_key(F.col(key)).alias("p")).where("p IS NOT NULL")
+def frame_keys(keys: DataFrame, key: str = "key", own_platform: str = "own") -> DataFrame:
+    """``key, platform, video_code, video_id, n, sec`` of the keys of frames; other keys are skipped. Keys of ``own_platform`` have four parts."""
+    parsed = keys.where(F.endswith(F.col(key), F.lit(".png"))).select(key, text.parse_key(F.col(key), own_platform).alias("p")).where("p IS NOT NULL")
     return parsed.select(key, "p.*")
 
 
