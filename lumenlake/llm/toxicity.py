@@ -29,7 +29,7 @@ from .skeleton import skeleton
 BITS, NEIGHBOURS, LEAST_SIMILARITY, BLOCK = 18, 12, 0.2, 48
 
 #: Most terms that are kept as dense columns with a largest weight per block; all others are posting lists.
-FREQUENT = 256
+FREQUENT = 96
 
 #: Bounds of the labelled sample: documents (chosen by a hash of the id) and distinct passages of them.
 SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 8000, 60_000
@@ -239,18 +239,23 @@ class Index:
         n = len(self.texts)
         if not rare and not columns:
             return none
-        part = np.bincount(np.concatenate([r for r, _ in rare]), np.concatenate([v for _, v in rare]), n) if rare else np.zeros(n)
+        blocks = len(self.largest)
+        touched = np.concatenate([r for r, _ in rare]) if rare else np.zeros(0, np.int32)
+        part = np.bincount(touched, np.concatenate([v for _, v in rare]), blocks * BLOCK) if rare else np.zeros(blocks * BLOCK)
         if not columns:
             at = np.flatnonzero(part >= LEAST_SIMILARITY - 1e-9)
             return self._best(at, part[at], k)
-        values = np.array(values)
-        bound = np.repeat(self.largest[:, columns] @ values, BLOCK)[:n] + part
+        values = np.array(values, np.float64)
+        gain = self.largest[:, columns] @ values
+        bound = (part.reshape(blocks, BLOCK) + gain[:, None]).ravel()
         at = np.flatnonzero(bound >= LEAST_SIMILARITY - 1e-9)
+        at = at[at < n]
         if len(at) > 4 * k:  # the passages of the largest bounds give a first threshold
-            top = at[np.argpartition(-bound[at], 2 * k)[: 2 * k]]
+            reach = bound[at]
+            top = at[np.argpartition(-reach, 2 * k)[: 2 * k]]
             exact = part[top] + self.weights[np.ix_(top, columns)] @ values
             worst = np.partition(exact, len(exact) - k)[len(exact) - k]
-            at = at[bound[at] >= max(worst, LEAST_SIMILARITY) - 1e-9]
+            at = at[reach >= max(worst, LEAST_SIMILARITY) - 1e-9]
         exact = part[at] + self.weights[np.ix_(at, columns)] @ values
         near = exact >= LEAST_SIMILARITY - 1e-9
         return self._best(at[near], exact[near], k)
