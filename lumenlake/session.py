@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many tasks as there are cores, for work that is heavy per row: a few small files are dealt out, larger inputs are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
