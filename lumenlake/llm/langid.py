@@ -231,19 +231,26 @@ def train(texts: list[str], labels: list[str], df: np.ndarray, n_docs: int, alph
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
+    vectors = {}
+    for i in fit.tolist():
+        feature, count = np.unique(f[starts[i] : starts[i + 1]], return_counts=True)
+        x = count * idf[feature]
+        vectors[i] = feature, (x / max(float(np.linalg.norm(x)), 1e-9))[:, None]
     for _ in range(epochs):
-        for i in fit:
-            feature, count = np.unique(f[starts[i] : starts[i + 1]], return_counts=True)
+        for i in fit.tolist():
+            feature, x = vectors[i]
             if not len(feature):
                 continue
-            x = count * idf[feature]
-            x = x / np.linalg.norm(x)
-            w, b = weights(z[feature], n[feature]), weights(zb, nb)
-            g = softmax(x @ w + b)
+            zf, nf = z[feature], n[feature]
+            root = np.sqrt(nf)
+            w = (np.sign(zf) * l1 - zf) / ((beta + root) / alpha + l2) * (np.abs(zf) > l1)
+            b = weights(zb, nb)
+            g = softmax((x * w).sum(axis=0) + b)
             g[target[i]] -= 1.0
-            gx = x[:, None] * g[None, :]
-            z[feature] += gx - (np.sqrt(n[feature] + gx * gx) - np.sqrt(n[feature])) / alpha * w
-            n[feature] += gx * gx
+            gx = x * g
+            nf = nf + gx * gx
+            z[feature] = zf + gx - (np.sqrt(nf) - root) / alpha * w
+            n[feature] = nf
             zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * b
             nb += g * g
     model = Model(languages, idf, (weights(z, n) * idf[:, None]).astype(np.float32), weights(zb, nb))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import langid, packing, pii, skeleton, tokenizers, toxicity
 from .sql import ORACLE  # noqa: F401
 
@@ -26,7 +26,7 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizers.encode_corpus(table(spark, d, "documents"), VOCABULARY)
+    return tokenizers.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), VOCABULARY)
 
 
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"), tokenizers.count_tokens)
+    return packing.pack_documents(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "pack_capacities"), tokenizers.count_tokens)
 
 
 def p9_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _captions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "insta_content").select("id", F.col("caption").alias("text")).where("id IS NOT NULL AND caption IS NOT NULL")
+    return spread(table(spark, d, "insta_content").select("id", F.col("caption").alias("text")).where("text IS NOT NULL AND id IS NOT NULL"))
 
 
 def _caption_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.found(table(spark, d, "insta_content").where("id IS NOT NULL"), "id", "caption")
+    found = pii.found(spread(table(spark, d, "insta_content").select("id", "caption").where("id IS NOT NULL")), "id", "caption")
     return found.select(F.col("id").alias("insta_content_id"), "pii_type").distinct()
 
 
@@ -90,7 +90,7 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, d, "document_labels")))
 
 
