@@ -204,7 +204,8 @@ class Model:
         return total / np.sqrt(np.maximum(norm, 1e-9))[:, None] + self.bias
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        return softmax(self.scores(texts) / self.temperature)
+        parts = [softmax(self.scores(texts[i : i + 1000]) / self.temperature) for i in range(0, len(texts), 1000)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -222,20 +223,21 @@ def train(texts: list[str], labels: list[str], df: np.ndarray, n_docs: int, alph
     zb, nb = np.zeros(k), np.zeros(k)
     order = np.random.default_rng(seed).permutation(len(texts))
     held, fit = order[: len(order) // 10], order[len(order) // 10 :]
-    parts = grams(texts)
-    o, f = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-    by_owner = np.argsort(o, kind="stable")
-    o, f = o[by_owner], f[by_owner]
-    starts = np.searchsorted(o, np.arange(len(texts) + 1))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    vectors = {}
-    for i in fit.tolist():
-        feature, count = np.unique(f[starts[i] : starts[i + 1]], return_counts=True)
-        x = count * idf[feature]
-        vectors[i] = feature, (x / max(float(np.linalg.norm(x)), 1e-9))[:, None]
+    vectors: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(texts), 500):  # a few at a time: what is kept is one short vector per text
+        some = texts[at : at + 500]
+        parts = grams(some)
+        o, f = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        f = f[np.argsort(o, kind="stable")]
+        ends = np.cumsum(np.bincount(o, minlength=len(some)))
+        for i, end in enumerate(ends.tolist()):
+            feature, count = np.unique(f[(ends[i - 1] if i else 0) : end], return_counts=True)
+            x = count * idf[feature]
+            vectors.append((feature.astype(np.int32), (x / max(float(np.linalg.norm(x)), 1e-9)).astype(np.float32)[:, None]))
     for _ in range(epochs):
         for i in fit.tolist():
             feature, x = vectors[i]
