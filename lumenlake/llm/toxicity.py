@@ -37,8 +37,8 @@ SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 8000, 60_000
 #: A document is reported from this calibrated score on.
 THRESHOLD = 0.5
 
-#: A passage with a vote in this range is also read in stretches of so many words, as abuse may hide in a run-on one.
-SUSPECT, WINDOW = (0.07, 0.8), 8
+#: A passage of more words is also read in stretches of so many, as abuse may hide in a run-on one whose other words are clean.
+WINDOW = 8
 
 #: Weight and value of the prior in a vote.
 PRIOR_WEIGHT, PRIOR = 1.0, 0.05
@@ -393,9 +393,7 @@ def score_documents(docs: DataFrame, index: Index) -> DataFrame:
             for i, source, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 best, at = None, None
                 for raw, p in passages(t):
-                    s = max([score(x) for x in (p, *run_on(raw))], key=lambda x: x[0])
-                    if SUSPECT[0] <= s[0] < SUSPECT[1]:
-                        s = max([s, *map(score, windows(p))], key=lambda x: x[0])
+                    s = max([score(x) for x in (p, *run_on(raw), *windows(p))], key=lambda x: x[0])
                     if best is None or s[0] > best[0]:
                         best, at = s, raw
                 row = (i, source, ix.calibrated(best[0]), at, ix.texts[best[1]] if best[1] >= 0 else None, best[2]) if best else (i, source, 0.0, None, None, None)

@@ -83,3 +83,13 @@ def test_held_out_accuracy_and_rates(corpus):
     assert evidence.similarity > 0.5 and evidence.neighbour
     rates = {r.source: (r.n_documents, r.n_toxic) for r in T.source_rates(scored).collect()}
     assert set(rates) == {"comment", "ticket", "unknown"} and sum(n for n, _ in rates.values()) == docs.count()
+
+
+def test_abuse_at_the_end_of_a_clean_run_on_passage_is_found(spark, corpus):
+    index = T.fit(*corpus)
+    clean = " ".join(g.format(x) for x in ("harbour", "kettle", "market") for g in GOOD[:5])
+    texts = [clean, f"{clean} i will find you wretch", f"i will find you wretch {clean}"]
+    assert T.run_on(texts[1]) == [] and index.vote(*index.nearest(T.passages(texts[1])[0][1])) < T.PRIOR  # the clean words hide it
+    docs = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r.doc_id: r.score >= T.THRESHOLD for r in T.score_documents(docs, index).collect()}
+    assert got == {0: False, 1: True, 2: True}
