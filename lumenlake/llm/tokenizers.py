@@ -4,7 +4,8 @@ Short texts are encoded in Arrow batches. A long text is cut into overlapping ch
 pre-tokenised in parallel; neighbouring chunks are stitched where their pre-token boundaries
 resynchronise in the overlap, and the pieces between stitches are encoded in parallel too.
 A boundary that both chunks share is a true one, because a pre-token depends only on the text
-from its start on. A text without a common boundary in some overlap is encoded whole.
+from its start on. Texts are cut only behind a character that is no whitespace, because the pre-tokens of
+a run of whitespace depend on what follows it. A text without such a common boundary in some overlap is encoded whole.
 """
 
 from __future__ import annotations
@@ -96,10 +97,13 @@ def _count_udf(name: str, folder: str):
 
 
 def boundaries(text: str, last: bool) -> list[int]:
-    """Starts of the pre-tokens of a chunk. Unless it is the text's last chunk, those are left out that the missing rest could still move."""
+    """Starts of the pre-tokens of a chunk, without those behind whitespace, as a piece that ends there would be pre-tokenised otherwise than in its text.
+
+    Unless it is the text's last chunk, those are left out that the missing rest could still move. What lies before the chunk is not known here, so its own start stays; the chunk before it tells.
+    """
     import regex
 
-    starts = [m.start() for m in regex.finditer(PATTERN, text)]
+    starts = [s for m in regex.finditer(PATTERN, text) if not (s := m.start()) or not regex.match(r"\s", text[s - 1])]
     return starts if last else [s for s in starts if s <= len(text) - 4]
 
 

@@ -43,6 +43,17 @@ def test_long_texts_are_cut_into_pieces_that_add_up(spark):
     assert [r.piece for r in pieces if r.doc_id == 2] == ["q" * 3000]  # no boundary in common: encoded whole
 
 
+def test_cuts_at_every_position_beside_whitespace(spark):
+    unit = "One.\n\nHello there \n you, \n\n\nit's  two\t\n 3\r\n\r\nend. "
+    texts = ["a" * i + unit * 8 + "the end of it all, at last, in words" for i in range(len(unit))] + ["word\n\n" * 60, "." + "\n" * 400 + "x", "x \n" * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: reference(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: list(r.ids) for r in K.encode_corpus(df, NAME, chunk=100, overlap=40).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in K.count_tokens(df, NAME, chunk=100, overlap=40).collect()} == {i: len(x) for i, x in want.items()}
+    pieces = K._pieces(df, 100, 40).groupBy("doc_id").count().collect()
+    assert all(r["count"] == 5 for r in pieces if r.doc_id < len(unit))  # still cut
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "word " * 90), (1, "word " * 90), (1, "other " * 90), (None, "more " * 90), (2, "x"), (2, "x")], "doc_id long, text string")
     got = sorted((str(r.doc_id), list(r.ids)) for r in K.encode_corpus(df, NAME, chunk=100, overlap=30).collect())
