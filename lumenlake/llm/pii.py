@@ -126,6 +126,7 @@ _DIGIT_WORDS = (
     "ноль один два три четыре пять шесть семь восемь девять",
 )
 _WORD_DIGIT = {w: str(i) for line in _DIGIT_WORDS for i, w in enumerate(line.split())} | {"oh": "0", "tres": "3", "fuenf": "5", "fuhf": "5", "zwo": "2", "meia": "6", "нуль": "0"}
+_WORD = re.compile(r"[^\W\d_]+")
 _ONE_DIGIT = "|".join(sorted(_WORD_DIGIT, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:{_ONE_DIGIT})(?:[\s,.-]+(?:{_ONE_DIGIT})){{5,}}(?!\w)", re.I)
 _JA_DIGITS = re.compile("[〇零一二三四五六七八九](?:[-・ ]?[〇零一二三四五六七八九]){6,}")
@@ -137,13 +138,14 @@ _L = "A-Za-z0-9_À-ɏ"
 # Words for the at-sign and the dot.
 _AT = r"at|arroba|arobase|chiocciola|klammeraffe|собака|アット(?:マーク)?"
 _DOT = r"dot|punto|ponto|point|punkt|точка|ドット"
+_CAPITAL_KEYS = ("AT", "ARROBA", "AROBASE", "CHIOCCIOLA")
 _AT_KEYS = (" at ", "arroba", "arobase", "chiocciola", "klammeraffe", "собака", "アット")
 _DOT_KEYS = tuple(f" {w} " for w in _DOT.split("|"))
 _LABEL = rf"[{_L}](?:[{_L}-]*[{_L}])?"
 _HOST = rf"{_LABEL}(?:(?:\.|\s\.\s|\s*[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]\s*|\s+(?:{_DOT})\s+){_LABEL})+"
 _USER = rf"(?<![{_L}.+-])([{_L}](?:[{_L}.+-]*[{_L}])?"
 _BRACKETED_AT = re.compile(rf"{_USER})\s*[(\[{{<]\s*(?:{_AT}|@|a)\s*[)\]}}>]\s*({_HOST})", re.I)
-_CAPITAL_AT = re.compile(rf"{_USER})\s+(?:AT|ARROBA|AROBASE|CHIOCCIOLA)\s+({_HOST})")
+_CAPITAL_AT = re.compile(rf"{_USER})\s+(?:{'|'.join(_CAPITAL_KEYS)})\s+({_HOST})")
 _SPELLED_AT = re.compile(rf"{_USER}(?:\s+(?:{_DOT})\s+{_LABEL})*)\s+(?:{_AT})\s+({_LABEL}(?:\s+(?:{_DOT})\s+{_LABEL})+)", re.I)
 _PLAIN_AT = re.compile(rf"(?<![{_L}.+-])([{_L}]+[.+_-][{_L}.+-]*[{_L}])\s+(?:{_AT})\s+({_LABEL}(?:\.{_LABEL})+)", re.I)
 _SIGN_AT = re.compile(rf"{_USER})\s?@\s?({_HOST})", re.I)
@@ -164,9 +166,9 @@ def normal_form(source: str) -> Tape:
     """The text as the detectors read it. Texts of any length; linear in it."""
     tape = folded(source)
     lower = tape.text.lower()
-    if any(w in lower for w in ("three", "five", "cinco", "cinq", "fünf", "cinque", "пять", "seven", "siete", "sete", "sept", "sieben", "sette", "nine", "nueve", "nove", "neuf", "neun", "четыре")):
-        tape = tape.rewrite(_SPELLED, lambda m: "".join(_WORD_DIGIT[w] for w in re.findall(r"[^\W\d_]+", m[0].lower())))
-    if any(c in lower for c in "〇零七九"):
+    if sum(map(_WORD_DIGIT.__contains__, _WORD.findall(lower))) >= 6:
+        tape = tape.rewrite(_SPELLED, lambda m: "".join(_WORD_DIGIT[w] for w in _WORD.findall(m[0].lower())))
+    if any(c in lower for c in _JA_VALUE):
         tape = tape.rewrite(_JA_DIGITS, lambda m: "".join(_JA_VALUE.get(c, "") for c in m[0]))
     return Tape(one_script(tape.text), tape.start, tape.end)
 
@@ -199,10 +201,10 @@ def latin_form(tape: Tape) -> Tape:
     """The tape with look-alike letters mapped to Latin ones and at- and dot-disguises undone: for mail addresses and codes."""
     text = tape.text if tape.text.isascii() else tape.text.translate(_PROTOTYPES)
     tape = Tape(text, tape.start, tape.end)
-    low = text.lower()
+    low = " ".join(text.lower().split())  # blanks of any kind, as in the patterns
     if "(" in text or "[" in text or "{" in text or "<" in text:
         tape = tape.rewrite(_BRACKETED_AT, _joined)
-    if " AT " in text or " ARROBA " in text or " CHIOCCIOLA " in text:
+    if any(k in text for k in _CAPITAL_KEYS):
         tape = tape.rewrite(_CAPITAL_AT, lambda m: _joined(m) if not text.isupper() or re.search(rf"\s(?:{_DOT})\s|\.", m[2], re.I) else None)
     if any(k in low for k in _AT_KEYS):
         if any(k in low for k in _DOT_KEYS):

@@ -98,3 +98,20 @@ def test_on_tables(spark):
     assert sorted((r.id, r.pii_type) for r in P.found(df, "id", "caption").distinct().collect()) == [("a", "EMAIL"), ("a", "EMAIL")]
     assert P.found(df.limit(0), "id", "caption").count() == 0
     assert [r[0] for r in df.select(P.redacted(df.caption)).collect()] == ["mail [EMAIL] or [EMAIL]", None, " ", "mail [EMAIL] or [EMAIL]"]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("телефон один два три ноль шесть семь восемь", ["PHONE"]),
+        ("Telefon null eins zwei drei vier fuenf sechs acht", ["PHONE"]),
+        ("llama al uno dos tres cuatro seis ocho uno dos tres", ["PHONE"]),
+        ("call one two zero six eight four one two four", ["PHONE"]),
+        ("電話 一二三四五六八一二三", ["PHONE"]),
+        ("booking AROBASE post.mail.test", ["EMAIL"]),
+        ("booking\tAT\tpost.mail.test", ["EMAIL"]),
+        ("anna.lee\nat mail.test", ["EMAIL"]),
+    ],
+)
+def test_cheap_checks_pass_all_that_the_patterns_find(text, want):
+    assert [k for _, _, k in P.find(text)] == want
