@@ -219,8 +219,8 @@ def latin_form(tape: Tape) -> Tape:
 
 _EMAIL = re.compile(rf"(?<![{_L}.+-])(?:mailto:)?[{_L}](?:[{_L}.+%-]*[{_L}])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,24}}(?![{_L}-])", re.I)
 
-# Numbers: a run of digits with the usual separators, or a code of letters and digits.
-_NUMBER = re.compile(rf"(?<![{_L}А-яЁё.,:/#@€$£%~-])(?:\+\s?|00\s?)?\(?\+?\d[\d()\s./–-]{{4,24}}\d(?:\s?(?:x|ext\.?|доб\.?)\s?\d{{1,5}})?(?![{_L}А-яЁё%€]|[.,:/-]\d)", re.I)
+# Numbers: a run of digits of one line with the usual separators, or a code of letters and digits.
+_NUMBER = re.compile(rf"(?<![{_L}А-яЁё.,:/#@€$£%~-])(?:\+[^\S\n]?|00[^\S\n]?)?\(?\+?\d(?:[\d()./–-]|[^\S\n]){{4,24}}\d(?:[^\S\n]?(?:x|ext\.?|доб\.?)[^\S\n]?\d{{1,5}})?(?![{_L}А-яЁё%€]|[.,:/-]\d)", re.I)
 _CODE = re.compile(
     rf"(?<![{_L}А-яЁё@#/.:-])(?=[A-Z0-9 .–-]*\d)(?:[A-Z]{{6}} ?\d{{2}}[A-Z]\d{{2}} ?[A-Z]\d{{3}}[A-Z]|[A-Z]{{1,3}}[ .-]?\d(?:[ .–-]?\d){{3,14}}(?:[A-Z]{{1,2}}|[ -][A-Z](?: \d{{1,4}})?)?|\d(?:[ .–-]?\d){{3,13}}[ .-]?[A-Z](?:[ .-]?\d{{1,4}})?|"
     rf"[A-Z0-9]{{1,3}}\d{{2}}[A-Z0-9]{{4,9}}|[A-Z]{{1,2}}\d{{1,5}}[A-Z]{{1,3}}\d{{0,5}}[A-Z]{{0,2}})(?![{_L}А-яЁё])",
@@ -300,7 +300,7 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
                     raw, a = raw[head.end() :], a + head.end()
             digits = sum(c.isdigit() for c in raw)
             letters = sum(c.isalpha() for c in raw) if pattern is _CODE else 0
-            if digits < 5 or digits > 15 or pattern is _CODE and not letters or "\n" in raw:
+            if digits < 5 or digits > 15 or pattern is _CODE and not letters:
                 continue
             left, right = _near(text, a, b, 46, 46)
             kind = _kind(raw.strip(), digits, bool(letters), left, right)

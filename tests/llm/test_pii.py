@@ -115,3 +115,8 @@ def test_on_tables(spark):
 )
 def test_cheap_checks_pass_all_that_the_patterns_find(text, want):
     assert [k for _, _, k in P.find(text)] == want
+
+
+@pytest.mark.parametrize("text, want", [("call 600 123 456\n3 new clips", ["600 123 456"]), ("call 600 123 456\r\n\r\n3 new clips", ["600 123 456"]), ("12 clips, take 4\n+44 20 7946 0123", ["+44 20 7946 0123"]), ("call 600 123 456\n020 7946 0123", ["600 123 456", "020 7946 0123"])])
+def test_numbers_end_with_their_line(text, want):
+    assert [text[a:b] for a, b, k in P.find(text) if k == "PHONE"] == want
