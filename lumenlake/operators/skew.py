@@ -41,9 +41,12 @@ def eager_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
     return joined.select("*", *pair)
 
 
-def heavy_keys(joined: DataFrame, share: str, count: str = "l_n") -> DataFrame:
-    """Rows of ``joined`` whose ``count`` is at least ``share`` (a decimal, as text) of all rows counted; the total comes from the compact states."""
-    total = joined.agg(F.sum(count)).scalar()
+def heavy_keys(joined: DataFrame, share: str, count: str = "l_n", rows: DataFrame | None = None) -> DataFrame:
+    """Rows of ``joined`` whose ``count`` is at least ``share`` (a decimal, as text) of all rows of ``rows``, those without a key included.
+
+    Without ``rows`` the total comes from the compact states, which have no rows without a key.
+    """
+    total = (joined.agg(F.sum(count)) if rows is None else rows.agg(F.count("*"))).scalar()
     return joined.where(F.col(count) >= F.lit(Decimal(share)) * total)
 
 

@@ -61,7 +61,7 @@ def _account_join(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_keys(_account_join(spark, d, "left"), "0.02").select(F.col("key").alias("user_id"))
+    return skew.heavy_keys(_account_join(spark, d, "left"), "0.02", rows=table(spark, d, "insta_content")).select(F.col("key").alias("user_id"))
 
 
 def p7_account_totals(spark: SparkSession, d: str) -> DataFrame:

@@ -181,6 +181,16 @@ def test_heavy_keys(spark):
     assert skew.heavy_keys(skew.states(df.limit(0), "k", {}, "l_"), "0.02").count() == 0
 
 
+def test_share_of_heavy_accounts_is_that_of_all_rows(spark, tmp_path):
+    from lumenlake.plans import corpus
+
+    users = ["a"] * 20 + ["b"] * 19 + [f"u{i}" for i in range(861)] + [None] * 100
+    posts = spark.createDataFrame([(str(i), u, 1, 1) for i, u in enumerate(users)], "id string, user_id string, like_count long, comment_count long")
+    posts.write.parquet(str(tmp_path / "insta_content.parquet"))
+    spark.createDataFrame([("a", 1)], "user_id string, ig_play_count long").write.parquet(str(tmp_path / "insta_content_snapshots.parquet"))
+    assert [r.user_id for r in corpus.p7_found(spark, str(tmp_path)).collect()] == ["a"]
+
+
 def test_name_key(spark):
     df = spark.createDataFrame([(" @Ab.c ",), ("AB.C",), ("@",), (None,)], "n string")
     assert [r[0] for r in df.select(skew.name_key(F.col("n"))).collect()] == ["ab.c", "ab.c", None, None]
