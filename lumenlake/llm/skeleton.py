@@ -120,14 +120,19 @@ def look_alikes(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
 
     Only skeletons with two or more different strings can give a pair; they are found by a partial
     aggregation (smallest and largest string hash), so a skeleton that a third of all rows share as
-    one string costs nothing further. Exact copies of one id and string count once. Null ids give no pair;
+    one string costs nothing further. Different strings are paired before ids are attached, so no pair of
+    equal strings is built. Exact copies of one id and string count once. Null ids give no pair;
     empty tables give no rows.
     """
     looks = long_texts(df, id_column, fields).where(F.col("id").isNotNull()).select("field", F.unhex(F.md5("skeleton")).alias("look"), F.xxhash64("text").alias("form"), "id")
     various = looks.groupBy("field", "look").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("field", "look")
     members = looks.join(various, ["field", "look"]).distinct()
-    a, b = (members.select("field", "look", F.col("form").alias(f"form_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
-    return a.join(b, ["field", "look"]).where("form_a <> form_b AND id_a < id_b").select("field", "id_a", "id_b").distinct()
+    forms = members.select("field", "look", "form").distinct()
+    x, y = (forms.select("field", "look", F.col("form").alias(f"form_{c}")) for c in "xy")
+    pairs = x.join(y, ["field", "look"]).where("form_x < form_y")
+    for c in "xy":
+        pairs = pairs.join(members.select("field", "look", F.col("form").alias(f"form_{c}"), F.col("id").alias(f"id_{c}")), ["field", "look", f"form_{c}"])
+    return pairs.where("id_x <> id_y").select("field", F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")).distinct()
 
 
 def consistent(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Problem 2."""
 
+import re
 import unicodedata
 from itertools import combinations
 
@@ -70,6 +71,16 @@ def test_pairs_against_brute_force(spark):
     assert S.look_alikes(df.limit(0), "id", ["caption"]).count() == 0
 
 
+def test_equal_strings_are_never_paired(spark):
+    rows = [(f"i{n:05}", "love this") for n in range(3000)] + [("j1", "lоve this"), ("j2", "love thіs"), ("i00007", "lоve this")]
+    df = S.look_alikes(spark.createDataFrame(rows, "id string, caption string"), "id", ["caption"])
+    got = [(r.id_a, r.id_b) for r in df.collect()]
+    want = {(i, j) for i, _ in rows[:3000] for j in ("j1", "j2")} | {tuple(sorted((i, "i00007"))) for i, _ in rows[:3000] if i != "i00007"} | {("j1", "j2")}
+    assert set(got) == want and len(got) == len(want)
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and re.search(r"\bid_", x)]
+    assert joins and all(re.search(r"(?<!NOT )\(form_\w+#\d+L? = form_\w+#\d+L?\)", x) for x in joins)  # ids meet only over one string of a pair
+
+
 def test_consistent_and_classes(spark):
     df = spark.createDataFrame([("a", "соffее"), ("b", "coffee"), ("c", "coffee"), ("d", None), ("e", "👨\u200d👩\u200d👧")], "id string, caption string")
     got = {r.id: r.consistent for r in S.consistent(df, "id", ["caption"]).collect()}
