@@ -9,6 +9,7 @@ to the source and replaced by typed placeholders, so that everything else stays
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import DEEDS, INTRODUCTIONS, STOP, USUAL, Lexicon, bare, names
 from .skeleton import _PROTOTYPES, _SHAPE
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
@@ -231,24 +233,28 @@ _CODE = re.compile(
 _ID_CUE = re.compile(
     r"(?<!\w)(?:id(?:\s?(?:no\.?|number|card|nr\.?|№))?|identity|identit[àé]|identidade?|identidad|identité|passports?|passport|pasaporte|passaporte|passeport|passaporto|reisepass\w*|ausweis\w*|personalausweis\w*|"
     r"licen[cs]e|licencia|licença|permis|patente|führerschein\w*|carnet|dni|nie|nif|cpf|rg|ssn|social security|seguridad social|sécurité sociale|insee|codice fiscale|cod\. fiscale|tax(?:\s?id)?|steuer\w*|steuer-?id|rfc|curp|"
-    r"documento|document|carte d'identité|pièce d'identité|tessera|bürger\w*|паспорт\w*|инн|снилс|удостоверени\w*|водительск\w*|документ\w*|身分証\w*|身分証明書|マイナンバー|免許証?|旅券|パスポート|social)(?!\w)|身分証|免許|旅券|パスポート|マイナンバー",
+    r"documento|document|dl|d\.l\.|nino|national insurance|insurance|carte d'identité|pièce d'identité|tessera|bürger\w*|паспорт\w*|инн|снилс|удостоверени\w*|водительск\w*|документ\w*|身分証\w*|身分証明書|マイナンバー|免許証?|旅券|パスポート|social)(?!\w)|身分証|身份证|免許|旅券|パスポート|マイナンバー",
     re.I,
 )
 _PHONE_CUE = re.compile(
-    r"☎|📞|📱|✆|(?<!\w)(?:call|ring|text|phone|tel\.?|mobile|whats\s?app|line|dial|fastest way|reach|llama\w*|ll[aá]m\w*|número de siempre|numero de siempre|teléfono|tfno?\.?|móvil|liga|ligue|telefone|telemóvel|contat[oe]|contacto|"
-    r"appelez\w*|appelle\w*|tél\.?|téléphone|joindre|ruft|anruf\w*|rufen|telefon\w*|handy|erreichbar|chiama\w*|telefono|cell\.?|cellulare|messaggi|manda mensagem|mensagem|mensajes?|звони\w*|телефон\w*|тел\.?|пиши\w*)(?!\w)|"
-    r"電話|携帯|連絡|問い合わせ|スタジオは",
+    r"☎|📞|📱|✆|(?<!\w)(?:call|ring|text|phone|tel\.?|mobile|whats\s?app|line|dial|reach|message|llama\w*|ll[aá]m\w*|teléfono|tfno?\.?|móvil|liga|ligue|telefone|telemóvel|contat[oe]|contacto|"
+    r"appelez\w*|appelle\w*|tél\.?|téléphone|joindre|ruft|anruf\w*|rufen|telefon\w*|handy|erreichbar|chiama\w*|telefono|cell\.?|cellulare|messaggi|mensagem|mensajes?|звони\w*|телефон\w*|тел\.?|пиши\w*)(?!\w)|"
+    r"電話|携帯|連絡|問い合わせ",
     re.I,
 )
 _NUMBER_CUE = re.compile(r"(?<!\w)(?:number|número|numero|numéro|nummer|номер\w*)(?!\w)|番号", re.I)
 _NO_CUE = re.compile(
     r"(?<!\w)(?:isbn|issn|ean|upc|sku|gtin|doi|lot|batch|code|promo|coupon|order|parcel|tracking|shipment|invoice|pedido|encomenda|commande|colis|bestellung|paket|sendung|ordine|pacco|заказ\w*|посылк\w*|"
-    r"frames?|views?|reviews?|fps|iso|tc|img|dsc|mov|version|v|rated|item|serial|model|part no|ref|résumé|likes?|followers?|km|kg|mm|px|hz|mah|gb|mb|kb|ms|sec|min|hours?|photos?|apples)(?!\w)|注文番号|伝票|品番|回|枚|フレーム",
+    r"frames?|views?|reviews?|fps|iso|tc|img|dsc|mov|version|v|rated|item|serial|model|part no|ref|résumé|likes?|followers?|km|kg|mm|px|hz|mah|gb|mb|kb|ms|sec|min|hours?|photos?)(?!\w)|注文番号|伝票|品番|回|枚|フレーム",
     re.I,
 )
 _DATE = re.compile(r"^\s*(?:\d{1,2}[./-]\d{1,2}[./-](?:19|20)?\d{2}|(?:19|20)\d{2}[./-]\d{1,2}[./-]\d{1,2})(?:\s*[ /T,]\s*\d{1,2}(?:[:.]\d{2})*)?\s*$")
 
 
+#: Characters on each side of a number in which words that explain it are looked for, within its line and sentence.
+CONTEXT = 60
+
+
 def _near(text: str, a: int, b: int, before: int, after: int) -> tuple[str, str]:
     """Context within the same line and sentence."""
     left = text[max(0, a - before) : a]
@@ -266,12 +272,12 @@ def _last(pattern: re.Pattern, text: str) -> int:
     at = None
     for m in pattern.finditer(text):
         at = m
-    return len(text) - at.end() if at else 1 << 20
+    return len(text) - at.end() if at else _NEVER
 
 
 def _first(pattern: re.Pattern, text: str) -> int:
     m = pattern.search(text)
-    return m.start() if m else 1 << 20
+    return m.start() if m else _NEVER
 
 
 _SHAPES = re.compile(
@@ -284,7 +290,27 @@ _SHAPES = re.compile(
     r"|0\d{1,3}[\s-]\d{3,4}[\s.-]\d{4}"
     r"|[679]\d{2}[\s.-]?\d{2,3}[\s.-]?\d{2,3}(?:[\s.-]\d{2,3})?)$"  # mobile numbers of nine digits
 )
-_SSN = re.compile(r"^\d{3}([ -])\d{2}\1\d{4}$")
+_NEVER = 1 << 20
+_TRUNK = re.compile(r"0\d{9,10}$")  # a national number in one piece
+_NAMED = re.compile(r"[はが：:]\s*$")
+
+#: Most digits of a telephone number: 15 of an international one, and an extension.
+LONGEST_PHONE = 20
+
+# Formats of identity numbers of persons that speak for themselves.
+_IDENTITY = re.compile(
+    r"(?:\d{3}([ -])\d{2}\1\d{4}"  # United States
+    r"|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]"  # United Kingdom
+    r"|\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]"  # Spain
+    r"|[A-Z]{6} ?\d{2}[A-Z]\d{2} ?[A-Z]\d{3}[A-Z]"  # Italy
+    r"|[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d[\dAB] ?\d{3} ?\d{3}(?: ?\d{2})?"  # France
+    r"|\d{3}\.\d{3}\.\d{3}-\d{2}"  # Brazil
+    r"|\d{3}-\d{3}-\d{3}[ -]\d{2}"  # Russia
+    r"|\d{6}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dX]"  # China
+    r"|[A-Z]{4}\d{6}[HM][A-Z]{5}[A-Z0-9]\d|[A-Z]{4}\d{6}[A-Z0-9]{3}"  # Mexico
+    r"|D\.?L\.?[ -]?\d{6,12})$",  # driving licences
+    re.I,
+)
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
@@ -296,13 +322,16 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
                 raw = raw.rstrip(" .–-")
                 b = a + len(raw)
                 head = re.match(r"([^\W\d_]+)[ .-]+", raw)
-                if head and (head[1].lower() in _STOP or head[1].lower() in ("no", "nr", "es") or _ID_CUE.fullmatch(head[1])):
+                if head and _ID_CUE.fullmatch(head[1]) and sum(c.isdigit() for c in raw) >= 5:
+                    yield a, b, "ID_NUMBER"
+                    continue
+                if head and (head[1].lower() in STOP or head[1].lower() in ("no", "nr", "es")):
                     raw, a = raw[head.end() :], a + head.end()
             digits = sum(c.isdigit() for c in raw)
             letters = sum(c.isalpha() for c in raw) if pattern is _CODE else 0
-            if digits < 5 or digits > 15 or pattern is _CODE and not letters:
+            if digits < 5 or pattern is _CODE and not letters:
                 continue
-            left, right = _near(text, a, b, 46, 46)
+            left, right = _near(text, a, b, CONTEXT, CONTEXT)
             kind = _kind(raw.strip(), digits, bool(letters), left, right)
             if kind:
                 yield a, b, kind
@@ -314,27 +343,29 @@ def _kind(raw: str, digits: int, letters: bool, left: str, right: str) -> str |
     after = _first(_NO_CUE, right)
     if _DATE.match(raw) or after <= 3 and min(ident, phone) > 12 or no <= 12 and no < min(ident, phone):
         return None
+    number = _last(_NUMBER_CUE, left)
+    if ident < 40 and number + 20 < ident and number < 20 and not letters:
+        ident, phone = _NEVER, number  # "DNI 123. My number: 456"
     if ident < 40 or phone < 40:
         if ident <= phone or letters and ident < 40:
             return "ID_NUMBER"
-        return "PHONE" if digits >= 6 and not letters else None
-    if _FISCAL.match(raw):
+        return "PHONE" if 6 <= digits <= LONGEST_PHONE and not letters else None
+    if _IDENTITY.match(raw):
         return "ID_NUMBER"
     later = _ID_CUE.search(right)
     if later and later.start() < _first(_PHONE_CUE, right) and not re.match(r"[\s:.#№n°]{0,6}[A-Z]{0,3}[ .-]?\d", right[later.end() :], re.I):
         return "ID_NUMBER"
     if letters:
         return None
-    if _SSN.match(raw):
-        return "ID_NUMBER"
-    if digits >= 6 and (_first(_PHONE_CUE, right) < 30 or _last(_NUMBER_CUE, left) < 20):
+    if digits > LONGEST_PHONE:
+        return None
+    if digits >= 6 and (_first(_PHONE_CUE, right) < 30 or number < 20 or _TRUNK.match(raw) and _NAMED.search(left)):
         return "PHONE"
     if digits >= 7 and _SHAPES.match(raw) or _ALONE.match(raw) and _stands_alone(left, right):
         return "PHONE"
     return None
 
 
-_FISCAL = re.compile(r"[A-Z]{6} ?\d{2}[A-Z]\d{2} ?[A-Z]\d{3}[A-Z]$", re.I)
 _ALONE = re.compile(r"^(?:\d{3}-\d{4}|\d{2,4}(?:[\s.-]\d{2,4}){2,4}|\d{2,3}[\s-]\d{7,9}|0\d{8,11}|8(?:[\s-]\d{2,3}){2,4}|[5-9]\d{8})$")
 
 
@@ -363,115 +394,16 @@ _ADDRESSES = [
         re.I,
     ),
     re.compile(rf"(?<!\w)[^\W\d_][\w'’-]*(?:stra(?:ß|ss)e|str\.|gasse|gässchen|weg|platz|allee|ring|ufer|damm|steig|steg|pfad|chaussee|promenade|graben|markt)\s+{_NO}(?!\w|[.,:]\d|\s*[%€])", re.I),
-    re.compile(rf"(?<!\w)(?:am|an der|im|in der|zum|zur|auf der|auf dem|unter den)\s+[A-ZÄÖÜ][\w-]+\s+\d{{1,4}}\s?[a-z]?,\s*\d{{5}}"),
+    re.compile(rf"(?<!\w)(?:[Aa]m|[Aa]n der|[Ii]m|[Ii]n der|[Zz]um|[Zz]ur|[Aa]uf de[rm]|[Uu]nter den)\s+(?:[A-ZÄÖÜ][\w-]+\s+){{1,2}}\d{{1,4}}\s?[a-z]?(?=,\s*(?:\d{{5}}|[A-ZÄÖÜ])|\s*\(\d)"),
+    re.compile(r"(?<!\w)(?:[Aa]m|[Aa]n der|[Ii]m|[Zz]um|[Zz]ur|[Aa]uf de[rm]|[Uu]nter den)\s+[A-ZÄÖÜ][\w-]+\s+[A-ZÄÖÜ][\w-]+\s+(?!(?:19|20)\d\d)\d{1,4}\s?[a-z]?(?=[.;!]|\s*$|\s*[✨🙌\n])", re.M),
     re.compile(
         rf"(?<!\w)(?:ул(?:ица|ице|ицу|ицы|\.)?|пр(?:оспект\w*|-?кт|-т|\.)|пер(?:еул\w+|\.)|наб(?:ережн\w+|\.)|пл(?:ощад\w+|\.)|бульвар\w*|б-р|шоссе|ш\.|проезд\w*|пр-д|аллея|тупик)\s*(?:{_W}\s*){{1,3}}?,?\s*(?:д(?:ом|\.)?\s*)?{_NO}(?!\w)",
         re.I,
     ),
     re.compile(rf"(?<!\w)(?:{_W}\s+){{1,2}}(?:улиц\w+|ул\.|проспект\w*|переул\w+|пер\.|набережн\w+|наб\.|площад\w+|пл\.|бульвар\w*|шоссе|проезд\w*)\s*,?\s*(?:д(?:ом|\.)?\s*)?{_NO}(?!\w)", re.I),
     re.compile("[一-龯々ァ-ヶー]{1,12}(?:町|通り|通|村|区|市|郷|台|丘|坂)?[0-90-9一二三四五六七八九十]{1,3}丁目[0-9]{1,3}(?:番地?|[-−ー])?[0-9]{0,3}(?:号|[-−][0-9]{1,4})?|[一-龯々]{1,8}(?:町|通り|村)[0-9]{1,4}番地"),
+    re.compile("(?:[一-龯々]{1,4}[都道府県])?[一-龯々ァ-ヶー]{1,8}[市区町村郡][一-龯々ァ-ヶーの]{0,10}[0-9]{1,4}[-−‐ー][0-9]{1,4}(?:[-−‐ー][0-9]{1,5})?(?![0-9])"),
 ]
-# Names: a given name or its initial with a surname, where the words around say that it is a person's.
-_P = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"  # one word of a name
-_INITIAL = r"[^\W\d_]\.(?:\s?[^\W\d_]\.)?"
-_NAME = rf"(?:{_P}\s*,\s*{_P}(?:\s+{_INITIAL})?|{_INITIAL}\s*{_P}(?:\s+{_P})?|{_P}\s+(?:{_INITIAL}\s*)?{_P}|{_P}\s+{_P}\s*,\s*{_P})"
-_LONG = rf"(?:{_P}\s+{_P}\s*,\s*{_P}|{_NAME}(?:\s+{_P})?)"  # with a second surname, where an end is given
-# Common words that no name contains.
-_STOP = set(
-    "the a an and or of on in at to for from with by my our your his her its we i you he she they it this that these those is are was were be been not no yes so but as if all every one two three new old last late right "
-    "before after while during between during somewhere nobody somebody everyone more most only very just please love which where what who how when please day days way ways time year friends friend team crew whole sister brother "
-    "el la los las un una unos unas y o de del al en con por para sin que mi tu su nos se lo le les es son fue yo entre antes después desde mientras hoy ayer todo toda casi "
-    "os as um uma uns umas e ou do da dos das no na nos nas ao à com por para sem que meu minha seu sua eu nós se foi são entre antes depois enquanto hoje ontem tudo toda quase quem "
-    "le les des du au aux et ou dans sur avec pour par sans que qui ma ton son notre nous je il elle on est sont été entre avant après pendant ce cette tout toute "
-    "der die das den dem des ein eine einen einem einer und oder in im am an auf mit für von zu zum zur bei aus nach vor während wir ich ihr er sie es ist sind war mein meine unser zwischen gleich irgendwo ganze letztes heute "
-    "il lo gli un uno una di del della dei delle da dal in nel nella con su per tra fra che mio mia nostro noi io è sono era ho abbiamo prima dopo mentre oggi tutta tutto "
-    "и в во на с со к по за из от до для без у о об мы я ты он она они это этот эта был была не но а как что кто сразу после когда между пока никто вся".split()
-)
-
-_END_OF = r"(?=\s*(?:[.,;:!?✨)\n|–—-]|$)|\s+[^\w\s]|\s+[A-ZÀ-ÞА-ЯЁ0-9@#]|\s+(?:" + "|".join(sorted(_STOP)) + r")(?!\w))"
-
-# Words before a name, words after it, and pairs of both.
-_BEFORE = (
-    r"shot by|filmed by|photo(?:s|graphy)? by|photographed by|edited by|video by|pictures? by|directed by|words by|styled by|made by|credits?:|ph:|camera:|model:|"
-    r"grabado por|filmado por|fotos? (?:de|por)|vídeo (?:de|por)|editado por|rodado por|gravado por|fotografia de|"
-    r"filmé par|tourné par|photos? (?:de|par)|monté par|image de|vidéo de|gefilmt von|fotos? von|gedreht von|geschnitten von|kamera:|filmato da|girato da|ripreso da|foto di|montato da|riprese di|video di|"
-    r"снима(?:л|ла|ет)|снято|съемка:|фото:|видео:|монтаж:|оператор:?|за (?:камерой|ударными|барабанами|гитарой|клавишами)"
-)
-_AFTER = (
-    r"taught me|taught us|showed me how|is on (?:the )?(?:drums|guitar|bass|keys|vocals|camera|sound)|on (?:the )?(?:drums|guitar|bass|keys|vocals)(?!\w)|me enseñó este truco|me ensinou este truque|m'a appris|hat mir .{0,20}beigebracht|mi ha insegnato|"
-    r"научил(?:а)? меня|показал(?:а)? мне этот|à la batterie|a la batería|na bateria|am schlagzeug|alla batteria|на ударных|на барабанах"
-)
-_PAIRS = (
-    (r"(?:huge |many |big |special )?(?:thanks|thank you|props|shout ?out|kudos) to", r"for(?!\w)"),
-    (r"my (?:teacher|friend|neighbour|brother|sister|cousin|boss|coach|mentor|colleague|uncle|aunt)", r"(?:hated|loved|liked|taught|said|says|saw|made|helped|is|was)(?!\w)"),
-    (r"with", r"(?:and (?:a|the|my|his|her|our) (?:very )?(?:small |tiny |little )?(?:crew|team|band)|on (?:the )?(?:drums|guitar|bass|keys|vocals))(?!\w)"),
-    (r"(?:muchas )?gracias a", r"por(?!\w)"),
-    (r"mi (?:profesora?|maestr[ao]|amig[ao]|vecin[ao]|herman[ao]|prim[ao])", r"(?:odió|odia|dijo|me enseñó|me dijo)(?!\w)"),
-    (r"con", r"a la (?:batería|guitarra|voz)|al bajo|a la cámara"),
-    (r"(?:muito )?obrigad[oa] a(?:o|à)?", r"(?:pela|pelo|por)(?!\w)"),
-    (r"(?:o meu|a minha) (?:professora?|amig[ao]|vizinh[ao])", r"(?:odiou|odeia|disse|adorou)(?!\w)"),
-    (r"com", r"na (?:bateria|guitarra|voz)|no baixo|na câmara"),
-    (r"(?:un grand )?merci (?:à|a)", r"(?:pour|de)(?!\w)"),
-    (r"(?:mon|ma) (?:prof(?:esseure?)?|amie?|voisine?|frère|sœur|cousine?)", r"(?:a détesté|déteste|a dit|a adoré)(?!\w)"),
-    (r"avec", r"(?:à|a) la (?:batterie|guitare|basse|caméra)|au chant"),
-    (r"(?:vielen )?(?:dank|danke) an", r"f(?:ü|u|ue)r(?!\w)"),
-    (r"mein(?:e)? (?:lehrer(?:in)?|freund(?:in)?|nachbar(?:in)?|bruder|schwester)", r"(?:hasste|hasst|sagte|mochte|liebte)(?!\w)"),
-    (r"mit", r"am (?:schlagzeug|bass|mikro)|an der (?:gitarre|kamera)"),
-    (r"grazie (?:mille )?(?:a|ad)", r"per(?!\w)"),
-    (r"(?:il mio|la mia) (?:maestr[oa]|professore(?:ssa)?|amic[oa]|vicin[oa])", r"(?:odiava|odia|ha detto|ha odiato)(?!\w)"),
-    (r"con", r"alla (?:batteria|chitarra|voce)|al basso"),
-    (r"спасибо", r"за(?!\w)"),
-    (r"(?:мой|моя|моему|моей) (?:учител\w+|друг\w*|подруг\w+|сосед\w*)", r"(?:ненавид\w+|сказал\w*|люб\w+)(?!\w)"),
-)
-_SIGNS = r"📷\s*:?|📸\s*:?|🎥\s*:?|📹\s*:?|🎬\s*:|👤\s*:?|©\s*|[–—]\s(?=\S)"
-
-# Words that make a name one of a firm, a venue, a team or a street.
-_FIRM = re.compile(
-    r"(?<!\w)(?:studios?|kitchen|coffee|audio|optics|lenses|bikes?|bakery|outfitters|gallery|galer[ií]a|galleria|galerie|museum|museo|café|cafe|bar|restaurant|hotel|shop|store|records|media|films?|pictures|productions?|gmbh|ltd|inc|llc|"
-    r"s\.?[al]\.?|co|company|group|team|school|university|institute|club|band|street|road|avenue|lane|court|square|calle|rua|via|piazza|str(?:aße|asse)|weg|platz|gasse|bakery|press|labs?|agency|foundation|church|hall|theatre|theater|park)(?!\w)|&|\+",
-    re.I,
-)
-
-
-def _bare(text: str) -> str:
-    """The text without accents, character for character."""
-    return text if text.isascii() else "".join(c if c in "йЙ" or not (d := unicodedata.decomposition(c)) or d[0] == "<" or (b := chr(int(d.split()[0], 16))) and not b.isalpha() or unicodedata.category(b) == "Lo" else b for c in text)
-
-
-def _fold_cues() -> tuple[re.Pattern, re.Pattern, list[re.Pattern], re.Pattern]:
-    sign = re.compile(rf"(?:^|(?<=[\s.!?…]))(?:{_SIGNS})\s*({_NAME}(?:\s+{_P})??)(?:{_END_OF})", re.M)
-    before = re.compile(_bare(rf"(?<!\w)(?:{_BEFORE})\s+({_NAME}(?:\s+{_P})??)(?:{_END_OF})"), re.I)
-    pairs = [re.compile(_bare(rf"(?<!\w){a}\s+({_LONG})\s+(?:{b})"), re.I) for a, b in _PAIRS]
-    capital = re.compile(rf"(?:{_SIGNS})\s*([A-ZÀ-ÞА-ЯЁ][^\W\d_]+\s+(?:{_INITIAL}\s*)?[A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:-[^\W\d_]+)*)(?=\s+[a-zà-ÿа-яё])")
-    return sign, before, pairs, capital
-
-
-_SIGN_NAME, _BEFORE_NAME, _PAIR_NAMES, _CAPITAL_NAME = _fold_cues()
-
-
-def _keys(pattern: str) -> tuple[str, ...]:
-    """Literal texts of which one must occur where the pattern matches: the longest plain stretch of each alternative."""
-    depth, part, parts = 0, "", []
-    for c in _bare(pattern):
-        depth += (c == "(") - (c == ")")
-        if c == "|" and not depth:
-            parts.append(part)
-            part = ""
-        else:
-            part += c
-    out = []
-    for p in [*parts, part]:
-        p = p.replace("(?!\\w)", "")
-        if (m := re.match(r"\(\?:([^()]*)\)", p)) and "?" not in p[m.end() : m.end() + 1]:
-            out += _keys(m[1])  # one of the alternatives of the first group
-            continue
-        plain = re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)\??|\\.|\.\{[^}]*\}|.\?|\[[^\]]*\]\??", "\0", p)
-        out.append(max(plain.split("\0"), key=len))
-    return tuple(out) if all(out) else ("",)
-
-
-_AFTER_HINT = re.compile(_bare(_AFTER), re.I)
-
 # Stretches of which one occurs in every address of a pattern, in the order of _ADDRESSES; none given means any digit.
 _ADDRESS_KEYS = (
     " st| rd| road| lane| ln| av| court| ct| sq| dr| way| close| terrace| pl| row| hill| cres| boul| blvd| mews| walk| garden| grove| parade| quay| yard| alley| parkway| pkwy",
@@ -479,126 +411,67 @@ _ADDRESS_KEYS = (
     "rue|avenue|av.|b|imp|pl|ch|all|quai|route|rte|passage|cours|square|sentier|venelle|villa",
     "stra|str.|gasse|gasschen|weg|platz|allee|ring|ufer|damm|steig|steg|pfad|chaussee|promenade|graben|markt",
     "am |an der |im |in der |zum |zur |auf de|unter den ",
+    "am |an der |im |zum |zur |auf de|unter den ",
     "ул|пр|пер|наб|пл|бульвар|б-р|ш|алле|туп",
     "улиц|ул.|просп|переул|пер.|набереж|наб.|площад|пл.|бульвар|шоссе|проезд",
     "丁目|番地",
+    "市|区|町|村|郡",
 )
 
 
 def _automaton():
-    """Finds in one pass which patterns a text can match at all."""
+    """Finds in one pass which address patterns a text can match at all, and where phrases that introduce a person end."""
     import ahocorasick
 
-    of: dict[str, set[str]] = {}
-    groups = {"before": _keys(_BEFORE), "after": _keys(_AFTER)}
-    for i, (a, b) in enumerate(_PAIRS):
-        groups |= {f"left{i}": _keys(a), f"right{i}": _keys(b)}
+    of: dict[str, list[str]] = {}
     for i, keys in enumerate(_ADDRESS_KEYS):
-        groups[f"address{i}"] = tuple(_bare(keys).split("|"))
-    for name, keys in groups.items():
-        for k in keys:
-            if k:
-                of.setdefault(k, set()).add(name)
+        for k in bare(keys).split("|"):
+            of.setdefault(k, []).append(f"address{i}")
+    for kind, phrases in (("intro", INTRODUCTIONS), ("deed", DEEDS)):
+        for phrase in phrases:
+            of.setdefault(phrase, []).append(kind)
     out = ahocorasick.Automaton()
-    for k, names in of.items():
-        out.add_word(k, frozenset(names))
+    for k, kinds in of.items():
+        out.add_word(k, (len(k), frozenset(kinds)))
     out.make_automaton()
-    return out, frozenset(name for name, keys in groups.items() if "" in keys)
+    return out
 
 
-_AUTOMATON, _ALWAYS = _automaton()
+_AUTOMATON = _automaton()
 
 
-def _possible(low: str) -> set[str]:
-    out = set(_ALWAYS)
-    for _, names in _AUTOMATON.iter(low):
-        out |= names
-    return out
+def _possible(low: str) -> tuple[set[str], list[int], list[int]]:
+    """Address patterns that can match, ends of introducing phrases and starts of phrases of deeds, of a text in small letters and without accents."""
+    possible: set[str] = set()
+    ends, starts = [], []
+    for at, (n, kinds) in _AUTOMATON.iter(low):
+        if "intro" in kinds or "deed" in kinds:
+            start, end = at + 1 - n, at + 1
+            if not (start and low[start - 1].isalnum()) and not (low[end : end + 1].isalnum() and low[at].isalnum()):
+                (ends.append(end) if "intro" in kinds else starts.append(start))
+        possible |= kinds
+    return possible, ends, starts
 
 
-_JA_NAME = re.compile(
-    "(?:撮影|カメラ|編集|写真|動画|ドラム|ギター|ベース|監督|音声|モデル|演奏|出演|協力|提供|先生|友人)(?:は|：|:|担当は)\\s?([一-龯々ぁ-ゖァ-ヶー]{2,4}[ \u3000・]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|くん|君|様|氏|先生|です|でした|。)"
-    "|([一-龯々ヶ]{2,4}[ \u3000]?[一-龯々ぁ-ゖァ-ヶー]{1,5}?)(?=さん|様|氏)(?:さん|様|氏)(?=に|が|の|、|と|は|へ|ありがとう)"
-    "|(?:📷|📸|🎥|📹|👤|[–—])\\s*:?\\s*([一-龯々ヶ]{2,4}[ \u3000]?[一-龯々ぁ-ゖァ-ヶー]{1,6}?)(?=さん|[。✨\\s]|$)"
-)
-_JA_NOT = re.compile("(?:の隣|隣の人|友だち|友達|みんな|誰|皆|お客|妹|弟|兄|姉|人|屋)$")
-
-
-def _is_name(words: str) -> bool:
-    parts = [w for w in re.findall(r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*", words)]
-    full = [w for w in parts if len(w) > 1]
-    return bool(full) and len(parts) >= 2 and not any(w.lower() in _STOP for w in full) and not _FIRM.search(words)
-
-
-def _names(text: str, possible: set[str]) -> Iterator[tuple[int, int, str]]:
-    """Names in a text without accents; ``possible`` says which patterns can match."""
-    found: list[tuple[int, int]] = []
-
-    def add(m: re.Match, g: int = 1) -> None:
-        a, b = m.span(g)
-        words = m.group(g)
-        if not _is_name(words):
-            # a second surname may have swallowed the next sentence's first word
-            shorter = re.match(_NAME, words)
-            if not shorter or not _is_name(shorter.group()) or text[a + shorter.end() :].lstrip()[:1] == "&":
-                return
-            b = a + shorter.end()
-        if _FIRM.match(text[b:].lstrip()) or text[b:].lstrip()[:1] == "&" or text[a - 1 : a] in ("@", "#"):
-            return
-        found.append((a, b))
-
-    if any(c in text for c in "📷📸🎥📹🎬👤©–—"):
-        for pattern in (_SIGN_NAME, _CAPITAL_NAME):
-            for m in pattern.finditer(text):
-                add(m)
-    if "before" in possible:
-        for m in _BEFORE_NAME.finditer(text):
-            add(m)
-    for i, pattern in enumerate(_PAIR_NAMES):
-        if f"left{i}" in possible and f"right{i}" in possible:
-            for m in pattern.finditer(text):
-                add(m)
-    for hint in _AFTER_HINT.finditer(text) if "after" in possible else ():
-        left = text[max(0, hint.start() - 70) : hint.start()].rstrip()
-        cut = max(left.rfind("\n"), left.rfind("! "), left.rfind("? "), left.rfind("✨"), left.rfind("… "), left.rfind(".. "), -1)
-        m = re.search(rf"(?:^|[\s.!?…])({_LONG})$", left[cut + 1 :])
-        if m:
-            base = max(0, hint.start() - 70) + cut + 1
-            words = m.group(1)
-            a = base + m.start(1)
-            # the shortest ending that is a name: "plans. Seren Wexdale", not "plans Seren Wexdale"
-            best = None
-            for n in (re.search(rf"(?<![\w'’-])({pattern})$", words) for pattern in (rf"{_P}\s*,\s*{_P}(?:\s+{_INITIAL})?", rf"{_P}\s+{_INITIAL}\s*{_P}", rf"{_P}\s+{_P}", rf"{_INITIAL}\s*{_P}")):
-                if n and _is_name(n.group(1)):
-                    best = n
-                    break
-            if best:
-                found.append((a + best.start(1), a + best.end(1)))
-    if _HAS_CJK.search(text):
-        for m in _JA_NAME.finditer(text):
-            g = next(i for i in (1, 2, 3) if m.group(i))
-            if not _JA_NOT.search(m.group(g)):
-                found.append(m.span(g))
-    for a, b in found:
-        yield a, b, "NAME"
-
-
-_HAS_CJK = re.compile("[一-龯]")
 _HAS_DIGIT = re.compile(r"\d")
 
 
-def find(source: str | None) -> list[tuple[int, int, str]]:
+def find(source: str | None, lexicon: Lexicon = USUAL) -> list[tuple[int, int, str]]:
     """``(start, end, type)`` of the personal information in a text, in order and without overlap; positions are those of the source.
 
-    Null and empty texts have none. Where detectors overlap, the order of TYPES decides, then the longer span.
+    Null and empty texts have none. Where detectors overlap, mail addresses come before street addresses, identity numbers,
+    telephone numbers and names, in this order, then the longer span.
     """
     if not source:
         return []
     tape = normal_form(source)
     latin = latin_form(tape)
     spans: list[tuple[int, int, str]] = []
-    bare = _bare(tape.text)
-    possible = _possible(bare.lower())
+    plain = bare(tape.text)
+    low = plain.lower()
+    if len(low) != len(plain):
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in plain)
+    possible, introduced, deeds = _possible(low)
     if "@" in latin.text:
         spans += [(*latin.span(*m.span()), "EMAIL") for m in _EMAIL.finditer(latin.text)]
     if _HAS_DIGIT.search(tape.text):
@@ -609,21 +482,22 @@ def find(source: str | None) -> list[tuple[int, int, str]]:
                 spans.append((*tape.span(a, b), "ADDRESS"))
                 rest = rest[:a] + "§" * (b - a) + rest[b:]  # its digits are no other number's
         spans += [(*tape.span(a, b), kind) for a, b, kind in _numbers(rest)]
-    spans += [(*tape.span(a, b), kind) for a, b, kind in _names(bare, possible)]
+    spans += [(*tape.span(a, b), "NAME") for a, b in names(plain, lexicon, introduced, deeds)]
     rank = {"EMAIL": 0, "ADDRESS": 1, "ID_NUMBER": 2, "PHONE": 3, "NAME": 4}
     out: list[tuple[int, int, str]] = []
-    for s in sorted(spans, key=lambda s: (rank[s[2]], s[0] - s[1])):
-        if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
-            out.append(s)
-    return sorted(out)
+    for s in sorted(set(spans), key=lambda s: (rank[s[2]], s[0] - s[1])):
+        i = bisect.bisect_left(out, s)
+        if (not i or out[i - 1][1] <= s[0]) and (i == len(out) or s[1] <= out[i][0]):
+            out.insert(i, s)
+    return out
 
 
-def redact(source: str | None) -> str | None:
+def redact(source: str | None, lexicon: Lexicon = USUAL) -> str | None:
     """The text with a placeholder such as ``[EMAIL]`` for every find; all other characters unchanged. Null for null."""
     if source is None:
         return None
     out, last = [], 0
-    for a, b, kind in find(source):
+    for a, b, kind in find(source, lexicon):
         out += [source[last:a], f"[{kind}]"]
         last = b
     return "".join([*out, source[last:]])
@@ -635,12 +509,14 @@ def redact(source: str | None) -> str | None:
 FOUND = "id string, pii_type string, start int, end int"
 
 
-def found(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``id, pii_type, start, end`` of everything found in every text; repeated rows of ``df`` give repeated rows."""
+def found(df: DataFrame, id_column: str, text: str, lexicon: Lexicon = USUAL) -> DataFrame:
+    """``id, pii_type, start, end`` of everything found in every text; repeated rows of ``df`` give repeated rows. ``lexicon`` comes from :func:`.names.learn`."""
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # bounded by names.ORDINARY and names.GIVEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            rows = [(i, kind, a, b) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, kind in find(t)]
+            rows = [(i, kind, a, b) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, kind in find(t, known)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], ["id", "pii_type", "start", "end"]
             )
@@ -648,12 +524,13 @@ def found(df: DataFrame, id_column: str, text: str) -> DataFrame:
     return df.select(F.col(id_column).cast("string").alias("id"), F.col(text)).where(F.trim(text) != "").mapInArrow(run, FOUND)
 
 
-@F.pandas_udf(T.StringType())
-def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield pd.Series([redact(t) for t in batch], dtype=object)
+def redacted(df: DataFrame, text: str, lexicon: Lexicon = USUAL) -> Column:
+    """Column ``text`` of ``df`` with personal information replaced by typed placeholders; null stays null."""
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
+    @F.pandas_udf(T.StringType())
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([redact(t, shared.value) for t in batch], dtype=object)
 
-def redacted(text: Column) -> Column:
-    """The column with personal information replaced by typed placeholders."""
-    return _redacted(text)
+    return udf(F.col(text))

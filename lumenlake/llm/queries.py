@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import langid, packing, pii, skeleton, tokenizers, toxicity
+from . import langid, names, packing, pii, skeleton, tokenizers, toxicity
 from .sql import ORACLE  # noqa: F401
 
 FIELDS = ["caption", "search_text"]
@@ -75,18 +75,24 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).withColumnRenamed("id", "insta_content_id").distinct()
 
 
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "insta_content").select("id", "caption").where("id IS NOT NULL"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.found(spread(table(spark, d, "insta_content").select("id", "caption").where("id IS NOT NULL")), "id", "caption")
+    posts = _posts(spark, d)
+    found = pii.found(posts, "id", "caption", names.learn(posts, "caption"))
     return found.select(F.col("id").alias("insta_content_id"), "pii_type").distinct()
 
 
 def p5_spans(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(table(spark, d, "insta_content"), "id", "caption").withColumnRenamed("id", "insta_content_id").distinct()
+    posts = _posts(spark, d)
+    return pii.found(posts, "id", "caption", names.learn(posts, "caption")).withColumnRenamed("id", "insta_content_id").distinct()
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    posts = table(spark, d, "insta_content")
-    return posts.select(F.col("id").alias("insta_content_id"), pii.redacted(F.col("caption")).alias("caption")).distinct()
+    posts = table(spark, d, "insta_content").select("id", "caption")
+    return posts.select(F.col("id").alias("insta_content_id"), pii.redacted(posts, "caption", names.learn(posts, "caption")).alias("caption")).distinct()
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

@@ -97,7 +97,7 @@ def test_on_tables(spark):
     df = spark.createDataFrame([("a", "mail a@b.test or c@d.test", 1), ("b", None, 2), ("c", " ", 3), ("a", "mail a@b.test or c@d.test", 1)], "id string, caption string, start int")
     assert sorted((r.id, r.pii_type) for r in P.found(df, "id", "caption").distinct().collect()) == [("a", "EMAIL"), ("a", "EMAIL")]
     assert P.found(df.limit(0), "id", "caption").count() == 0
-    assert [r[0] for r in df.select(P.redacted(df.caption)).collect()] == ["mail [EMAIL] or [EMAIL]", None, " ", "mail [EMAIL] or [EMAIL]"]
+    assert [r[0] for r in df.select(P.redacted(df, "caption")).collect()] == ["mail [EMAIL] or [EMAIL]", None, " ", "mail [EMAIL] or [EMAIL]"]
 
 
 @pytest.mark.parametrize(
