@@ -12,6 +12,7 @@ introduce them.
 from __future__ import annotations
 
 import functools
+import operator
 import re
 import unicodedata
 from collections import Counter
@@ -363,12 +364,18 @@ _SIGN_CHARS = re.compile("[📷📸🎥📹🎬👤✍🎤🎧©–—]")
 
 def names(text: str, lexicon: Lexicon = USUAL, introduced: list[int] | tuple = (), deeds: list[int] | tuple = ()) -> Iterator[tuple[int, int]]:
     """Spans of the names in a text without accents (:func:`bare`); overlapping ones may come. ``introduced``: where introducing phrases end; ``deeds``: where phrases of deeds begin."""
-    low = _WORD.findall(text.lower())
-    initials, signs = _INITIALS.search(text) or _LAST_INITIAL.search(text), _SIGN_CHARS.search(text)
-    if initials or signs or introduced or deeds or not lexicon.given.isdisjoint(low):
-        yield from _found(text, lexicon, bool(initials), introduced, bool(signs), deeds)
-    elif lexicon.learned and _adjacent(low, lexicon.known) or _SUSPECT.search(text):
-        yield from _found(text, lexicon, False, (), False, deeds)
+    small = text.lower()
+    low, known = _WORD.findall(small), lexicon.known
+
+    def strange(m: re.Match | None) -> bool:
+        return m is not None and not any(w in known for w in re.split(r"[\s.,]+", m[1].lower()) if len(w) > 1)
+
+    introduced = [at for at in introduced if strange(_AFTER_INTRO.match(text, at))]
+    initials = any(len(w) == 1 and f"{w}." in small for w in set(low))
+    signs = bool(_SIGN_CHARS.search(text)) and any(map(strange, _AFTER_SIGN.finditer(text)))
+    given = not lexicon.given.isdisjoint(low)
+    if given or initials or signs or introduced or deeds or (_adjacent(low, known) if lexicon.learned else _SUSPECT.search(text)):
+        yield from _found(text, lexicon, initials, introduced, signs, deeds, given)
     if _HAS_CJK.search(text):
         for m in _JA_NAME.finditer(text):
             g = next(i for i in (1, 2, 3, 4) if m.group(i))
@@ -378,24 +385,19 @@ def names(text: str, lexicon: Lexicon = USUAL, introduced: list[int] | tuple = (
 
 def _adjacent(low: list[str], known: frozenset[str]) -> bool:
     """Two unknown words in a row."""
-    before = False
-    for w in low:
-        unknown = w not in known
-        if before and unknown:
-            return True
-        before = unknown
-    return False
+    strange = [w not in known for w in low]
+    return any(map(operator.and_, strange, strange[1:]))
 
 
 _SUSPECT = re.compile(r"[^\W\d_][,;:(]? [A-ZА-ЯЁ][a-zа-яё]+ [A-ZА-ЯЁ][a-zа-яё-]+")
 
 
-def _found(text: str, lexicon: Lexicon, initials: bool, introduced: list[int] | tuple, signs: bool, deeds: list[int] | tuple) -> Iterator[tuple[int, int]]:
+def _found(text: str, lexicon: Lexicon, initials: bool, introduced: list[int] | tuple, signs: bool, deeds: list[int] | tuple, given: bool) -> Iterator[tuple[int, int]]:
     r = _Reader(text, lexicon)
     at = {s: i for i, (_, s, _) in enumerate(r.words)}
     ends = {e: i for i, (_, _, e) in enumerate(r.words)}
     done = -1
-    for i, w in enumerate(r.low):
+    for i, w in enumerate(r.low) if given else ():
         if i <= done or w not in lexicon.given or w in STOP:
             continue
         got = r.pair(i) or r.turned(i)
