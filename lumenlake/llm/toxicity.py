@@ -3,9 +3,9 @@
 Texts are cut into passages, as one passage is enough to make a text abusive. Disguised spellings
 are undone, passages become TF-IDF vectors of words, word pairs and stems (characters for
 Japanese and Chinese), with frequencies over all documents. An inverted index of the passages of a
-bounded sample of labelled documents, with the largest weight per term and block, finds the exact
-nearest neighbours by cosine: blocks are visited in order of their upper bounds until no bound
-exceeds the worst neighbour. Similarity-weighted votes of the neighbours give a passage's score, the
+bounded sample of labelled documents, with the largest weight of every term in every block, finds the
+exact nearest neighbours by cosine: a block's bound is the sum of those weights, and the blocks of the largest
+bounds are read, few at a time, until no bound reaches the worst neighbour. Similarity-weighted votes of the neighbours give a passage's score, the
 passage with the largest score that of the document, and a logistic fit on left-out votes calibrates it.
 """
 
@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from .skeleton import skeleton
 
 #: Hashed term space, neighbours that vote, least similarity of a neighbour, passages in an index block.
-BITS, NEIGHBOURS, LEAST_SIMILARITY, BLOCK = 18, 12, 0.2, 48
+BITS, NEIGHBOURS, LEAST_SIMILARITY, BLOCK = 18, 12, 0.2, 32
 
-#: Most terms that are kept as dense columns with a largest weight per block; all others are posting lists.
-FREQUENT = 96
+#: Blocks that are read at a time for each text, in order of their bounds.
+AT_A_TIME = 24
+
+#: Texts that are looked up side by side.
+TOGETHER = 64
 
 #: Bounds of the labelled sample: documents (chosen by a hash of the id) and distinct passages of them.
 SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 8000, 60_000
@@ -148,6 +151,12 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out, int(n[term < 0].sum())
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at ``first`` and have ``size`` members, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
     """Block-max inverted index of labelled passages, with votes."""
@@ -158,10 +167,14 @@ class Index:
     toxic: np.ndarray  # the sum of their labels
     slope: float = 8.0
     centre: float = 0.5
-    postings: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # rare terms: passages and weights
-    columns: dict[int, int] = field(default_factory=dict)  # frequent terms: their column in the next two
-    largest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # largest weight of a frequent term in each block
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # weight of a frequent term in each passage
+    segment: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS) + 1, np.int64))  # where a term's segments begin in the next two
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the block of each segment, ascending within a term
+    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the largest weight of the term in the block
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where the segment's postings begin in the next two
+    within: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # place of each posting's passage in the block
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    blocks: int = 0
+    read: int = 0  # blocks read so far
     shapes: dict[tuple[int, str], list[str]] = field(default_factory=dict)  # (length, first letter) -> words
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -192,82 +205,80 @@ class Index:
 
         def place(i: int) -> tuple:
             t, w = vectors[i]
-            return (*t[np.argsort(-w * shared[t], kind="stable")[:3]].tolist(), self.texts[i]) if len(t) else (-1, self.texts[i])
+            return (t[np.argsort(-w * shared[t], kind="stable")[:3]].tolist(), self.texts[i])
 
-        order = sorted(range(len(vectors)), key=lambda i: tuple(map(str, place(i))))
+        order = sorted(range(len(vectors)), key=place)
         self.texts, vectors = [self.texts[i] for i in order], [vectors[i] for i in order]
         self.votes, self.toxic = self.votes[order], self.toxic[order]
         n = len(vectors)
+        self.blocks = -(-n // BLOCK)
         term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
         row = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        by = np.argsort(term, kind="stable")
-        term, weight, row = term[by], weight[by], row[by]
-        names, first = np.unique(term, return_index=True)
-        last = np.append(first[1:], len(term))
-        frequent = set(names[np.argsort(first - last, kind="stable")[:FREQUENT]].tolist()) & set(names[(last - first) > max(32, n // 100)].tolist())
-        self.columns = {t: i for i, t in enumerate(sorted(frequent))}
-        self.weights = np.zeros((n, len(frequent)), np.float32)
-        self.postings = {}
-        for t, i, j in zip(names.tolist(), first.tolist(), last.tolist(), strict=True):
-            if t in frequent:
-                self.weights[row[i:j], self.columns[t]] = weight[i:j]
-            else:
-                self.postings[t] = (row[i:j].astype(np.int32), weight[i:j])
-        blocks = -(-n // BLOCK)
-        padded = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
-        padded[:n] = self.weights
-        self.largest = np.nextafter(padded.reshape(blocks, BLOCK, len(frequent)).max(axis=1), np.float32(2)) if blocks else padded
+        by = np.lexsort((row, term))
+        term, self.weight, row = term[by], weight[by], row[by]
+        block = row // BLOCK
+        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
+        self.first = np.append(starts, len(term))
+        self.block = block[starts]
+        self.largest = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.within = row % BLOCK
+        self.segment = np.searchsorted(term[starts], np.arange((1 << BITS) + 1))
         return self
 
-    def nearest(self, text: str, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The exact ``k`` nearest passages with a cosine of at least LEAST_SIMILARITY, best first, ties by place.
+    def nearest(self, texts: list[str], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every text the exact ``k`` nearest passages with a cosine of at least LEAST_SIMILARITY, best first, ties by place.
 
-        Postings of rare terms are summed up. Those of frequent ones are long: for them the largest
-        weights of each block bound what its passages can still gain, and their weights are read only in
-        passages that can reach the worst neighbour.
+        No passage is more similar than its block's bound. A text's blocks are read in order of their bounds,
+        AT_A_TIME together, until none that is left can reach its worst neighbour. TOGETHER texts go side by side.
         """
-        none = np.zeros(0, np.int64), np.zeros(0)
-        t, w = self.vector(text)
-        rare, columns, values = [], [], []
-        for x, y in zip(t.tolist(), w.tolist(), strict=True):
-            if (got := self.postings.get(x)) is not None:
-                rare.append((got[0], got[1] * y))
-            elif (column := self.columns.get(x)) is not None:
-                columns.append(column)
-                values.append(y)
-        n = len(self.texts)
-        if not rare and not columns:
-            return none
-        blocks = len(self.largest)
-        touched = np.concatenate([r for r, _ in rare]) if rare else np.zeros(0, np.int32)
-        part = np.bincount(touched, np.concatenate([v for _, v in rare]), blocks * BLOCK) if rare else np.zeros(blocks * BLOCK)
-        if not columns:
-            at = np.flatnonzero(part >= LEAST_SIMILARITY - 1e-9)
-            return self._best(at, part[at], k)
-        values = np.array(values, np.float64)
-        gain = self.largest[:, columns] @ values
-        bound = (part.reshape(blocks, BLOCK) + gain[:, None]).ravel()
-        at = np.flatnonzero(bound >= LEAST_SIMILARITY - 1e-9)
-        at = at[at < n]
-        if len(at) > 4 * k:  # the passages of the largest bounds give a first threshold
-            reach = bound[at]
-            top = at[np.argpartition(-reach, 2 * k)[: 2 * k]]
-            exact = part[top] + self.weights[np.ix_(top, columns)] @ values
-            worst = np.partition(exact, len(exact) - k)[len(exact) - k]
-            at = at[reach >= max(worst, LEAST_SIMILARITY) - 1e-9]
-        exact = part[at] + self.weights[np.ix_(at, columns)] @ values
-        near = exact >= LEAST_SIMILARITY - 1e-9
-        return self._best(at[near], exact[near], k)
-
-    @staticmethod
-    def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(ids) > 4 * k:
-            cut = np.partition(sims, len(sims) - k)[len(sims) - k]
-            keep = sims >= cut
-            ids, sims = ids[keep], sims[keep]
-        top = np.lexsort((ids, -sims))[:k]
-        return ids[top], sims[top]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(0, len(texts), TOGETHER):
+            out += self._nearest(texts[i : i + TOGETHER], k)
+        return out
+
+    def _nearest(self, texts: list[str], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, blocks = len(texts), self.blocks
+        vectors = [self.vector(x) for x in texts]
+        term = np.concatenate([t for t, _ in vectors])
+        a, n = self.segment[term], self.segment[term + 1] - self.segment[term]
+        of = np.repeat(np.arange(m), [len(t) for t, _ in vectors])
+        at, each = _ranges(a, n), np.repeat(np.concatenate([w for _, w in vectors]), n)
+        key = np.repeat(of * blocks, n) + self.block[at]  # (text, block) of every segment
+        bounds = np.bincount(key, self.largest[at] * each, m * blocks).reshape(m, blocks)
+        worst = np.full(m, LEAST_SIMILARITY)
+        left = bounds >= LEAST_SIMILARITY - 1e-9
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        while left.any():
+            inside = left.ravel()[key]
+            at, each, key = at[inside], each[inside], key[inside]
+            now = left.copy()
+            if blocks > AT_A_TIME:
+                held = np.where(left, bounds, 0.0)
+                now &= held >= np.partition(held, blocks - AT_A_TIME, axis=1)[:, blocks - AT_A_TIME, None]
+            pairs = np.flatnonzero(now)
+            self.read += len(pairs)
+            slot = np.full(m * blocks, -1)
+            slot[pairs] = np.arange(len(pairs)) * BLOCK
+            chosen = np.flatnonzero(slot[key] >= 0)
+            first = self.first[at[chosen]]
+            size = self.first[at[chosen] + 1] - first
+            postings = _ranges(first, size)
+            sims = np.bincount(np.repeat(slot[key[chosen]], size) + self.within[postings], self.weight[postings] * np.repeat(each[chosen], size), len(pairs) * BLOCK)
+            near = np.flatnonzero(sims >= LEAST_SIMILARITY - 1e-9)
+            pair = pairs[near // BLOCK]
+            found = tuple(np.append(x, y) for x, y in zip(found, (pair // blocks, pair % blocks * BLOCK + near % BLOCK, sims[near]), strict=True))
+            order = np.lexsort((found[1], -found[2], found[0]))
+            found = tuple(x[order] for x in found)
+            begins = np.searchsorted(found[0], np.arange(m + 1))
+            rank = np.arange(len(found[0])) - begins[found[0]]
+            found = tuple(x[rank < k] for x in found)
+            begins = np.searchsorted(found[0], np.arange(m + 1))
+            full = np.flatnonzero(np.diff(begins) == k)
+            worst[full] = found[2][begins[full + 1] - 1]
+            left &= ~now & (bounds >= worst[:, None] - 1e-9)
+        begins = np.searchsorted(found[0], np.arange(m + 1))
+        return [(found[1][i:j], found[2][i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
 
     def vote(self, ids: np.ndarray, sims: np.ndarray, votes: np.ndarray | None = None, toxic: np.ndarray | None = None) -> float:
         """Share of toxic votes, each weighted by its squared similarity."""
@@ -309,9 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, m
     index = Index(list(place), np.log((1.0 + n_docs) / (1.0 + frequencies)) + 1.0, votes, toxic).build()
     place = {t: i for i, t in enumerate(index.texts)}
     by_doc = {d: [place[r] for r in ps] for d, ps in _passages_of(rows).items()}
-    near = {}
-    for i, t in enumerate(index.texts):
-        near[i] = index.nearest(t)
+    near = index.nearest(index.texts)
 
     def left_out(i: int, y: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, sims = near[i]
@@ -341,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, m
         base = float(index.toxic.sum() / max(index.votes.sum(), 1.0))
     raw = np.array([max(index.vote(*left_out(i, kept.get((d, i), 0.0))) for i in ps) for d, ps in by_doc.items()])
     index.slope, index.centre = _logistic(raw, np.array([label[d] for d in by_doc]))
-    return index
+    return index.build()  # the blocks follow the votes that are left
 
 
 def _passages_of(rows) -> dict[int, list[str]]:
@@ -379,28 +388,25 @@ def score_documents(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         memo: dict[str, tuple[float, int, float]] = {}
-
-        def score(p: str) -> tuple[float, int, float]:
-            if (got := memo.get(p)) is None:
-                if len(memo) > 100_000:
-                    memo.clear()
-                ids, sims = ix.nearest(p)
-                got = memo[p] = (ix.vote(ids, sims), int(ids[0]) if len(ids) else -1, float(sims[0]) if len(ids) else 0.0)
-            return got
-
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for i, source, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best, at = None, None
-                for raw, p in passages(t):
-                    s = max([score(x) for x in (p, *run_on(raw), *windows(p))], key=lambda x: x[0])
-                    if best is None or s[0] > best[0]:
-                        best, at = s, raw
-                row = (i, source, ix.calibrated(best[0]), at, ix.texts[best[1]] if best[1] >= 0 else None, best[2]) if best else (i, source, 0.0, None, None, None)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in SCORE.split(", ")])
+            for at in range(0, batch.num_rows, 500):
+                ids, sources, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                read = [[(raw, [p, *run_on(raw), *windows(p)]) for raw, p in passages(t)] for t in texts]
+                if len(memo) > 200_000:
+                    memo.clear()
+                new = list(dict.fromkeys(p for parts in read for _, ps in parts for p in ps if p not in memo))
+                for p, (near, sims) in zip(new, ix.nearest(new), strict=True):
+                    memo[p] = (ix.vote(near, sims), int(near[0]) if len(near) else -1, float(sims[0]) if len(near) else 0.0)
+                out: list[tuple] = []
+                for i, source, parts in zip(ids, sources, read, strict=True):
+                    best, where = None, None
+                    for raw, ps in parts:
+                        s = max([memo[p] for p in ps], key=lambda x: x[0])
+                        if best is None or s[0] > best[0]:
+                            best, where = s, raw
+                    out.append((i, source, ix.calibrated(best[0]), where, ix.texts[best[1]] if best[1] >= 0 else None, best[2]) if best else (i, source, 0.0, None, None, None))
+                kinds = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], [x.split()[0] for x in SCORE.split(", ")])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, SCORE)
 

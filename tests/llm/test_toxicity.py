@@ -62,7 +62,7 @@ def test_neighbours_are_exact(corpus):
                 v[used[int(term)]] = w
         s = dense @ v
         order = [i for i in np.lexsort((np.arange(len(s)), -np.round(s, 12))) if s[i] >= T.LEAST_SIMILARITY][: T.NEIGHBOURS]
-        ids, sims = index.nearest(q)
+        ids, sims = index.nearest([q])[0]
         assert np.allclose(sims, s[order]) and len(ids) == len(order)
 
 
@@ -89,7 +89,33 @@ def test_abuse_at_the_end_of_a_clean_run_on_passage_is_found(spark, corpus):
     index = T.fit(*corpus)
     clean = " ".join(g.format(x) for x in ("harbour", "kettle", "market") for g in GOOD[:5])
     texts = [clean, f"{clean} i will find you wretch", f"i will find you wretch {clean}"]
-    assert T.run_on(texts[1]) == [] and index.vote(*index.nearest(T.passages(texts[1])[0][1])) < T.PRIOR  # the clean words hide it
+    assert T.run_on(texts[1]) == [] and index.vote(*index.nearest([T.passages(texts[1])[0][1]])[0]) < T.PRIOR  # the clean words hide it
     docs = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
     got = {r.doc_id: r.score >= T.THRESHOLD for r in T.score_documents(docs, index).collect()}
     assert got == {0: False, 1: True, 2: True}
+
+
+def test_most_blocks_are_skipped_and_the_neighbours_are_those_of_brute_force():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(6000)]
+    often = [words[int(rng.paretovariate(0.9)) % 400] for _ in range(4000)]
+    subjects = [rng.sample(words, 12) for _ in range(900)]
+    texts = list(dict.fromkeys(" ".join(rng.choice(often if rng.random() < 0.35 else s) for _ in range(rng.randint(5, 14))) for s in rng.choices(subjects, k=17_000)))[:16_000]
+    assert len(texts) == 16_000
+    frequencies = np.bincount(np.concatenate([list(set(T.terms(t))) for t in texts]), minlength=1 << T.BITS)
+    index = T.Index(texts, np.log((1.0 + len(texts)) / (1.0 + frequencies)) + 1.0, np.ones(16_000), np.array([float(i % 20 == 0) for i in range(16_000)])).build()
+    rows = [index.vector(t) for t in index.texts]
+    columns = np.concatenate([t for t, _ in rows])
+    owner, weights = np.repeat(np.arange(16_000), [len(t) for t, _ in rows]), np.concatenate([w for _, w in rows])
+    index.read, queries = 0, [" ".join([*rng.sample(rng.choice(subjects), 5), *rng.sample(often, 2)]) for _ in range(150)] + rng.sample(texts, 50)
+    for q in queries:
+        v = np.zeros(1 << T.BITS)
+        t, w = index.vector(q)
+        v[t] = w
+        brute = np.bincount(owner, weights * v[columns], 16_000)
+        want = np.sort(brute[brute >= T.LEAST_SIMILARITY])[::-1][: T.NEIGHBOURS]
+        ids, sims = index.nearest([q])[0]
+        assert len(ids) == len(want) and np.allclose(sims, want) and np.allclose(brute[ids], sims)
+    assert all(np.array_equal(a, b) for q, (a, _) in zip(queries, index.nearest(queries), strict=True) for b in [index.nearest([q])[0][0]])  # texts looked up together do not meet
+    index.read //= 3
+    assert index.read < 0.2 * index.blocks * len(queries), index.read / index.blocks / len(queries)
