@@ -1,23 +1,23 @@
 """References to records that do not exist (problem 1).
 
-A Bloom filter of the parents' keys, of bounded size and sent to every executor as a scalar
+A Bloom filter of the parents' keys, sized by their number and sent to every executor as a scalar
 subquery, proves most missing parents without a shuffle. Only references that pass the filter
 take part in the exact join with one compact state per parent. Both parts are then united,
-and aggregated per table and month for the report.
+and aggregated per table and month for the report. References are scanned once for each part: the proven ones
+need no shuffle, which costs more than a second reading of three columns.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bloom import bloom_filter, might_contain
+from ..functions.bloom import Filter
 
 _WRAPPING = "{}()[]<>\"'- \t\r\n\u00a0\u200b\ufeff"
 
-#: Keys that the filter is laid out for at 12 bits each; with more keys only the false positives rise.
-EXPECTED_PARENTS = 2_500_000
-
 
 def uuid_key(ref: Column) -> Column:
     """Binary key of a UUID in any customary notation (case, hyphens, braces, ``urn:uuid:``, blanks).
@@ -39,7 +39,7 @@ def references(df: DataFrame, table_name: str, row_id: str, ref: str, time: str)
     ).where(F.col("parent").isNotNull())
 
 
-def orphans(refs: DataFrame, parents: DataFrame, expected_parents: int = EXPECTED_PARENTS) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, expected_parents: int | None = None) -> DataFrame:
     """Orphan references, distinct, as ``table_name, row_id, time, reason``.
 
     ``refs`` comes from :func:`references`; ``parents`` has ``id, updated_at, created_at, is_removed``.
@@ -49,13 +49,15 @@ def orphans(refs: DataFrame, parents: DataFrame, expected_parents: int = EXPECTE
     Nulls: blank references are none; without a time only 'missing' applies; a null is_removed
     is not removed. Ties on updated_at are settled by the larger flag and creation time. Repeated
     rows count once. An empty parent table makes every reference missing; an empty reference table
-    gives no rows.
+    gives no rows. ``expected_parents`` is counted (from the files' footers) if it is not given.
     """
     keyed = parents.select(uuid_key(F.col("id")).alias("parent"), "updated_at", "is_removed", "created_at").where(F.col("parent").isNotNull())
-    passed = F.coalesce(might_contain(bloom_filter(keyed, F.col("parent"), expected_parents), F.col("parent")), F.lit(False))
-    definite = refs.where(~passed).select("table_name", "row_id", "time", F.lit("missing").alias("reason"))
+    bloom = Filter(keyed, F.col("parent"), parents.count() if expected_parents is None else expected_parents)
+    parts = [(refs.where(mine), passed) for mine, passed in bloom.rounds(F.col("parent"))]
+    definite = reduce(DataFrame.unionByName, [r.where(~passed) for r, passed in parts]).select("table_name", "row_id", "time", F.lit("missing").alias("reason"))
+    maybe = reduce(DataFrame.unionByName, [r.where(passed) for r, passed in parts])
     newest = keyed.groupBy("parent").agg(F.max(F.struct("updated_at", "is_removed", "created_at")).alias("s"))
-    joined = refs.where(passed).join(newest, "parent", "left")
+    joined = maybe.join(newest, "parent", "left")
     reason = (
         F.when(F.col("s").isNull(), "missing")
         .when(F.col("s.is_removed") & (F.col("time") > F.col("s.updated_at")), "removed")

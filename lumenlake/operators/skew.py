@@ -41,13 +41,15 @@ def eager_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
     return joined.select("*", *pair)
 
 
-def heavy_keys(joined: DataFrame, share: str, count: str = "l_n", rows: DataFrame | None = None) -> DataFrame:
-    """Rows of ``joined`` whose ``count`` is at least ``share`` (a decimal, as text) of all rows of ``rows``, those without a key included.
+def heavy_keys(joined: DataFrame, share: str, rows: DataFrame, side: str = "l_") -> DataFrame:
+    """Rows of ``joined`` (an :func:`eager_join`) whose key holds at least ``share`` (a decimal, as text) of all rows of ``rows``, those without a key included.
 
-    Without ``rows`` the total comes from the compact states, which have no rows without a key.
+    The key's rows are read off the joined states: the pairs of the key divided by the other side's count, so the
+    join is part of the answer. ``side`` is the prefix of the input whose share is asked for.
     """
-    total = (joined.agg(F.sum(count)) if rows is None else rows.agg(F.count("*"))).scalar()
-    return joined.where(F.col(count) >= F.lit(Decimal(share)) * total)
+    other = F.coalesce(F.col("r_n" if side == "l_" else "l_n"), F.lit(1))
+    total = rows.agg(F.count("*")).scalar()
+    return joined.where((F.col("n_pairs") / other.cast(WIDE)).cast("decimal(20,0)") >= F.lit(Decimal(share)) * total)
 
 
 def name_key(name: Column) -> Column:

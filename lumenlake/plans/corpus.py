@@ -61,7 +61,8 @@ def _account_join(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_keys(_account_join(spark, d, "left"), "0.02", rows=table(spark, d, "insta_content")).select(F.col("key").alias("user_id"))
+    """Accounts with at least 2 percent of all posts, from the joined states of posts and snapshots."""
+    return skew.heavy_keys(_account_join(spark, d, "left"), "0.02", table(spark, d, "insta_content")).select(F.col("key").alias("user_id"))
 
 
 def p7_account_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +130,7 @@ ORACLE = {
     + """, islands AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY t) AS version FROM marked),
 versions AS (SELECT id, version, min(t) AS vf, arg_min(like_count, t) AS a, any_value(like_count) AS like_count, any_value(ig_play_count) AS ig_play_count, any_value(comment_count) AS comment_count, count(*) AS n_refreshes FROM islands GROUP BY id, version)
 SELECT id AS insta_content_id, CAST(version AS BIGINT) AS version, epoch_us(vf) AS valid_from_us, epoch_us(lead(vf) OVER (PARTITION BY id ORDER BY version)) AS valid_to_us, like_count, ig_play_count, comment_count, n_refreshes FROM versions""",
-    "p7_found": "SELECT user_id FROM insta_content WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) * 100 >= 2 * (SELECT count(*) FROM insta_content WHERE user_id IS NOT NULL)",
+    "p7_found": "SELECT user_id FROM insta_content WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) * 100 >= 2 * (SELECT count(*) FROM insta_content)",
     "p7_account_totals": """SELECT p.user_id, count(DISTINCT p.rid) AS n_posts, count(DISTINCT s.rid) AS n_snapshots, CAST(count(*) AS DECIMAL(38,0)) AS n_pairs,
   CAST(sum(p.like_count) AS DECIMAL(38,0)) AS pair_like_count, CAST(sum(p.comment_count) AS DECIMAL(38,0)) AS pair_comment_count, CAST(sum(s.ig_play_count) AS DECIMAL(38,0)) AS pair_play_count
 FROM (SELECT *, row_number() OVER () AS rid FROM insta_content) p JOIN (SELECT *, row_number() OVER () AS rid FROM insta_content_snapshots) s ON p.user_id = s.user_id GROUP BY p.user_id""",

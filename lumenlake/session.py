@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +42,24 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine (``local[...]``, tests) gets a temporary folder that goes with
+    the process; on a cluster it is an error, as no machine's own folder is seen by all executors.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"lumenlake-{os.getpid()}")
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+    return _own_folder()
+
+
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="lumenlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -175,10 +175,51 @@ def test_eager_join_equals_the_join_of_the_rows(spark):
 
 
 def test_heavy_keys(spark):
-    df = spark.createDataFrame([("a",)] * 2 + [("b",)] * 97 + [("c",)] * 1 + [(None,)] * 5, "k string")
-    s = skew.states(df, "k", {}, "l_")
-    assert {r.key for r in skew.heavy_keys(s, "0.02").collect()} == {"a", "b"}
-    assert skew.heavy_keys(skew.states(df.limit(0), "k", {}, "l_"), "0.02").count() == 0
+    rows = [(k, 1) for k, n in (("a", 90), ("b", 2), ("c", 1)) for _ in range(n)] + [(None, 1)] * 8
+    df = spark.createDataFrame(rows, "k string, v int")
+    other = spark.createDataFrame([("a", 5)] * 7 + [("z", 5)] * 3, "k string, v int")
+    joined = skew.eager_join(skew.states(df, "k", {}, "l_"), skew.states(other, "k", {}, "r_"), "left")
+    heavy = skew.heavy_keys(joined, "0.02", df)  # of 101 rows, those without a key included, b has less than 2 percent
+    assert {r.key for r in heavy.collect()} == {"a"}
+    assert {r.key for r in skew.heavy_keys(joined, "0.02", df.where("k IS NOT NULL")).collect()} == {"a", "b"}
+    assert skew.heavy_keys(skew.eager_join(skew.states(df.limit(0), "k", {}, "l_"), skew.states(other, "k", {}, "r_"), "left"), "0.02", df).count() == 0
+
+
+def test_heavy_accounts_come_from_the_join_of_states(spark, sf):
+    from lumenlake.plans import corpus
+
+    plan = corpus.p7_found(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and plan.count("insta_content_snapshots") + plan.count("Relation") >= 2
+    physical = corpus.p7_found(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in physical or "BroadcastHashJoin" in physical or "ShuffledHashJoin" in physical
+
+
+@pytest.mark.parametrize("segment_bits, segments", [(1 << 26, 16), (60_000, 16), (60_000, 3)])
+def test_filter_of_any_number_of_keys_has_few_false_positives(spark, segment_bits, segments):
+    from lumenlake.functions.bloom import Filter
+
+    keys = spark.range(20_000).select(F.encode(F.concat(F.lit("k"), "id"), "UTF-8").alias("k"))
+    f = Filter(keys.union(keys.where("k IS NULL")), F.col("k"), 20_000, segment_bits, segments)
+    assert (f.parts, len(f.rounds(F.col("k")))) == {(1 << 26, 16): (1, 1), (60_000, 16): (4, 1), (60_000, 3): (4, 2)}[segment_bits, segments]
+    asked = spark.range(40_000).select("id", F.encode(F.concat(F.lit("k"), "id"), "UTF-8").alias("k")).union(spark.createDataFrame([(50_000, None)], "id long, k binary"))
+    passed, proven = set(), set()
+    for mine, maybe in f.rounds(F.col("k")):
+        got = asked.where(mine).select("id", maybe.alias("m")).collect()
+        passed |= {r.id for r in got if r.m}
+        proven |= {r.id for r in got if not r.m}
+    assert not passed & proven and len(passed | proven) == 40_001
+    assert set(range(20_000)) <= passed and len(passed) < 20_000 + 0.05 * 20_000
+
+
+def test_orphans_do_not_depend_on_the_filter_rounds(spark, monkeypatch):
+    from lumenlake.functions import bloom
+
+    p = parents(spark, [(f"00000000-0000-0000-0000-{i:012d}", day(5), day(1), i % 7 == 0, "x") for i in range(300)])
+    r = refs(spark, [(i, f"00000000-0000-0000-0000-{i:012d}", day(6), "", "") for i in range(600)])
+    want = {(x.row_id, x.reason) for x in orphans.orphans(r, p).collect()}
+    assert want == {(i, "removed") for i in range(0, 300, 7)} | {(i, "missing") for i in range(300, 600)}
+    monkeypatch.setattr(bloom.Filter.__init__, "__defaults__", (1024, 2))
+    assert {(x.row_id, x.reason) for x in orphans.orphans(r, p).collect()} == want
 
 
 def test_share_of_heavy_accounts_is_that_of_all_rows(spark, tmp_path):
