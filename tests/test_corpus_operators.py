@@ -161,6 +161,10 @@ def test_history_against_brute_force(spark):
     want = brute_history(rows)
     assert {tuple(r) for r in history.history(df, ["a", "b"]).collect()} == want
     assert {tuple(r) for r in history.version_starts(df, ["a", "b"]).collect()} == {(e, vf) for e, _, vf, *_ in want}
+    for most in (1, 3):  # chunks of more rows are cut further
+        assert history._hot(df.where("entity IS NOT NULL").selectExpr("entity", "date_trunc('week', at) AS chunk"), most) is not None
+        assert {tuple(r) for r in history.history(df, ["a", "b"], most=most).collect()} == want
+        assert {tuple(r) for r in history.version_starts(df, ["a", "b"], most=most).collect()} == {(e, vf) for e, _, vf, *_ in want}
     assert history.history(df.limit(0), ["a", "b"]).count() == 0 and history.version_starts(df.limit(0), ["a", "b"]).count() == 0
 
 
