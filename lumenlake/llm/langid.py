@@ -45,18 +45,6 @@ LANGUAGES = {
     "ja": ("ja", "jpn", "jp", "japanese", "日本語", "nihongo", "japonés", "japonais", "japanisch", "giapponese", "japonês"),
 }
 
-# The commonest words of each language. They support the fit where the labelled texts are few or alike.
-COMMON = {
-    "en": "the of and to in is was for on that with as it at by this are from be have not or an but his her they we you which their has were all there been one my would what about who will your when can if time now here just some into than only very over know made where these after back other how our work first well way even new because any good day most us me please send call write found ask still out up down its hope best thanks bring meet open closed full number card address live",
-    "es": "el la de que y a en un ser se no haber por con su para como estar tener le lo todo pero más hacer o poder decir este ir otro ese si me ya ver porque dar cuando él muy sin vez mucho saber qué sobre mi alguno mismo yo también hasta año dos querer entre así primero desde grande eso ni nos llegar pasar tiempo ella sí día uno bien poco deber entonces poner cosa tanto hombre parecer nuestro tan donde ahora parte después vida quedar siempre creer hablar llevar dejar nada cada nuevo gracias hola casa mercado era está son los las del al una",
-    "pt": "o a de que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas me esse eles estão você tinha foram essa num nem suas meu às minha têm numa pelos elas havia seja qual será nós tenho lhe deles essas esses este dele tu te vocês lhes meus minhas teu tua nosso nossa obrigado casa feira cheia agora aqui onde novo ano dia",
-    "fr": "le la de et à les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont son avec je nous vous mais ou comme elle on tout y fait être deux même aussi leur bien peut ces sans où cette ses si mon quand très ils était donc ont entre dit avant après autre encore faire sous peu chez notre votre jamais toujours ici maintenant jour année merci maison marché plein rue rien tous toutes depuis lors quel quelle celui ceux aux cet été avoir",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich wir ihr uns mich dich ihm kann wenn schon sehr hier jetzt immer alle diese dieser dieses kein keine mein dein unser viel gut neu jahr tag zeit heute danke haus markt voll straße wo wer was warum doch dann weil",
-    "it": "il di che è e la un a per non in una sono mi si lo ho ha ma con le ti cosa no se da come io ci questo qui bene sì tu solo della mio me del al dei alla nel i o più anche hai gli era tutto lui lei sei quando fatto perché molto essere sta fare chi dove quello ora così cui tutti questa suo sua loro nella delle degli dal dalla sul sulla ai alle uno due anni anno giorno casa mercato pieno via nuovo nostra nostro noi voi grazie ancora sempre mai prima dopo senza fino già",
-    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой от так о для ты же все год один как вы его только мой было ещё бы уже нет если когда или ни до время наш мочь очень себя под какой этого где там здесь сейчас потом первый два день жизнь новый дом рынок улица спасибо можно надо тоже без через после перед между кто чтобы даже самый раз её их был была были есть вот другой",
-    "ja": "の に は を た が で て と し れ さ ある いる も する から な こと として い や など なっ ない この ため その あっ よう また もの という あり まで られ なる へ か だ これ によって により おり より による ず なり られる において ば なかっ なく しかし について だっ できる それ う です ます でした ました ください ありがとう 今日 明日 私 人 時 年 日 家 市場 町",
-}
-
 # Names of further languages, and values that name none.
 OTHER_NAMES = (
     "dutch nederlands swedish svenska danish dansk norwegian norsk finnish suomi polish polski czech čeština slovak hungarian magyar romanian română bulgarian български greek ελληνικά "
@@ -130,7 +118,34 @@ def normal(text: str) -> str:
     """
     if text.isupper():
         text = text.lower()
-    return unicodedata.normalize("NFC", skeleton(text) or "")
+    return _composed(skeleton(text) or "")
+
+
+def _composed(text: str) -> str:
+    """Accents composed with their letters; those that no letter can take are left out, as they would cut words."""
+    text = unicodedata.normalize("NFC", text)
+    return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
+
+
+def aligned(text: str) -> tuple[str, list[int]]:
+    """The normal form with, for each of its characters and its end, the place in ``text`` it came from.
+
+    Letters are folded together with the accents and invisible characters that follow them, which is what makes up a character of the normal form.
+    """
+    low = text.lower() if text.isupper() and len(text.lower()) == len(text) else text
+    if text.isascii():
+        return low, list(range(len(text) + 1))
+    out, at, i, n = [], [], 0, len(text)
+    while i < n:
+        j = i + 1
+        while j < n and (unicodedata.combining(low[j]) or unicodedata.category(low[j]) in ("Mn", "Cf", "Me")):
+            j += 1
+        piece = low[i:j]
+        piece = piece if j == i + 1 and piece.isascii() else _composed(skeleton(f"{piece}|")[:-1]) if piece != "\r" else "\n"
+        out.append(piece)
+        at += [i] * len(piece)
+        i = j
+    return "".join(out), [*at, n]
 
 
 # Features
@@ -167,10 +182,8 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
             n += len(texts)
             for at in range(0, len(texts), 32):
                 part = [" " + " ".join(normal(t).lower().split()) + " " for t in texts[at : at + 32]]
-                seen = np.zeros((len(part), 1 << BITS), bool)
-                for o, f in grams(part):
-                    seen[o, f] = True
-                total += seen.sum(axis=0)
+                once = np.unique(np.concatenate([(o << BITS) | f for o, f in grams(part)]))  # each feature once for each text
+                total += np.bincount(once & ((1 << BITS) - 1), minlength=1 << BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["feature", "n"])
 
@@ -286,8 +299,6 @@ def fit(captions: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> M
     texts, codes = [r.sentence for r in rows], [r.code for r in rows]
     if len(set(codes)) < 2:
         raise ValueError("fewer than two languages are labelled")
-    support = _support(sorted(set(codes)))
-
     first = train(texts, codes, frequencies, n_docs)
     said = first.probabilities(texts).argmax(axis=1)
     kept = [i for i, k in enumerate(said) if first.languages[k] == codes[i]]
@@ -297,44 +308,45 @@ def fit(captions: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> M
     for code in sorted(set(codes)):
         own = [i for i in kept if codes[i] == code][:PER_LANGUAGE]
         balanced += (own * min(4, -(-PER_LANGUAGE // len(own))))[:PER_LANGUAGE]
-    return train([texts[i] for i in balanced] + [t for t, _ in support], [codes[i] for i in balanced] + [c for _, c in support], frequencies, n_docs, epochs=2)
-
-
-def _support(codes: list[str], of_each: int = 250, words: int = 7) -> list[tuple[str, str]]:
-    """Made-up sentences of common words, the same every time."""
-    rng = np.random.default_rng(5)
-    out = []
-    for code in codes:
-        common = np.array(COMMON[code].split())
-        glue = "" if code == "ja" else " "
-        out += [(f" {normal(glue.join(rng.choice(common, words)))} ", code) for _ in range(of_each)]
-    return out
+    return train([texts[i] for i in balanced], [codes[i] for i in balanced], frequencies, n_docs, epochs=2)
 
 
 SEGMENT = "id string, segment int, start int, end int, lang string, confidence double"
 
 
-def segments(captions: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
-    """``id, segment, start, end, lang, confidence`` of every sentence of every text; positions are in the text's consistent form (:func:`normal`).
+def segments(captions: DataFrame, model: Model, least: float = LEAST, positions: bool = True) -> DataFrame:
+    """``id, segment, start, end, lang, confidence`` of every sentence of every text; ``text[start:end]`` is the sentence as it was written.
 
-    Null and blank texts and those without a sentence give no rows. ``lang`` is null where the confidence is below ``least``.
+    ``lang`` is null where the confidence is below ``least``. A text without a sentence (blank, only tags, emoji or numbers) has
+    one row with null segment and language and confidence 0; null texts have none. Without ``positions`` start and end
+    are those in the normal form, which is cheaper to make.
     """
     shared = captions.sparkSession.sparkContext.broadcast(model)  # bounded: features x languages
 
+    def cut(text: str) -> list[tuple[int, int, str]]:
+        if not positions:
+            return sentences(normal(text))
+        form, at = aligned(text)
+        return [(at[a], at[b], s) for a, b, s in sentences(form)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(ids), 256):
-                rows = [(i, n, s) for i, t in zip(ids[at : at + 256], texts[at : at + 256], strict=True) if t for n, s in enumerate(sentences(normal(t)))]
-                p = m.probabilities([s[2] for _, _, s in rows])
-                best = p.argmax(axis=1) if len(rows) else np.zeros(0, int)
-                conf = p.max(axis=1) if len(rows) else np.zeros(0)
-                lang = [m.languages[b] if c >= least else None for b, c in zip(best, conf, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2][0] for r in rows], pa.int32()), pa.array([r[2][1] for r in rows], pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64())],
-                    ["id", "segment", "start", "end", "lang", "confidence"],
-                )
+                rows = []
+                for i, t in zip(ids[at : at + 256], texts[at : at + 256], strict=True):
+                    if t is not None:
+                        found = cut(t) if t else []
+                        rows += [(i, n, *s) for n, s in enumerate(found)] if found else [(i, None, None, None, None)]
+                some = [k for k, r in enumerate(rows) if r[4] is not None]
+                lang: list[str | None] = [None] * len(rows)
+                conf = np.zeros(len(rows))
+                p = m.probabilities([rows[k][4] for k in some])
+                for k, b, c in zip(some, p.argmax(axis=1) if some else (), p.max(axis=1) if some else (), strict=True):
+                    lang[k], conf[k] = m.languages[b] if c >= least else None, c
+                columns = [pa.array([r[j] for r in rows], pa.string() if j == 0 else pa.int32()) for j in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(conf, pa.float64())], ["id", "segment", "start", "end", "lang", "confidence"])
 
     return captions.select("id", "text").mapInArrow(run, SEGMENT)
 
@@ -342,12 +354,17 @@ def segments(captions: DataFrame, model: Model, least: float = LEAST) -> DataFra
 def text_languages(segs: DataFrame, least_other: float = LEAST_OTHER) -> DataFrame:
     """``id, lang, confidence, share``: the languages of each text, weighted by the length of its sentences.
 
-    A language other than the text's main one counts if one of its sentences reaches ``least_other``.
+    A language other than the text's main one counts if one of its sentences reaches ``least_other``. A text of which no
+    sentence has a language has one row with null language, its sentences' confidence (0 without any) and share 0.
     """
-    per = segs.where("lang IS NOT NULL").groupBy("id", "lang").agg(F.sum((F.col("end") - F.col("start")) * F.col("confidence")).alias("mass"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.max("confidence").alias("best"))
+    length = F.coalesce(F.col("end") - F.col("start"), F.lit(0))
+    per = segs.groupBy("id", "lang").agg(F.sum(length * F.col("confidence")).alias("mass"), F.sum(length).alias("chars"), F.max("confidence").alias("best"))
     w = Window.partitionBy("id")  # at most one row per language
-    ranked = per.withColumn("total", F.sum("chars").over(w)).withColumn("rk", F.row_number().over(w.orderBy(F.desc("mass"), "lang")))
-    return ranked.where((F.col("rk") == 1) | (F.col("best") >= least_other)).select("id", "lang", (F.col("mass") / F.col("chars")).alias("confidence"), (F.col("chars") / F.col("total")).alias("share"))
+    known = F.col("lang").isNotNull()
+    ranked = per.withColumn("total", F.sum(F.when(known, F.col("chars")).otherwise(0)).over(w)).withColumn("rk", F.row_number().over(w.orderBy(known.desc(), F.desc("mass"), "lang")))
+    share = F.when(known & (F.col("total") > 0), F.col("chars") / F.nullif(F.col("total"), F.lit(0))).otherwise(F.lit(0.0))
+    confidence = F.coalesce(F.col("mass") / F.nullif(F.col("chars"), F.lit(0)), F.lit(0.0))
+    return ranked.where((F.col("rk") == 1) | known & (F.col("best") >= least_other)).select("id", "lang", confidence.alias("confidence"), share.alias("share"))
 
 
 def mislabelled(languages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -356,7 +373,7 @@ def mislabelled(languages: DataFrame, labels: DataFrame) -> DataFrame:
     Null, blank and meaningless labels declare nothing. Repeated rows count once.
     """
     declared = labels.select("id", label_code(F.col("label")).alias("code")).where("code IS NOT NULL").groupBy("id").agg(F.collect_set("code").alias("declared"))
-    written = languages.groupBy("id").agg(F.collect_set("lang").alias("written"))  # both sets are bounded by the number of languages
+    written = languages.where("lang IS NOT NULL").groupBy("id").agg(F.collect_set("lang").alias("written"))  # both sets are bounded by the number of languages
     joined = written.join(declared, "id", "left")
     wrong = F.col("declared").isNull() | (F.size("written") > 1) | (F.size(F.array_except("declared", "written")) > 0)
     return joined.where(wrong).select("id", F.explode("written").alias("lang")).distinct()

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .names import DEEDS, INTRODUCTIONS, STOP, USUAL, Lexicon, bare, names
-from .skeleton import _PROTOTYPES, _SHAPE
+from .skeleton import _NEAREST as _PROTOTYPES
+from .skeleton import _SHAPE
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 

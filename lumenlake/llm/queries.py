@@ -25,6 +25,10 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_classes(table(spark, d, "insta_content"), "id", FIELDS)
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.look_members(table(spark, d, "insta_content"), "id", FIELDS).withColumnRenamed("id", "insta_content_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizers.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), VOCABULARY)
 
@@ -57,9 +61,9 @@ def _caption_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "caption_labels").select(F.col("insta_content_id").alias("id"), F.col("lang").alias("label"))
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
+def _segments(spark: SparkSession, d: str, positions: bool = False) -> DataFrame:
     captions = _captions(spark, d)
-    return langid.segments(captions, langid.fit(captions, _caption_labels(spark, d)))
+    return langid.segments(captions, langid.fit(captions, _caption_labels(spark, d)), positions=positions)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +76,7 @@ def p6_captions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).withColumnRenamed("id", "insta_content_id").distinct()
+    return _segments(spark, d, True).withColumnRenamed("id", "insta_content_id").distinct()
 
 
 def _posts(spark: SparkSession, d: str) -> DataFrame:
@@ -114,5 +118,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_consistent, p2_classes, p5_found, p5_spans, p5_redacted, p6_found, p6_captions, p6_segments, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)
+    for f in (p2_found, p2_consistent, p2_classes, p2_members, p5_found, p5_spans, p5_redacted, p6_found, p6_captions, p6_segments, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)
 }

@@ -7,16 +7,22 @@ are grouped by the skeleton's hash, and only hashes travel through the shuffle.
 
 from __future__ import annotations
 
+import functools
+import glob
+import os
 import re
+import struct
 import unicodedata
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts (left) with the Latin letters of the same shape (right), in parallel.
+# Letters of other scripts (left) with the Latin letters of the same shape (right), in parallel. They go before the public table.
 _LOOKS = (
     # Cyrillic
     ("аеорсухѕіјһԁԛԝѵүАВЕКМНОРСТУХЅІЈԚԜѴҮҺ", "aeopcyxsijhdqwvyABEKMHOPCTYXSIJQWVYh"),
@@ -29,7 +35,73 @@ _LOOKS = (
     # Latin letters and letter-like signs of the same shape
     ("ɑɡⲟᴏᴄᴠᴡᴢℓ", "agoocvwzl"),
 )
-_PROTOTYPES = {ord(a): b for left, right in _LOOKS for a, b in zip(left, right, strict=True)}
+_NEAREST = {ord(a): b for left, right in _LOOKS for a, b in zip(left, right, strict=True)}
+
+
+def confusables(folder: str | None = None) -> dict[int, str]:
+    """The public table of Unicode confusables (UTS #39): code point -> prototype.
+
+    It is read from the ICU library (Unicode licence) among Spark's own jars, in ``folder`` if one is given; nothing of it is kept in this repository.
+    """
+    homes = [folder] if folder else [os.path.join(h, "jars") for h in (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)) if h] + ["__spark_libs__"]
+    for home in homes:
+        for jar in sorted(glob.glob(os.path.join(home, "icu4j-*.jar"))):
+            with zipfile.ZipFile(jar) as z:
+                return _parse(z.read("com/ibm/icu/impl/data/icudata/confusables.cfu"))
+    raise FileNotFoundError(f"no icu4j-*.jar in {homes}")
+
+
+def _parse(data: bytes) -> dict[int, str]:
+    # Fixed values of the file format: its magic number; keys are 24 bits of code point and 8 bits of length less one.
+    at = data.index(bytes.fromhex("3845fdef"))
+    keys_at, n, values_at, _, strings_at, units = struct.unpack(">6I", data[at + 12 : at + 36])
+    keys = struct.unpack(f">{n}I", data[at + keys_at : at + keys_at + 4 * n])
+    values = struct.unpack(f">{n}H", data[at + values_at : at + values_at + 2 * n])
+    strings = data[at + strings_at : at + strings_at + 2 * units]
+    out = {}
+    for key, value in zip(keys, values, strict=True):
+        length = (key >> 24) + 1
+        out[key & 0xFFFFFF] = chr(value) if length == 1 else strings[2 * value : 2 * (value + length)].decode("utf-16-be")
+    return out
+
+
+def _is_letter(c: str) -> bool:
+    return unicodedata.category(c) in ("Lu", "Ll", "Lo", "Lt")
+
+
+@functools.lru_cache(maxsize=1)
+def prototypes() -> dict[int, str]:
+    """The letters of :func:`confusables` with the letter that stands for their shape.
+
+    Only letters change, and only into letters: another digit or sign is another look, so of the shape of 1, l, I and | the
+    capital letters become I and the others l. Where a shape has an ASCII letter, that stands for it, in the source's case;
+    else the table's prototype, or the first letter of the shape if that is no letter. Letters of another
+    style (mathematical, raised, circled) look different and stay, as do Latin letters with an own name for two, such as ae.
+    """
+    table = confusables()
+    shapes: dict[str, list[str]] = {}
+    for code, shape in table.items():
+        shapes.setdefault(shape, [shape] if len(shape) == 1 else []).append(chr(code))
+    out: dict[int, str] = {}
+    for shape, members in shapes.items():
+        letters = sorted({c for c in members if _is_letter(c)})
+        plain = [c for c in letters if c.isascii()]
+        for c in letters:
+            if c.isascii() or unicodedata.decomposition(c):
+                continue
+            own = [a for a in plain if a.isupper() == c.isupper()] if len(plain) > 1 else plain
+            if own:
+                to = own[0]
+            elif len(shape) == 1:
+                to = shape if _is_letter(shape) else letters[0]
+            elif _is_letter(shape[0]) and all(unicodedata.combining(x) for x in shape[1:]):
+                to = shape
+            else:
+                continue
+            if to != c:
+                out[ord(c)] = to
+    return out | _NEAREST
+
 
 # Invisible characters outside the categories Cf and Cc, blanks outside Zs, format characters that are visible.
 _INVISIBLE = "\u034fᅟᅠ\u17b4\u17b5\u180b\u180c\u180d\u180fㅤﾠ"
@@ -74,7 +146,7 @@ def _fold(run: re.Match) -> str:
         if len(_FOLDED) > 100_000:
             _FOLDED.clear()
         out = unicodedata.normalize("NFD", text.translate(_SHAPE))
-        out = _FOLDED[text] = unicodedata.normalize("NFD", out.translate(_PROTOTYPES))
+        out = _FOLDED[text] = unicodedata.normalize("NFD", out.translate(prototypes()))
     return out
 
 
@@ -142,8 +214,26 @@ def consistent(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     return forms.select("id", "field", F.translate("skeleton", _KEEP_JOINED, "\u200d").alias("consistent")).distinct()
 
 
+def _classed(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
+    return long_texts(df, id_column, fields).select("field", F.md5("skeleton").alias("look"), F.xxhash64("text").alias("form"), "id")
+
+
 def look_classes(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
-    """``field, look, n_rows, n_forms``: one row per class of equal-looking texts, with its number of rows and of different strings."""
-    looks = long_texts(df, id_column, fields).select("field", F.md5("skeleton").alias("look"), F.xxhash64("text").alias("form"))
-    forms = looks.groupBy("field", "look", "form").agg(F.count("*").alias("n"))
-    return forms.groupBy("field", "look").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_forms"))
+    """``field, look, n_rows, n_ids, n_forms, n_links``: one row per class of equal-looking texts.
+
+    ``n_links`` is the number of pairs that :func:`look_alikes` has for the class: pairs of different ids of which one has a string
+    that the other's differs from. It is found by counting, without forming a pair: all pairs of ids, less those of ids that have
+    one and the same string only. Null ids count as rows only.
+    """
+    members = _classed(df, id_column, fields).groupBy("field", "look", "id").agg(F.count("*").alias("n"), F.min("form").alias("lo"), F.max("form").alias("hi"), F.count_distinct("form").alias("k"))
+    # ids with a single string, by that string: only among them is a pair no link
+    alike = members.groupBy("field", "look", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")).agg(F.sum("n").alias("n"), F.count("id").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    m, pairs = F.col("m").cast("decimal(20,0)"), lambda x: x * (x - F.lit(1).cast("decimal(20,0)")) / 2
+    per = alike.groupBy("field", "look").agg(F.sum("n").alias("n_rows"), F.sum("m").alias("n_ids"), pairs(F.sum(m)).alias("all"), F.sum(F.when(F.col("only").isNotNull(), pairs(m)).otherwise(F.lit(0))).alias("same"))
+    forms = _classed(df, id_column, fields).select("field", "look", "form").distinct().groupBy("field", "look").agg(F.count("*").alias("n_forms"))
+    return per.join(forms, ["field", "look"]).select("field", "look", "n_rows", "n_ids", "n_forms", (F.col("all") - F.col("same")).cast("long").alias("n_links"))
+
+
+def look_members(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
+    """``field, id, look, form``: one row per id, field and different string of it, with its class and a hash of the string; with :func:`look_classes` all links, without expanding them."""
+    return _classed(df, id_column, fields).where(F.col("id").isNotNull()).select("field", "id", "look", "form").distinct()

@@ -1,9 +1,12 @@
 """Problem 6: trained on generated sentences, measured on held-out ones."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenlake.llm import langid as L
@@ -64,6 +67,28 @@ def test_held_out_accuracy(data):
     want = {(i, x) for i, langs in truth.items() if len(langs) > 1 or declared.get(i) not in langs for x in langs}
     assert len(found & want) / len(want) > 0.95 and len(found - want) / len(want) < 0.05
     assert not {i for i, _ in found} & {"empty", "blank", "tags"}
+    every = {r.id: (r.lang, r.confidence) for r in L.text_languages(L.segments(captions, model)).collect()}
+    assert every.keys() == {*truth, "blank", "tags"}  # a null text is none
+    assert all(every[i] == (None, 0.0) for i in ("blank", "tags")) and all(0 < c <= 1 for x, c in every.values() if x)
+
+
+def test_segments_are_places_in_the_text_as_it_was_written(spark, data):
+    captions, labels, _ = data
+    model = L.fit(captions, labels)
+    text = "T\u200bhе hоuse w\u00adas v\u0435ry old. \uff34he house was very old. ｄas haus war sehr alt!\r\nМама шла домой через каждую комнату. cafe\u0301 la casa era muy vieja"
+    df = spark.createDataFrame([("x", text), ("n", None)], "id string, text string")
+    got = [(text[r.start : r.end].strip(), r.lang) for r in L.segments(df, model).orderBy("segment").collect()]
+    assert [g for g, _ in got] == ["T\u200bhе hоuse w\u00adas v\u0435ry old.", "\uff34he house was very old.", "ｄas haus war sehr alt!", "Мама шла домой через каждую комнату.", "cafe\u0301 la casa era muy vieja"]
+    assert [x for _, x in got] == ["en", "en", "de", "ru", "es"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(blacklist_categories=("Cs", "Cc", "Cf", "Zl", "Zp")), max_size=40))
+def test_aligned_form_is_the_normal_form(text):
+    form, at = L.aligned(text)
+    assert len(at) == len(form) + 1 and at == sorted(at) and at[-1] == len(text)
+    if not text.isupper():
+        assert unicodedata.normalize("NFC", form).split() == L.normal(text).split()
 
 
 def test_unfit_input(spark, data):

@@ -85,4 +85,37 @@ def test_consistent_and_classes(spark):
     df = spark.createDataFrame([("a", "соffее"), ("b", "coffee"), ("c", "coffee"), ("d", None), ("e", "👨\u200d👩\u200d👧")], "id string, caption string")
     got = {r.id: r.consistent for r in S.consistent(df, "id", ["caption"]).collect()}
     assert got == {"a": "coffee", "b": "coffee", "c": "coffee", "e": "👨\u200d👩\u200d👧"}
-    assert sorted((r.n_rows, r.n_forms) for r in S.look_classes(df, "id", ["caption"]).collect()) == [(1, 1), (3, 2)]
+    assert sorted((r.n_rows, r.n_ids, r.n_forms, r.n_links) for r in S.look_classes(df, "id", ["caption"]).collect()) == [(1, 1, 1, 0), (3, 3, 2, 2)]
+
+
+def test_links_and_members_of_classes(spark):
+    texts = [x for pair in SAME + DIFFERENT for x in pair] + ["love this", "love this", "lоve this"]
+    rows = [(f"i{n % 17:02}", t) for n, t in enumerate(texts * 2)] + [(None, "lоve thіs"), (None, "love this")]
+    df = spark.createDataFrame(rows, "id string, caption string")
+    pairs = S.look_alikes(df, "id", ["caption"]).count()
+    assert sum(r.n_links for r in S.look_classes(df, "id", ["caption"]).collect()) >= pairs > 0  # an id pair may be linked in several classes
+    one = spark.createDataFrame([(f"a{i}", "love this") for i in range(40)] + [("b", "lоve this"), ("c", "lоve this"), ("a1", "lоve this")], "id string, caption string")
+    (r,) = S.look_classes(one, "id", ["caption"]).collect()
+    assert (r.n_ids, r.n_forms, r.n_links) == (42, 2, S.look_alikes(one, "id", ["caption"]).count())
+    assert S.look_members(one, "id", ["caption"]).count() == 43
+
+
+def test_public_confusables_of_other_scripts():
+    table = S.confusables()
+    assert len(table) > 6000
+    wanted = [(chr(c), p) for c, p in table.items() if len(p) == 1 and p.isascii() and p.isalpha() and p not in "lIO" and unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(chr(c)) and not unicodedata.name(chr(c)).startswith("LATIN")]
+    assert len(wanted) >= 200
+    wrong = [(c, p) for c, p in wanted if S.skeleton(f"x{c}x") != f"x{p}x"]
+    assert not wrong
+    scripts = {unicodedata.name(c).split()[0] for c, _ in wanted}
+    assert {"CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU", "CANADIAN"} <= scripts
+    assert S.skeleton("ІӏІ") == "IiI" and S.skeleton("1l|I") == "1l|I" and S.skeleton("0Oо") == "0Oo" and S.skeleton("ı") == "i"
+
+
+def test_many_equal_texts_and_one_look_alike(spark):
+    import time
+
+    rows = spark.range(64_000).selectExpr("concat('i', id) AS id", "'love this' AS caption").unionByName(spark.createDataFrame([("x", "lоve this")], "id string, caption string"))
+    begun = time.time()
+    assert S.look_alikes(rows, "id", ["caption"]).count() == 64_000
+    assert time.time() - begun < 30  # with a pair of every two rows it would take minutes
