@@ -99,13 +99,13 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return posts.select(F.col("id").alias("insta_content_id"), pii.redacted(posts, "caption", names.learn(posts, "caption")).alias("caption")).distinct()
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str, least: float | None = None) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
-    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, d, "document_labels")))
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, d, "document_labels")), least)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
+    return _scored(spark, d, toxicity.THRESHOLD).select("doc_id").distinct()
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:

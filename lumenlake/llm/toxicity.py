@@ -29,10 +29,10 @@ from .skeleton import skeleton
 BITS, NEIGHBOURS, LEAST_SIMILARITY, BLOCK = 18, 12, 0.2, 32
 
 #: Blocks that are read at a time for each text, in order of their bounds.
-AT_A_TIME = 24
+AT_A_TIME = 12
 
 #: Texts that are looked up side by side.
-TOGETHER = 64
+TOGETHER = 32
 
 #: Bounds of the labelled sample: documents (chosen by a hash of the id) and distinct passages of them.
 SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 8000, 60_000
@@ -157,6 +157,21 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _along(near: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """All passages, each followed by its nearest one that is not placed yet, and so on from there."""
+    out: list[int] = []
+    placed = np.zeros(len(near), bool)
+    for start in range(len(near)):
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            if not placed[i]:
+                placed[i] = True
+                out.append(i)
+                todo += near[i][0][::-1].tolist()  # the nearest comes off first
+    return out
+
+
 @dataclass
 class Index:
     """Block-max inverted index of labelled passages, with votes."""
@@ -173,7 +188,9 @@ class Index:
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where the segment's postings begin in the next two
     within: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # place of each posting's passage in the block
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    toxic_end: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.int64))  # where a term's segments of toxic blocks end
     blocks: int = 0
+    toxic_blocks: int = 0  # blocks with toxic votes; they are the first ones
     read: int = 0  # blocks read so far
     shapes: dict[tuple[int, str], list[str]] = field(default_factory=dict)  # (length, first letter) -> words
 
@@ -190,8 +207,12 @@ class Index:
         pattern = re.compile(word.replace(MASK, "."))
         return next((w for w in self.shapes.get((len(word), word[0]), ()) if pattern.fullmatch(w)), word)
 
-    def build(self) -> Index:
-        """Similar passages share blocks: they are sorted by the terms that weigh most and are shared most."""
+    def build(self, near: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Index:
+        """Passages with toxic votes come first; in both parts similar passages share blocks.
+
+        They are sorted by the terms that weigh most and are shared most or, if the neighbours ``near`` of
+        every passage are known already, along these: from each passage on to its nearest one not yet placed.
+        """
         said: dict[str, float] = defaultdict(float)
         for x, n in zip(self.texts, self.toxic, strict=True):
             for w in set(x.split(" ")):
@@ -201,17 +222,16 @@ class Index:
         for w in sorted(said, key=lambda w: (-said[w], w)):
             self.shapes.setdefault((len(w), w[0]), []).append(w)
         vectors = [self.vector(x) for x in self.texts]
-        shared = np.log1p(np.bincount(np.concatenate([t for t, _ in vectors]), minlength=1 << BITS) - 0.99) if vectors else np.zeros(0)
-
-        def place(i: int) -> tuple:
-            t, w = vectors[i]
-            return (t[np.argsort(-w * shared[t], kind="stable")[:3]].tolist(), self.texts[i])
-
-        order = sorted(range(len(vectors)), key=place)
+        if near is None:
+            shared = np.log1p(np.bincount(np.concatenate([t for t, _ in vectors]), minlength=1 << BITS) - 0.99) if vectors else np.zeros(0)
+            order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1] * shared[vectors[i][0]], kind="stable")[:3]].tolist(), self.texts[i]))
+        else:
+            order = _along(near)
+        order.sort(key=lambda i: not self.toxic[i])  # stable
         self.texts, vectors = [self.texts[i] for i in order], [vectors[i] for i in order]
         self.votes, self.toxic = self.votes[order], self.toxic[order]
         n = len(vectors)
-        self.blocks = -(-n // BLOCK)
+        self.blocks, self.toxic_blocks = -(-n // BLOCK), -(-int((self.toxic > 0).sum()) // BLOCK)
         term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
         row = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
@@ -224,24 +244,33 @@ class Index:
         self.largest = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.within = row % BLOCK
         self.segment = np.searchsorted(term[starts], np.arange((1 << BITS) + 1))
+        self.toxic_end = self.segment[:-1] + np.bincount(term[starts][self.block < self.toxic_blocks], minlength=1 << BITS)
         return self
 
-    def nearest(self, texts: list[str], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For every text the exact ``k`` nearest passages with a cosine of at least LEAST_SIMILARITY, best first, ties by place.
+    def nearest(self, texts: list[str], k: int = NEIGHBOURS, toxic: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every text the exact ``k`` nearest passages with a cosine of at least LEAST_SIMILARITY, best first, ties by place; with ``toxic`` only those of blocks with toxic votes.
 
         No passage is more similar than its block's bound. A text's blocks are read in order of their bounds,
         AT_A_TIME together, until none that is left can reach its worst neighbour. TOGETHER texts go side by side.
         """
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(0, len(texts), TOGETHER):
-            out += self._nearest(texts[i : i + TOGETHER], k)
+            out += self._nearest(texts[i : i + TOGETHER], k, toxic)
         return out
 
-    def _nearest(self, texts: list[str], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        m, blocks = len(texts), self.blocks
+    def most(self, texts: list[str]) -> np.ndarray:
+        """The largest vote each text can get: that of its nearest toxic passages alone, as others only lower it and those that others displace are fewer."""
+        sums = [float(sims**2 @ self.toxic[ids]) for ids, sims in self.nearest(texts, toxic=True)]
+        return np.array([(x + PRIOR_WEIGHT * PRIOR) / (x + PRIOR_WEIGHT) for x in sums])
+
+    def _nearest(self, texts: list[str], k: int, toxic: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, blocks = len(texts), self.toxic_blocks if toxic else self.blocks
+        if not blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
         vectors = [self.vector(x) for x in texts]
         term = np.concatenate([t for t, _ in vectors])
-        a, n = self.segment[term], self.segment[term + 1] - self.segment[term]
+        a = self.segment[term]
+        n = (self.toxic_end[term] if toxic else self.segment[term + 1]) - a
         of = np.repeat(np.arange(m), [len(t) for t, _ in vectors])
         at, each = _ranges(a, n), np.repeat(np.concatenate([w for _, w in vectors]), n)
         key = np.repeat(of * blocks, n) + self.block[at]  # (text, block) of every segment
@@ -350,7 +379,7 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, m
         base = float(index.toxic.sum() / max(index.votes.sum(), 1.0))
     raw = np.array([max(index.vote(*left_out(i, kept.get((d, i), 0.0))) for i in ps) for d, ps in by_doc.items()])
     index.slope, index.centre = _logistic(raw, np.array([label[d] for d in by_doc]))
-    return index.build()  # the blocks follow the votes that are left
+    return index.build(near)  # the blocks follow the votes that are left, and the neighbours
 
 
 def _passages_of(rows) -> dict[int, list[str]]:
@@ -377,11 +406,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 500) -> tuple[float, f
 SCORE = "doc_id long, source string, score double, passage string, neighbour string, similarity double"
 
 
-def score_documents(docs: DataFrame, index: Index) -> DataFrame:
+def score_documents(docs: DataFrame, index: Index, least: float | None = None) -> DataFrame:
     """``doc_id, source, score, passage, neighbour, similarity`` of every document of ``doc_id, source, text``.
 
     ``passage`` is the one with the largest score, ``neighbour`` the labelled passage nearest to it. Documents
-    without a passage (null, empty, blank) score 0 without evidence. Whole texts are read.
+    without a passage (null, empty, blank) score 0 without evidence. Whole texts are read. With ``least`` only the documents that
+    score at least so much come out; these, their scores and evidence are the same, but passages whose largest possible
+    vote (:meth:`Index.most`) stays below it are not looked up further.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE_PASSAGES
 
@@ -395,6 +426,10 @@ def score_documents(docs: DataFrame, index: Index) -> DataFrame:
                 if len(memo) > 200_000:
                     memo.clear()
                 new = list(dict.fromkeys(p for parts in read for _, ps in parts for p in ps if p not in memo))
+                if least is not None:
+                    reach = [ix.calibrated(x) >= least for x in ix.most(new)]
+                    memo |= {p: (-1.0, -1, 0.0) for p, r in zip(new, reach, strict=True) if not r}
+                    new = [p for p, r in zip(new, reach, strict=True) if r]
                 for p, (near, sims) in zip(new, ix.nearest(new), strict=True):
                     memo[p] = (ix.vote(near, sims), int(near[0]) if len(near) else -1, float(sims[0]) if len(near) else 0.0)
                 out: list[tuple] = []
@@ -404,7 +439,9 @@ def score_documents(docs: DataFrame, index: Index) -> DataFrame:
                         s = max([memo[p] for p in ps], key=lambda x: x[0])
                         if best is None or s[0] > best[0]:
                             best, where = s, raw
-                    out.append((i, source, ix.calibrated(best[0]), where, ix.texts[best[1]] if best[1] >= 0 else None, best[2]) if best else (i, source, 0.0, None, None, None))
+                    row = (i, source, ix.calibrated(best[0]), where, ix.texts[best[1]] if best[1] >= 0 else None, best[2]) if best else (i, source, 0.0, None, None, None)
+                    if least is None or best and row[2] >= least:
+                        out.append(row)
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], [x.split()[0] for x in SCORE.split(", ")])
 

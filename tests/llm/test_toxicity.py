@@ -81,6 +81,8 @@ def test_held_out_accuracy_and_rates(corpus):
     assert all(got[i].score == 0 and got[i].passage is None for i in (5000, 5001, 5002, 5003))
     evidence = got[max(held, key=lambda i: got[i].score)]
     assert evidence.similarity > 0.5 and evidence.neighbour
+    reported = {r.doc_id: tuple(r) for r in T.score_documents(docs, T.fit(docs, labels), T.THRESHOLD).collect()}
+    assert reported == {i: tuple(r) for i, r in got.items() if r.score >= T.THRESHOLD}  # nothing is lost or changed by leaving early
     rates = {r.source: (r.n_documents, r.n_toxic) for r in T.source_rates(scored).collect()}
     assert set(rates) == {"comment", "ticket", "unknown"} and sum(n for n, _ in rates.values()) == docs.count()
 
