@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-#: Ranks are counted apart in so many parts of each size, so that no size, however frequent, is ranked in one task.
-PARTS = 32
+#: Items of one size that are ranked in one task; the number of parts of each size follows from it and the number of documents.
+PART_ITEMS, MOST_PARTS = 2_000_000, 4096
 
 #: Patterns of three sizes take two of them from so many of the most frequent sizes.
 FREQUENT = 160
@@ -192,13 +192,14 @@ def _place_udf(places: dict, first: dict):
     return udf
 
 
-def pack(items: DataFrame, capacities: dict[int, int]) -> DataFrame:
+def pack(items: DataFrame, capacities: dict[int, int], part_items: int = PART_ITEMS) -> DataFrame:
     """``pack_id, doc_id, piece, n_tokens, container_id, offset``: every item in a container of every capacity.
 
     ``items``: ``pack_id, doc_id, n_tokens``. An item is split only if it exceeds the capacity alone:
     into full pieces and a rest, numbered from 0. Items of size 0 or null take no space: one row
     with n_tokens 0 and null container and offset. Container ids are unique within a pack. Repeated
-    rows are items of their own. The driver sees the histogram of sizes only, at most capacity x PARTS counts.
+    rows are items of their own. The driver sees the histogram of sizes only: one count per size and,
+    for sizes with more than ``part_items`` items, per part of it (at most MOST_PARTS).
     """
     spark = items.sparkSession
     bound = F.element_at(F.create_map(*(F.lit(x) for kv in capacities.items() for x in kv)), F.col("pack_id"))
@@ -206,16 +207,26 @@ def pack(items: DataFrame, capacities: dict[int, int]) -> DataFrame:
     pieces = sized.where("n > 0").select(
         "pack_id", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("CAST((n - 1) DIV capacity AS INT)")), lambda i: F.least(F.col("capacity"), F.col("n") - i * F.col("capacity")))).alias("piece", "n_tokens")
     )
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
-    counted = pieces.groupBy("pack_id", "n_tokens", "part").agg(F.count("*").alias("n")).toPandas()
+    sizes = pieces.groupBy("pack_id", "n_tokens").agg(F.count("*").alias("n")).toPandas()
+    frequent = [(int(r.pack_id), int(r.n_tokens), min(MOST_PARTS, -(-int(r.n) // part_items))) for r in sizes.itertuples() if r.n > part_items]
+    pieces = pieces.withColumn("row", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()) if frequent else F.lit(0).cast("long"))
+    if frequent:  # a size that very many items have is ranked in parts; which part an item is in does not matter, so rows without id spread too
+        parts = spark.createDataFrame(frequent, "pack_id int, n_tokens int, parts int")
+        pieces = cut_lineage(pieces.join(F.broadcast(parts), ["pack_id", "n_tokens"], "left").withColumn("part", F.pmod("row", F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts"))
+        counted = pieces.groupBy("pack_id", "n_tokens", "part").agg(F.count("*").alias("n")).toPandas()
+    else:
+        pieces, counted = pieces.withColumn("part", F.lit(0)), sizes.assign(part=0)
     places: dict[int, dict] = {}
     first: dict[int, dict] = {}
     for pack_id, rows in counted.groupby("pack_id"):
         capacity = capacities[int(pack_id)]
-        table = np.zeros((capacity + 1, PARTS), np.int64)
-        table[rows["n_tokens"].to_numpy(int), rows["part"].to_numpy(int)] = rows["n"].to_numpy(int)
-        places[int(pack_id)] = _places(pack_histogram(table.sum(axis=1), capacity))
-        first[int(pack_id)] = {int(s): np.concatenate([[0], np.cumsum(table[s])[:-1]]) for s in np.flatnonzero(table.sum(axis=1))}
+        size, part, n = (rows[c].to_numpy(np.int64) for c in ("n_tokens", "part", "n"))
+        places[int(pack_id)] = _places(pack_histogram(np.bincount(size, n, capacity + 1).astype(np.int64), capacity))
+        first[int(pack_id)] = {}
+        for x in np.unique(size):
+            own = np.zeros(int(part[size == x].max()) + 2, np.int64)
+            own[part[size == x] + 1] = n[size == x]
+            first[int(pack_id)][int(x)] = np.cumsum(own)[:-1]
     w = Window.partitionBy("pack_id", "n_tokens", "part").orderBy("doc_id", "piece")
     ranked = pieces.withColumn("rank", F.row_number().over(w))
     placed = ranked.select("pack_id", "doc_id", "piece", "n_tokens", _place_udf(places, first)("pack_id", "n_tokens", "part", "rank").alias("p"))

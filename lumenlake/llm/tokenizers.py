@@ -120,9 +120,10 @@ def _edges(index: pd.Series, last: pd.Series, text: pd.Series, chunk: pd.Series,
 def _pieces(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """``row, doc_id, i, piece`` of the long texts of ``docs``: consecutive pieces that begin and end at true pre-token boundaries.
 
-    ``row`` tells apart repeated rows; it depends only on the row's place in the scan.
+    ``row`` tells apart repeated rows: it numbers the copies of a row, and rows that are equal may swap numbers.
     """
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    same = Window.partitionBy("doc_id", "hash").orderBy("hash")
+    docs = docs.withColumn("hash", F.md5("text")).withColumn("row", F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "hash", F.row_number().over(same))).drop("hash")
     n = F.ceil(F.length("text") / chunk).cast("int")
     cut = docs.select("row", "doc_id", "text", n.alias("n")).select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk + overlap)))).alias("i", "part"), "n")
     cut = cut.repartition("row", "i")  # the chunks of one text are spread over the cluster

@@ -103,11 +103,12 @@ def test_fitted_patterns_take_part():
     assert sum(g[0] for g in groups) > 500 and left.sum() < counts.sum() / 2
 
 
-def test_every_document_is_packed_once(spark):
+@pytest.mark.parametrize("part_items", [P.PART_ITEMS, 4])
+def test_every_document_is_packed_once(spark, part_items):
     rng = random.Random(3)
     rows = [(i, rng.choice([0, 1, 5, 60, 64, 65, 200, None, 7, 7, 7])) for i in range(600)]
     items = spark.createDataFrame([(p, i, n) for p in (1, 2) for i, n in rows], "pack_id int, doc_id long, n_tokens int")
-    got = P.pack(items, {1: 64, 2: 100}).collect()
+    got = P.pack(items, {1: 64, 2: 100}, part_items).collect()
     for pack, capacity in ((1, 64), (2, 100)):
         mine = [r for r in got if r.pack_id == pack]
         total, fill, places = {}, {}, {}
