@@ -8,15 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import jobs, migrate, search
 from .sources import frames
 
-# Collections that may be read, limits of a request, the default number of hits.
+# Collections that may be read, limits of a request, the default number of hits, jobs that run at a time.
 COLLECTIONS = ("user_images", "user_videos", "watched_frames")
-MOST_FILES, MOST_ITEMS, DEFAULT_LIMIT = 50, 1000, 5
+MOST_FILES, MOST_ITEMS, DEFAULT_LIMIT, PARALLEL_JOBS = 50, 1000, 5, 2
 
 Encoder = Callable[[list], np.ndarray]
 
@@ -67,14 +67,12 @@ def ingest_frames(listing: DataFrame, make_encoder: Callable[[], Encoder], creat
 
     Frames without readable content keep a null vector; with ``dim`` a vector of another length fails the job.
     """
-    key = F.concat_ws("/", "code", "name")
-    points = migrate.frame_points(listing, created_at).withColumn("_k", F.concat_ws("/", "code", "name"))
-    vectors = frames.encode(listing.select(key.alias("_k"), "content"), "content", make_encoder).select("_k", "vector")
+    points = frames.encode(migrate.frame_points(listing, created_at, keep=("content",)), "content", make_encoder).drop("content")  # vector and payload in the same row
     if dim is not None:
         from .functions.vector import guarded
 
-        vectors = vectors.withColumn("vector", F.when(F.col("vector").isNotNull(), guarded(F.col("vector"), dim)))
-    return points.join(vectors, "_k").drop("_k")
+        points = points.withColumn("vector", F.when(F.col("vector").isNotNull(), guarded(F.col("vector"), dim)))
+    return points
 
 
 def ingest_images(uploads: DataFrame, make_encoder: Callable[[], Encoder], user_id: str) -> DataFrame:
@@ -108,9 +106,33 @@ def process_codes(codes: DataFrame, processed: DataFrame) -> DataFrame:
     return codes.select("code").where("code IS NOT NULL").distinct().join(per, "code", "left").select("code", F.coalesce("_ok", F.lit(False)).alias("ok"))
 
 
-def job_status(events: DataFrame, tail: int | None = None) -> DataFrame:
+def job_status(events: DataFrame, tail: int = 100) -> DataFrame:
     """Status per job with its log's last lines; ``events``: ``job_id, ts, status, log``."""
     state = jobs.latest_state(events, "job_id", "ts", "status")
-    lines = events.where("log IS NOT NULL").groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "log"))), lambda x: x["log"]).alias("log_tail"))
-    cut = F.col("log_tail") if tail is None else F.slice("log_tail", -F.least(F.lit(tail), F.size("log_tail")), F.lit(tail))
-    return state.join(lines, "job_id", "left").withColumn("log_tail", F.when(F.size("log_tail") > 0, cut).otherwise(F.array().cast("array<string>")))
+    lines = events.where("log IS NOT NULL").select("job_id", "ts", "log")
+    w = Window.partitionBy("job_id").orderBy(F.desc("ts"), F.desc("log"))
+    last = lines.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= tail)  # a limit per group, so no more than the tail is collected
+    logs = last.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "log"))), lambda x: x["log"]).alias("log_tail"))
+    return state.join(logs, "job_id", "left").withColumn("log_tail", F.coalesce("log_tail", F.array().cast("array<string>")))
+
+
+def jobs_list(events: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+    """The newest jobs, of one status (any case) if it is given: ``job_id, status, created_at, updated_at, n_events, terminal``."""
+    state = jobs.latest_state(events, "job_id", "ts", "status")
+    mine = state if status is None else state.where(F.lower("status") == status.lower())
+    return mine.orderBy(F.desc("updated_at"), "job_id").limit(limit)
+
+
+def config() -> dict[str, int]:
+    """The limits of the service."""
+    return {"max_videos_per_request": MOST_ITEMS, "pipeline_max_parallel_jobs": PARALLEL_JOBS, "max_files_per_upload": MOST_FILES, "default_limit": DEFAULT_LIMIT}
+
+
+def concurrency_stats(events: DataFrame, parallel: int | None = None) -> DataFrame:
+    """One row ``max_parallel_jobs, queue_size, active_workers, workers_running, gpu_semaphore_available`` from the jobs' latest states."""
+    most = F.lit(PARALLEL_JOBS if parallel is None else parallel)
+    state = jobs.latest_state(events, "job_id", "ts", "status").select(F.lower("status").alias("status"))
+    active = F.least(F.count_if(F.col("status") == "running"), most.cast("long"))
+    return state.agg(
+        most.alias("max_parallel_jobs"), F.count_if(F.col("status") == "pending").alias("queue_size"), active.alias("active_workers"), (active > 0).alias("workers_running"), (most - active).alias("gpu_semaphore_available")
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +61,18 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+@dataclass(frozen=True)
+class Hasher:
+    """A perceptual hash as two functions on columns: ``compute`` of a grid, ``compare`` of two hashes (their distance)."""
+
+    compute: Callable[[Column], Column]
+    compare: Callable[[Column, Column], Column] = hamming
+
+
+#: The hashes of the library by name; others may be added.
+HASHERS = {"average": Hasher(average_hash), "difference": Hasher(dhash), "block_mean": Hasher(lambda grid: block_mean_hash(grid, 8, 8, 2))}
+
+
 def unsigned(h: Column) -> Column:
     """A hash as the unsigned number it stands for."""
     return F.when(h < 0, h.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)")).cast("decimal(20,0)")

@@ -105,6 +105,21 @@ def extension(filename: Column, allowed: tuple[str, ...] = ("mp4", "mov", "avi",
     return F.when(ext.isin(*allowed), ext).otherwise(F.lit(default))
 
 
+def random_id() -> Column:
+    """A random UUID per row; it differs at every evaluation, so it is no key."""
+    return F.uuid()
+
+
+def object_key(user_id: Column, item_id: Column, kind: str = "vid", extension: str = "mp4") -> Column:
+    """``users/<user>/<kind>/<id>.<extension>``; null if a part is null."""
+    return F.concat(F.lit("users/"), user_id.cast("string"), F.lit(f"/{kind}/"), item_id.cast("string"), F.lit(f".{extension}"))
+
+
+def object_url(key: Column, bucket: str, region: str) -> Column:
+    """Address of an object in a bucket of a region."""
+    return F.concat(F.lit(f"https://{bucket}.s3.{region}.amazonaws.com/"), key)
+
+
 def job_name(text: Column) -> Column:
     return F.replace(text, F.lit("."), F.lit("-"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,9 @@ def latest_state(events: DataFrame, job: str, ts: str, status: str) -> DataFrame
 
 def progress_deltas(lines: DataFrame, line_no: str, line: str, total: Column, *by: str) -> DataFrame:
     """Beacons of the log lines with their delta to the beacon before (0 at first) in whole percent of ``total``, cut off."""
-    w = Window.partitionBy(*by).orderBy(line_no) if by else Window.orderBy(line_no)
+    if not by:
+        raise ValueError("name the columns of one log: a single order over the whole table would be one task")
+    w = Window.partitionBy(*by).orderBy(line_no)
     beacons = lines.withColumn("done", text.beacon(F.col(line))).where("done IS NOT NULL")
     return beacons.withColumn("delta", F.col("done") - F.lag("done", 1, 0).over(w)).withColumn("percent", (F.lit(100) * F.col("delta") / total).cast("int"))
 
@@ -47,6 +50,22 @@ def valid_upload(content_type: Column, size: Column, kind: str) -> Column:
     return F.coalesce(F.startswith(content_type, F.lit(f"{kind}/")) & (size > 0), F.lit(False))
 
 
+def backoff(attempt: Column, base: float = 1.0, factor: float = 2.0, most: float = 60.0) -> Column:
+    """Seconds to wait before retry number ``attempt`` (from 0): ``base`` times powers of ``factor``, at most ``most``."""
+    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(factor), attempt))
+
+
+def with_backoff(call: Callable, retries: int = 3, base: float = 1.0, factor: float = 2.0, most: float = 60.0, errors: tuple = (OSError,), sleep: Callable[[float], None] = time.sleep):
+    """What ``call()`` returns; network errors are tried again after growing waits, the last one is raised."""
+    for n in range(retries + 1):
+        try:
+            return call()
+        except errors:
+            if n == retries:
+                raise
+            sleep(min(most, base * factor**n))
+
+
 def retry(items: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], most: int = 3) -> DataFrame:
     """Runs ``attempt`` (items, number -> items with BOOLEAN ``ok``) on all items, then on those that failed, at most ``most`` times more.
 

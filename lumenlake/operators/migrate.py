@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
@@ -18,8 +18,25 @@ def migrate_payload(points: DataFrame, now: Column, dim: int | None = None, stri
 
     Missing is what Python calls false: null, '' and 0 — so a ``frame_idx`` of 0 falls back to ``frame_number``.
     ``strict`` removes only known media extensions from codes; else the last dot cuts dotted codes.
-    With ``dim`` a vector of another length fails the job.
+    With ``dim`` a vector of another length fails the job. :func:`migration_counts` says how many points that were.
     """
+    kept = _generation_2(points, now, dim, strict).where("kept").drop("kept")
+    return kept.withColumn("id", point_id(F.col("platform"), F.col("video_code"), F.col("frame_number"), F.col("frame_second")))
+
+
+def migration_counts(points: DataFrame, now: Column, dim: int | None = None, strict: bool = False) -> DataFrame:
+    """One row ``read, upserted, skipped`` of :func:`migrate_payload`; zeros for an empty table."""
+    kept = F.count_if("kept")
+    return _generation_2(points, now, dim, strict).agg(F.count("*").alias("read"), kept.alias("upserted"), (F.count("*") - kept).alias("skipped"))
+
+
+def observed_migration(points: DataFrame, now: Column, observation: Observation, dim: int | None = None, strict: bool = False) -> DataFrame:
+    """:func:`migrate_payload` whose counts come as metrics of the job that writes its result, without a second pass."""
+    shaped = _generation_2(points, now, dim, strict).observe(observation, F.count_if("kept").alias("upserted"), F.count_if(~F.col("kept")).alias("skipped"))
+    return shaped.where("kept").drop("kept").withColumn("id", point_id(F.col("platform"), F.col("video_code"), F.col("frame_number"), F.col("frame_second")))
+
+
+def _generation_2(points: DataFrame, now: Column, dim: int | None, strict: bool) -> DataFrame:
     platform = text.truthy(F.col("platform"), F.lit("instagram"))
     code = text.strip_extension(text.truthy(F.col("video"), F.col("video_code"), F.lit(""), zero=False), known_only=strict)
     number = text.truthy(F.col("frame_idx"), F.col("frame_number"))
@@ -28,8 +45,7 @@ def migrate_payload(points: DataFrame, now: Column, dim: int | None = None, stri
         *([F.col("vector") if dim is None else _vector(dim)] if "vector" in points.columns else []),
         platform.alias("platform"), code.alias("video_code"), number.alias("frame_number"), second.alias("frame_second"), text.prefixed(F.col("path"), platform).alias("path"), now.alias("created_at"),
     )
-    kept = shaped.where(F.col("frame_number").isNotNull() & F.col("frame_second").isNotNull() & F.col("path").isNotNull())
-    return kept.withColumn("id", point_id(F.col("platform"), F.col("video_code"), F.col("frame_number"), F.col("frame_second")))
+    return shaped.withColumn("kept", F.col("frame_number").isNotNull() & F.col("frame_second").isNotNull() & F.col("path").isNotNull())
 
 
 def _vector(dim: int) -> Column:
@@ -38,10 +54,10 @@ def _vector(dim: int) -> Column:
     return vector.guarded(F.col("vector"), dim).alias("vector")
 
 
-def frame_points(frames: DataFrame, created_at: Column, platform: str = "instagram") -> DataFrame:
-    """Points of frames given by ``code, name, position``: index and second from the name, or the position; the id is uuid5 of the natural key, which is kept."""
+def frame_points(frames: DataFrame, created_at: Column, platform: str = "instagram", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Points of frames given by ``code, name, position``: index and second from the name, or the position; the id is uuid5 of the natural key, which is kept, as are the columns ``keep``."""
     n, sec = text.frame_index(F.col("name"), F.col("position")), text.frame_second(F.col("name"), F.col("position"))
-    shaped = frames.select("code", "name", n.alias("frame_number"), sec.alias("frame_second"), F.concat_ws("/", F.lit(platform), "code", "name").alias("path"), created_at.alias("created_at"))
+    shaped = frames.select(*keep, "code", "name", n.alias("frame_number"), sec.alias("frame_second"), F.concat_ws("/", F.lit(platform), "code", "name").alias("path"), created_at.alias("created_at"))
     key = F.concat_ws("_", "code", F.col("frame_number").cast("string"), text.float_text(F.col("frame_second")))
     return shaped.withColumn("uuid", hashing.uuid5("url", key)).withColumn("natural_key", F.concat_ws("_", "code", F.col("frame_number").cast("string")))
 

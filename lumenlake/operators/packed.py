@@ -74,8 +74,11 @@ def tokenize(text: str | None) -> list[str]:
     """
     if text is None or not (text := text.strip()):
         return []
-    text, out, value, depth, i = _unwrap(text), [], [], 0, 0
+    text, out, value, i = _unwrap(text), [], [], 0
     n = len(text)
+    last = {c: text.rfind(c) for c in BRACKETS.values()}
+    depth: list[str] = []  # the closers that are waited for
+    open_ended: set[str] = set()  # quotes that nothing closes any more
 
     def emit() -> None:
         if v := "".join(value).strip():
@@ -87,7 +90,10 @@ def tokenize(text: str | None) -> list[str]:
         if not value and c.isspace() and c not in DELIMITERS:  # blanks before a value
             i += 1
             continue
-        if c in QUOTES and (q := _quoted(text, i)):
+        q = _quoted(text, i) if c in QUOTES and c not in open_ended else None
+        if c in QUOTES and q is None and text.find(2 * QUOTES[c], i + 1) < 0:
+            open_ended.add(c)
+        if q:
             rest = text[q[1] :].lstrip(" \u00a0\u3000")
             if not "".join(value).strip() and (not rest or rest[0] in DELIMITERS):
                 if not depth:  # the whole value is quoted
@@ -107,7 +113,8 @@ def tokenize(text: str | None) -> list[str]:
             piece, i = _escape(text, i)
             value.append(piece)
         elif c in BRACKETS:
-            depth += text.find(BRACKETS[c], i) > 0  # an unclosed bracket is an ordinary character
+            if last[BRACKETS[c]] > i:  # an unclosed bracket is an ordinary character
+                depth.append(BRACKETS[c])
             value.append(c)
             i += 1
         elif c in DELIMITERS and not depth:
@@ -117,7 +124,8 @@ def tokenize(text: str | None) -> list[str]:
             value.append(m.group())
             i = m.end()
         else:
-            depth -= bool(depth) and c in "]})"
+            if c in depth:  # closes its own bracket, and those inside that were left open
+                del depth[len(depth) - 1 - depth[::-1].index(c) :]
             value.append(c)
             i += 1
     emit()

@@ -120,6 +120,14 @@ def outcome_lists(df: DataFrame, ok: Column, item: Column, position: Column, *by
     return df.groupBy(*by).agg(F.count("*").alias("total"), pick(ok).alias("successful"), pick(~F.coalesce(ok, F.lit(False))).alias("failed"))
 
 
+def download_summary(df: DataFrame, ok: Column, item: Column, position: Column, begun: Column, ended: Column, *by: str) -> DataFrame:
+    """``total_videos, success, errors, downloaded_in_secs`` per group: failed items in input order, seconds from the first begin to the last end, two decimals."""
+    good = F.coalesce(ok, F.lit(False))
+    errors = F.transform(F.array_sort(F.collect_list(F.when(~good, F.struct(position.alias("p"), item.alias("v"))))), lambda x: x["v"])
+    secs = F.round((F.unix_micros(F.max(ended)) - F.unix_micros(F.min(begun))) / F.lit(1e6), 2)
+    return df.groupBy(*by).agg(F.count("*").alias("total_videos"), F.count_if(good).alias("success"), errors.alias("errors"), secs.alias("downloaded_in_secs"))
+
+
 def processing_status(df: DataFrame, video: str, uploaded: Column, stored: Column) -> DataFrame:
     """Per video the frames extracted, uploaded and stored, the status and a line of text."""
     per = df.groupBy(video).agg(F.count("*").alias("extracted"), F.count_if(uploaded).alias("uploaded"), F.count_if(stored).alias("stored"))
@@ -147,24 +155,49 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b.select(*a.columns))
 
 
+def required_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """One row ``kept, skipped`` of :func:`required`."""
+    return df.agg(F.count_if(_present(df, columns)).alias("kept"), F.count_if(~_present(df, columns)).alias("skipped"))
+
+
+def zip_positions(df: DataFrame, left: str, right: str, *keep: str) -> DataFrame:
+    """``keep, pos, left, right``: one row per position (from 0) that both arrays have; the longer one is cut to the shorter. Null arrays give no rows."""
+    n = F.least(F.size(left), F.size(right))
+    both = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*keep, left, right, F.posexplode(F.slice(left, 1, n)).alias("pos", "_l"))
+    return both.select(*keep, "pos", F.col("_l").alias(left), F.element_at(right, F.col("pos") + 1).alias(right))
+
+
+def lexical_positions(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """``df`` with ``position`` (from 0) of each row in the order of its path as text, within its group: ``10_…`` comes before ``2_…``."""
+    if not by:
+        raise ValueError("name the group: a single order over the whole table would be one task")
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(path)) - 1)
+
+
 def required(df: DataFrame, *columns: str) -> DataFrame:
     """Rows with all of the columns present; empty text counts as absent."""
+    return df.where(_present(df, columns))
+
+
+def _present(df: DataFrame, columns: tuple[str, ...]) -> Column:
     types = dict(df.dtypes)
     keep = F.lit(True)
     for c in columns:
         keep = keep & (F.coalesce(F.col(c) != "", F.lit(False)) if types[c] == "string" else F.col(c).isNotNull())
-    return df.where(keep)
+    return keep
 
 
 def batch_ids(df: DataFrame, order: str, size: int, out: str = "batch_id", chunk: int = 4096) -> DataFrame:
-    """``df`` with the number (from 0) of its batch of ``size`` rows in order of the unique BIGINT column ``order``.
+    """``df`` with the number (from 0) of its batch of ``size`` rows in order of the unique BIGINT column ``order``, which may have gaps.
 
-    Rows are numbered without a single ordered partition: counts per range of ``chunk`` values give each range its
-    offset, and only those counts are ordered globally.
+    Rows are numbered without a single ordered partition: counts per range of ``chunk`` values, and per range of so
+    many ranges, give each range its offset; only the counts of the upper level are ordered globally.
     """
     ranged = df.withColumn("_r", F.floor(F.col(order) / chunk))
-    counts = ranged.groupBy("_r").agg(F.count("*").alias("_n"))
-    offsets = counts.withColumn("_o", F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).select("_r", F.coalesce("_o", F.lit(0)).alias("_o"))
+    counts = ranged.groupBy("_r").agg(F.count("*").alias("_n")).withColumn("_u", F.floor(F.col("_r") / chunk))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upper = counts.groupBy("_u").agg(F.sum("_n").alias("_n")).withColumn("_b", before(Window.orderBy("_u"))).select("_u", "_b")
+    offsets = counts.withColumn("_i", before(Window.partitionBy("_u").orderBy("_r"))).join(upper, "_u").select("_r", (F.col("_b") + F.col("_i")).alias("_o"))
     numbered = ranged.join(offsets, "_r").withColumn("_k", F.col("_o") + F.row_number().over(Window.partitionBy("_r").orderBy(order)) - 1)
     return numbered.select(*df.columns, F.floor(F.col("_k") / size).alias(out))
 

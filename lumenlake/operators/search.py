@@ -2,7 +2,7 @@
 
 A single query is an expression that ends in a top-k per partition (TakeOrderedAndProject). A set of
 queries is bounded and checked, sent to the executors in blocks, and multiplied with the corpus one
-Arrow batch at a time; each batch keeps its k best per query, so only candidates are shuffled and
+Arrow batch at a time; each task keeps its k best per query, so only candidates are shuffled and
 the corpus itself never is.
 """
 
@@ -85,6 +85,7 @@ def _nearest(asked: DataFrame, slim: DataFrame, k: int, distance: str, exclude_s
 
 def _top(slim: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, distance: str, exclude_self: bool, prefix: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # the k best of each query so far: its number, point, score
         for batch in batches:
             n = batch.num_rows
             if not n or not len(ids):
@@ -95,17 +96,23 @@ def _top(slim: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, distance: str,
             if exclude_self:
                 s[ids[:, None] == own[None, :]] = -np.inf
             m = min(k, n)
-            # the k-th best score of each query; whatever ties with it stays, so that ties are settled by id later
+            # the k-th best score of each query; whatever ties with it stays, so that ties are settled by id
             cut = np.partition(s, n - m, axis=1)[:, n - m]
             qi, ci = np.nonzero((s >= cut[:, None]) & np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[qi]), pa.array(own[ci]), pa.array(s[qi, ci])], ["query_id", "id", "s"])
+            held = tuple(np.append(x, y) for x, y in zip(held, (qi, own[ci], s[qi, ci]), strict=True))
+            order = np.lexsort((held[1], -held[2], held[0]))
+            held = tuple(x[order] for x in held)
+            rank = np.arange(len(order)) - np.searchsorted(held[0], held[0])
+            held = tuple(x[rank < k] for x in held)
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "id", "s"])
 
     return slim.mapInArrow(run, "query_id long, id long, s double")
 
 
-def search_by_stored(corpus: DataFrame, library: DataFrame, point_id, owner, k: int = 5, id_column: str = "id", vector_column: str = "vector", owner_column: str = "owner") -> DataFrame:
-    """Nearest points to a stored vector that ``owner`` may use; none if it is missing, has no vector or belongs to another."""
-    found = owned(library.where(F.col(id_column) == point_id), owner, owner_column).where(F.size(vector_column) > 0)
+def search_by_stored(corpus: DataFrame, library: DataFrame, point_id, owner, k: int = 5, id_column: str = "id", vector_column: str = "vector", owner_column: str = "owner", payload: str | None = None) -> DataFrame:
+    """Nearest points to a stored vector that ``owner`` may use; none if it is missing, has no vector or belongs to another. With ``payload`` a point whose payload is missing passes."""
+    found = owned(library.where(F.col(id_column) == point_id), owner, owner_column, payload).where(F.size(vector_column) > 0)
     return knn_join(found, corpus, k, id_column=id_column, vector_column=vector_column)
 
 
@@ -122,6 +129,12 @@ def get_points(collection: DataFrame, ids: list, id_column: str = "id") -> DataF
     return collection.where(F.col(id_column).isin(ids))
 
 
+def scroll(collection: DataFrame, after=None, limit: int = 256, id_column: str = "id") -> DataFrame:
+    """One page of a collection, with vectors and payload: the ``limit`` points after ``after`` in order of id, from the beginning without it. An empty page is the end, so a loop over pages ends."""
+    rest = collection if after is None else collection.where(F.col(id_column) > F.lit(after))
+    return rest.orderBy(id_column).limit(limit)
+
+
 def video_frames(library: DataFrame, video, owner, video_column: str = "video", owner_column: str = "owner", number: str = "frame_number", id_column: str = "id") -> DataFrame:
     """All frames of one video of one owner, in order of frame number (missing ones as 0), then id; not capped."""
     return library.where((F.col(video_column) == video) & F.col(owner_column).eqNullSafe(F.lit(owner))).orderBy(F.coalesce(number, F.lit(0)), id_column)
@@ -140,6 +153,6 @@ def best_hit_per_video(hits: DataFrame, top_k: int | None = None) -> DataFrame:
 
 
 def hits_by_video(hits: DataFrame, number: str = "id") -> DataFrame:
-    """``video_id, total_frames, best_score, frames``: hits grouped by matched video, the frames in order of number."""
+    """``video_id, total_frames, best_score, frame_results``: hits grouped by matched video, the frames in order of number with their best score; best video first. At most k results per query come in."""
     per = hits.groupBy("video_id", F.col(number).alias("frame")).agg(F.max("score").alias("score"), F.count("*").alias("n"))
-    return per.groupBy("video_id").agg(F.sum("n").alias("total_frames"), F.max("score").alias("best_score"), F.transform(F.array_sort(F.collect_list(F.struct("frame", "score"))), lambda x: x["frame"]).alias("frames")).orderBy(F.desc("best_score"), "video_id")
+    return per.groupBy("video_id").agg(F.sum("n").alias("total_frames"), F.max("score").alias("best_score"), F.array_sort(F.collect_list(F.struct("frame", "score"))).alias("frame_results")).orderBy(F.desc("best_score"), "video_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import jobs, relational
 from ..sources import collections, inputs, objects
-from ..session import table
+from ..session import shared_folder, table
 from ..streaming import loops
 from .registry import Registry
 
@@ -59,10 +59,10 @@ def video_key_scan(spark, d):
     return objects.video_keys(_keys(spark, d).select("key"))
 
 
-@R.query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@R.query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def orphan_folders(spark, d):
     c = table(spark, d, "customer").select("c_custkey")
-    return relational.orphan_folders(c, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return relational.orphan_folders(c.unionByName(c), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @R.query("SELECT DISTINCT s.id, s.user_id FROM insta_content_snapshots s WHERE NOT EXISTS (SELECT 1 FROM insta_content c WHERE c.id = s.id AND c.user_id = s.user_id)")
@@ -124,7 +124,7 @@ def top_recent(spark, d):
 @R.query("SELECT id, code FROM (SELECT DISTINCT id, code FROM insta_content WHERE is_downloaded = false) ORDER BY code, id LIMIT 50")
 def pending_codes(spark, d):
     p = table(spark, d, "insta_content").select("id", "code", "is_downloaded").distinct()
-    return p.where("is_downloaded = false").select("id", "code").distinct().orderBy("code", "id").limit(50)
+    return inputs.pending(p, "is_downloaded", ["code", "id"], 50).select("id", "code")
 
 
 @R.query("SELECT DISTINCT code FROM insta_content WHERE code IS NOT NULL")
@@ -219,9 +219,10 @@ def profile_rollup(spark, d):
     return p.select("event_type", "calls", F.round("total_sec", 4).alias("total_sec"), F.round("mean_sec", 6).alias("mean_sec"), "max_sec")
 
 
-@R.query("SELECT event_id, event_id // 100 AS batch_id FROM (SELECT event_id FROM events) WHERE true")
+@R.query("SELECT k, (row_number() OVER (ORDER BY k) - 1) // 100 AS batch_id FROM (SELECT event_id * 7 + event_id % 5 AS k FROM events)")
 def batch_ids(spark, d):
-    return relational.batch_ids(table(spark, d, "events").select("event_id"), "event_id", 100)
+    """Batches of a hundred over ids with gaps."""
+    return relational.batch_ids(table(spark, d, "events").select((F.col("event_id") * 7 + F.col("event_id") % 5).alias("k")), "k", 100, chunk=64)
 
 
 @R.query(
@@ -289,13 +290,8 @@ def retry_plan(spark, d):
 
 @R.query("SELECT event_id, event_type FROM events")
 def stream_dedup(spark, d):
-    """Streaming deduplication of events by id, run to its end into the shared folder and read back."""
-    import uuid
-
-    from ..session import shared_folder
-
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream = loops.file_stream(spark, d, schema, "events.parquet")
-    loops.run_to_parquet(loops.dedup_within(stream, "event_id", "ts", "60 days"), f"{base}/checkpoint", f"{base}/out")
-    return spark.read.parquet(f"{base}/out").select("event_id", "event_type")
+    """Streaming deduplication by id of a stream in which every event comes three times, within the watermark; run to its end in the shared folder, which is cleaned up."""
+    stream = lambda: loops.file_stream(spark, d, spark.read.parquet(f"{d}/events.parquet").schema, "events.parquet")
+    late = stream().withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    thrice = stream().unionByName(late).unionByName(stream())
+    return loops.run_in_folder(loops.dedup_within(thrice, "event_id", "ts", "60 days"), shared_folder(spark)).select("event_id", "event_type")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import history, orphans, packed, skew
 from ..session import table
 
+#: Fields with one of these signs need the tokenizer.
+_PACKED = r"""[\[\](){}"'“”‘’«»「」\\]"""
+
 COUNTERS = ["like_count", "ig_play_count", "comment_count"]
 LIST_FIELDS = ["coauthor_producers", "monitored_by"]
 
@@ -36,6 +39,12 @@ def p3_values(spark: SparkSession, d: str) -> DataFrame:
     return packed.split_packed(table(spark, d, "insta_content"), "id", LIST_FIELDS).withColumnRenamed("id", "insta_content_id")
 
 
+def p3_simple_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the fields without quotes, escapes and brackets, which SQL can split too."""
+    simple = table(spark, d, "insta_content").select("id", *(F.when(~F.col(c).rlike(_PACKED), F.col(c)).alias(c) for c in LIST_FIELDS))
+    return packed.split_packed(simple, "id", LIST_FIELDS).withColumnRenamed("id", "insta_content_id")
+
+
 def _refreshes(spark: SparkSession, d: str) -> DataFrame:
     posts = table(spark, d, "insta_content").select(F.col("id").alias("entity"), F.col("last_refreshed_at").alias("at"), F.col("updated_at").alias("stored_at"), *COUNTERS)
     snaps = table(spark, d, "insta_content_snapshots").select(F.col("id").alias("entity"), F.col("last_refreshed_at").alias("at"), F.col("recorded_at").alias("stored_at"), *COUNTERS)
@@ -89,7 +98,7 @@ def p7_account_names(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_report, p3_found, p3_values, p4_found, p4_history, p7_found, p7_account_totals, p7_username_totals, p7_account_names)
+    for f in (p1_found, p1_report, p3_found, p3_values, p3_simple_values, p4_found, p4_history, p7_found, p7_account_totals, p7_username_totals, p7_account_names)
 }
 
 _KEY = r"""CASE WHEN k = '' THEN NULL ELSE k END FROM (SELECT *, regexp_replace(translate(lower({0}), '{{}}()[]<>"- ' || chr(39) || chr(9) || chr(10) || chr(13), ''), '^(urn:)?(uuid:)', '') AS k"""
@@ -125,6 +134,12 @@ _NAME = "nullif(regexp_replace(lower(trim(username)), '^@+', ''), '')"
 ORACLE = {
     "p1_found": _ORPHANS + "SELECT DISTINCT table_name, row_id FROM orphan WHERE reason IS NOT NULL",
     "p1_report": _ORPHANS + "SELECT table_name, coalesce(strftime(t AT TIME ZONE 'UTC', '%Y-%m'), 'unknown') AS month, reason, count(*) AS n_orphans FROM orphan WHERE reason IS NOT NULL GROUP BY ALL",
+    "p3_simple_values": """SELECT DISTINCT insta_content_id, field, CAST(row_number() OVER (PARTITION BY rid, field ORDER BY p) AS INT) AS pos, v AS val FROM (
+  SELECT rid, insta_content_id, field, p, trim(parts[p], ' ' || chr(160) || chr(12288)) AS v FROM (
+    SELECT rid, insta_content_id, field, parts, unnest(range(1, len(parts) + 1)) AS p FROM (
+      SELECT rid, id AS insta_content_id, field, string_split_regex(packed, '[,;|/\\t\\n\\r،؛、，；｜／]') AS parts
+      FROM (SELECT row_number() OVER () AS rid, id, unnest(['coauthor_producers', 'monitored_by']) AS field, unnest([coauthor_producers, monitored_by]) AS packed FROM insta_content)
+      WHERE packed IS NOT NULL AND NOT regexp_matches(packed, '[][(){}"''“”‘’«»「」\\\\]')))) WHERE v <> ''""",
     "p4_found": _REFRESHES + "SELECT id AS insta_content_id, epoch_us(t) AS valid_from_us FROM marked WHERE starts = 1",
     "p4_history": _REFRESHES
     + """, islands AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY t) AS version FROM marked),

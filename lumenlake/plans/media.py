@@ -19,13 +19,13 @@ def dedup_first_text(spark, d):
     return frames.dedup_first(docs, "lang", F.md5("text"), "doc_id").select("doc_id", "lang")
 
 
-_D2 = "list_sum(list_transform(range(0, 4), lambda i: CASE WHEN embedding[(i // 2) * 3 + (i % 2) + 2] > embedding[(i // 2) * 3 + (i % 2) + 1] THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT"
+_D7 = "list_sum(list_transform(range(0, 49), lambda i: CASE WHEN embedding[(i // 7) * 8 + (i % 7) + 2] > embedding[(i // 7) * 8 + (i % 7) + 1] THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT"
 
 
-@R.query(f"SELECT id, label FROM (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label, {_D2} ORDER BY vec_id) AS rn FROM embeddings) WHERE rn = 1")
+@R.query(f"SELECT id, label FROM (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label, {_D7} ORDER BY vec_id) AS rn FROM embeddings) WHERE rn = 1")
 def dedup_first_dhash(spark, d):
     p = points(spark, d)
-    return frames.dedup_first(p, "label", hashing.dhash(F.col("vector"), 2), "id").select("id", "label")
+    return frames.dedup_first(p, "label", hashing.dhash(F.col("vector"), 7), "id").select("id", "label")
 
 
 @R.query("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS idx FROM lineitem WHERE l_quantity > 10")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text
+from ..functions import hashing, text, vector
 from ..operators import jobs, migrate
 from ..sources import frames, inputs, objects
 from ..session import table
@@ -32,8 +32,12 @@ def uuid5_ids(spark, d):
 SELECT platform, video_code, CAST(frame_number AS BIGINT) AS frame_number, frame_second, platform || '/' || video_code || '/f.png' AS path, {_uuid_sql(hashing.NAMESPACE['dns'], "platform || ':' || video_code || ':' || frame_number || ':' || CAST(frame_second AS VARCHAR)")} AS id FROM p WHERE frame_number IS NOT NULL"""
 )
 def migrate_payload(spark, d):
-    ev = _events(spark, d)
-    old = ev.select(
+    return migrate.migrate_payload(old_points(spark, d), F.lit("2024-01-01T00:00:00+00:00")).drop("created_at")
+
+
+def old_points(spark, d):
+    """Points of generation 1, one per event."""
+    return _events(spark, d).select(
         F.when(F.col("event_id") % 5 != 0, F.col("event_type")).otherwise("").alias("platform"),
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), "user_id", F.lit(".mp4"))).alias("video"),
         F.concat(F.lit("u"), F.col("user_id")).alias("video_code"),
@@ -43,7 +47,6 @@ def migrate_payload(spark, d):
         (F.col("value") + 0.5).alias("frame_second"),
         F.concat(F.lit("//u"), "user_id", F.lit("/f.png")).alias("path"),
     )
-    return migrate.migrate_payload(old, F.lit("2024-01-01T00:00:00+00:00")).drop("created_at")
 
 
 @R.query(
@@ -85,13 +88,22 @@ def normalise_url(spark, d):
     return _events(spark, d).select("event_id", text.normalised_url(F.concat(F.lit("/a//"), e, F.lit("///x")), True).alias("url"), text.normalised_url(F.concat(F.lit("https://h//"), e, F.lit("/y"))).alias("full_url"))
 
 
-@R.query("SELECT id, 'u' AS cut, 'u.' || code AS kept, 'instagram/' || code || '/f.png' AS path, replace('user.' || code, '.', '-') AS job, CASE WHEN lower(right(video_url, 3)) = 'mp4' THEN 'mp4' ELSE 'mp4' END AS ext FROM insta_content")
+_EXT = "CASE event_id % 5 WHEN 0 THEN 'MOV' WHEN 1 THEN 'mp4' WHEN 2 THEN 'txt' WHEN 3 THEN 'webm' ELSE 'v' || event_id END"
+
+
+@R.query(
+    f"""SELECT event_id, 'u' || user_id || CASE WHEN event_id % 2 = 0 THEN '.x' ELSE '' END AS cut, 'u' || user_id || CASE WHEN event_id % 2 = 0 THEN '.x' ELSE '' END || CASE WHEN event_id % 5 IN (0, 1, 3) THEN '' ELSE '.' || {_EXT} END AS kept,
+  CASE WHEN event_id % 3 = 0 THEN 'tiktok/' || event_id ELSE 'tiktok/a/' || event_id END AS path, 'u' || user_id || CASE WHEN event_id % 2 = 0 THEN '-x' ELSE '' END || '-' || {_EXT} AS job,
+  CASE event_id % 5 WHEN 0 THEN 'mov' WHEN 3 THEN 'webm' ELSE 'mp4' END AS ext FROM events"""
+)
 def name_functions(spark, d):
-    name = F.concat(F.lit("u."), F.regexp_replace("code", r"\.", "-"))
-    return table(spark, d, "insta_content").select(
-        "id", text.strip_extension(name).alias("cut"), text.strip_extension(F.concat(F.lit("u."), "code", F.lit(".mp4")), known_only=True).alias("kept"),
-        text.prefixed(F.concat(F.lit("//"), "code", F.lit("/f.png")), F.lit("instagram")).alias("path"), text.job_name(F.concat(F.lit("user."), "code")).alias("job"), F.coalesce(text.extension(F.col("video_url")), F.lit("mp4")).alias("ext"),
-    )
+    e = F.col("event_id")
+    ext = F.when(e % 5 == 0, "MOV").when(e % 5 == 1, "mp4").when(e % 5 == 2, "txt").when(e % 5 == 3, "webm").otherwise(F.concat(F.lit("v"), e))
+    name = F.concat(F.lit("u"), "user_id", F.when(e % 2 == 0, ".x").otherwise(""), F.lit("."), ext)
+    path = F.when(e % 3 == 0, F.concat(F.lit("tiktok/"), e)).otherwise(F.concat(F.lit("//a/"), e))
+    return _events(spark, d).select(
+        "event_id", text.strip_extension(name).alias("cut"), text.strip_extension(name, known_only=True).alias("kept"), text.prefixed(path, F.lit("tiktok")).alias("path"), text.job_name(name).alias("job"), text.extension(name).alias("ext")
+    )
 
 
 @R.query(
@@ -160,11 +172,12 @@ def queue_items(spark, d):
     return inputs.queue_items(_events(spark, d).select(body.alias("body")))
 
 
-@R.query("SELECT user_id, 'instagram' AS platform, 'C' || user_id AS code FROM (SELECT DISTINCT user_id FROM events)")
+@R.query("SELECT DISTINCT 'instagram' AS platform, 'C' || user_id AS code FROM events")
 def job_input_round_trip(spark, d):
-    codes = _events(spark, d).select("user_id").distinct().withColumn("code", F.concat(F.lit("C"), "user_id"))
-    packed = codes.groupBy("user_id").agg(F.to_json(F.collect_list(F.struct(F.lit("instagram").alias("platform"), "code"))).alias("body"))
-    return packed.select("user_id", F.inline(F.from_json("body", "array<struct<platform:string,code:string>>")))
+    """Codes as job inputs, written as JSON arrays of many items and read back; a body that is no JSON gives nothing."""
+    items = inputs.job_input(_events(spark, d).select(F.concat(F.lit("C"), "user_id").alias("code")).distinct(), "code")
+    bodies = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(64)).alias("batch")).agg(F.to_json(F.collect_list("item")).alias("body")).select("body")
+    return inputs.job_items(bodies.unionByName(spark.createDataFrame([("no json",), (None,)], "body string")), "body")
 
 
 @R.query("SELECT event_id, event_id % 3 > 0 AS valid, event_id % 2 = 1 AS has_prompt FROM events")
@@ -180,12 +193,13 @@ def frame_explode(spark, d):
     return frames.explode_frames(li, "video", "total", "every").select("video.l_orderkey", "video.l_linenumber", "frame_no")
 
 
-@R.query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE 16 END AS dim FROM documents")
+@R.query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE 16 END AS dim, CASE WHEN text IS NULL THEN NULL ELSE 1.0::DOUBLE END AS norm, count(*) OVER (PARTITION BY text) AS n_equal FROM documents")
 def encode_text_stub(spark, d):
-    """Vectors of all captions by the deterministic stand-in encoder; dimension and norm only."""
+    """Vectors of all texts by the deterministic stand-in encoder: dimension, norm, and that equal texts, and no others, share a vector."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     out = frames.encode(docs, "text", lambda: frames.hash_encoder(16))
-    return out.select("doc_id", F.size("vector").alias("dim"))
+    same = out.groupBy(F.col("vector").alias("v")).agg(F.count("*").alias("n_equal"))
+    return out.join(same, F.col("vector").eqNullSafe(F.col("v"))).select("doc_id", F.size("v").alias("dim"), F.round(vector.norm(F.col("v")), 4).alias("norm"), "n_equal")
 
 
 @R.query("SELECT id, TRY_CAST(duration AS DOUBLE) AS seconds FROM insta_content")
@@ -193,18 +207,24 @@ def duration_numbers(spark, d):
     return table(spark, d, "insta_content").select("id", F.col("duration").try_cast("double").alias("seconds"))
 
 
-@R.query("SELECT event_id, 'instagram/c' || user_id || '/' || event_id || '_' || (event_id % 90) || '.50.png' AS path, CAST(event_id AS INT) AS frame_number, CAST((event_id % 90) + 0.5 AS DOUBLE) AS frame_second, 'c' || user_id || '_' || event_id AS natural_key FROM events")
+_KEY = "'c' || user_id || '_' || event_id || '_' || CAST(CAST((event_id % 90) + 0.5 AS DOUBLE) AS VARCHAR)"
+
+
+@R.query(
+    f"SELECT event_id, 'instagram/c' || user_id || '/' || event_id || '_' || (event_id % 90) || '.50.png' AS path, CAST(event_id AS INT) AS frame_number, CAST((event_id % 90) + 0.5 AS DOUBLE) AS frame_second, 'c' || user_id || '_' || event_id AS natural_key, {_uuid_sql(hashing.NAMESPACE['url'], _KEY)} AS uuid FROM events"
+)
 def frame_points(spark, d):
-    """Points of frames by name: payload with deterministic ids; the ids themselves are tested against another implementation."""
+    """Points of frames by name: payload with deterministic ids."""
     names = _events(spark, d).select("event_id", F.concat(F.lit("c"), "user_id").alias("code"), F.concat("event_id", F.lit("_"), F.col("event_id") % 90, F.lit(".50.png")).alias("name"), F.lit(0).alias("position"))
     points = migrate.frame_points(names, F.lit("2024-01-01T00:00:00+00:00"))
-    return points.select(F.col("frame_number").cast("long").alias("event_id"), "path", "frame_number", "frame_second", "natural_key")
+    return points.select(F.col("frame_number").cast("long").alias("event_id"), "path", "frame_number", "frame_second", "natural_key", "uuid")
 
 
-@R.query("SELECT CAST(vec_id AS VARCHAR) AS id, round(embedding[1]::DOUBLE, 6) AS score, 0 AS n_payload FROM embeddings")
+@R.query("SELECT CAST(vec_id AS VARCHAR) AS id, round(embedding[1]::DOUBLE, 6) AS score, CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END AS n_payload, CASE WHEN label % 2 = 0 THEN CAST(label AS VARCHAR) END AS video FROM embeddings")
 def search_results(spark, d):
-    hits = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("score"), F.lit(None).cast("map<string,string>").alias("payload"))
-    return migrate.search_results(hits).select("id", "score", F.size("payload").alias("n_payload"))
+    payload = F.when(F.col("label") % 2 == 0, F.create_map(F.lit("video"), F.col("label").cast("string")))
+    hits = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("score"), payload.alias("payload"))
+    return migrate.search_results(hits).select("id", "score", F.size("payload").alias("n_payload"), F.try_element_at("payload", F.lit("video")).alias("video"))
 
 
 @R.query("SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 5 END AS x, CASE WHEN user_id % 2 = 0 THEN 100 ELSE 60 END AS w, user_id % 2 = 1 AS cropped FROM events")

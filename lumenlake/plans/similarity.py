@@ -103,14 +103,17 @@ def knn_single_euclid(spark, d):
 
 
 @R.query(
-    """SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score,
+    """SELECT 'own' AS asked_by, query_id, id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score,
   row_number() OVER (ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank
   FROM embeddings q, embeddings e WHERE q.vec_id = 7 AND q.label = (SELECT label FROM embeddings WHERE vec_id = 7)) WHERE rank <= 10"""
 )
 def search_by_stored_owner(spark, d):
+    """Searches by a stored point of its owner, of another user, and by a point that does not exist: only the first finds anything."""
     p = points(spark, d)
     owner = p.where("id = 7").agg(F.max("label")).first()[0]
-    return _rounded(search.search_by_stored(p, p, 7, owner, 10, owner_column="label"))
+    asked = (("own", 7, owner), ("foreign", 7, owner + 1), ("missing", -1, owner))
+    found = [search.search_by_stored(p, p, point, who, 10, owner_column="label").select(F.lit(name).alias("asked_by"), "*") for name, point, who in asked]
+    return _rounded(found[0].unionByName(found[1]).unionByName(found[2]))
 
 
 def _video_hits(spark, d):
@@ -136,7 +139,7 @@ def best_hit_per_video(spark, d):
 @R.query(f"WITH {_HITS} SELECT video_id, count(*) AS total_frames, round(max(score), 6) AS best_score, array_to_string(list_sort(list_distinct(list(id))), ',') AS frames FROM hits GROUP BY video_id")
 def search_by_video_grouped(spark, d):
     g = search.hits_by_video(_video_hits(spark, d))
-    return g.select("video_id", "total_frames", F.round("best_score", 6).alias("best_score"), F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"))
+    return g.select("video_id", "total_frames", F.round("best_score", 6).alias("best_score"), F.array_join(F.col("frame_results.frame").cast("array<string>"), ",").alias("frames"))
 
 
 @R.query("SELECT vec_id AS id, label FROM embeddings WHERE label = 3")
@@ -169,12 +172,12 @@ def dhash_bits(spark, d):
     return points(spark, d).select("id", hashing.dhash(F.col("vector"), 7).alias("dhash"))
 
 
-_AVG = "list_sum(list_transform(range(0, 16), lambda i: CASE WHEN embedding[i + 1]::DOUBLE > list_sum(list_transform(embedding[1:16], lambda y: y::DOUBLE)) / 16 THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT"
+_AVG = "list_sum(list_transform(range(0, 62), lambda i: CASE WHEN embedding[i + 1]::DOUBLE > list_sum(list_transform(embedding[1:62], lambda y: y::DOUBLE)) / 62 THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT"
 
 
 @R.query(f"SELECT vec_id AS id, {_AVG} AS average_hash, bit_count(xor({_AVG}, 21845::BIGINT))::INT AS distance FROM embeddings")
 def average_hash(spark, d):
-    h = points(spark, d).select("id", hashing.average_hash(F.col("vector"), 16).alias("average_hash"))
+    h = points(spark, d).select("id", hashing.average_hash(F.col("vector"), 62).alias("average_hash"))
     return h.select("id", "average_hash", hashing.hamming(F.col("average_hash"), F.lit(21845).cast("long")).alias("distance"))
 
 

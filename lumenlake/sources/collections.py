@@ -52,15 +52,27 @@ def checked(points: DataFrame, dim: int) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, points: DataFrame, version: str = "created_at") -> None:
-    """Keeps the last version of every id; written beside the old data and swapped, as a dataset cannot be overwritten while it is read."""
+    """Keeps the last version of every id; written beside the old data and swapped, as a dataset cannot be overwritten while it is read.
+
+    The old data is renamed aside before the new takes its place, and deleted last: after a crash at any point the
+    next call finds one of them whole. Run one upsert of a collection at a time.
+    """
+    fs, p = _fs(spark, path)
+    old = f"{path.rstrip('/')}__old"
+    if fs.exists(p(old)):  # a run ended between the renames
+        if fs.exists(p(path)):
+            fs.delete(p(old), True)
+        else:
+            fs.rename(p(old), p(path))
     exists = _exists(spark, path)
     merged = upsert_latest(spark.read.parquet(path), points, "id", version) if exists else upsert_latest(points, points.limit(0), "id", version)
     staged = f"{path.rstrip('/')}__staged"
     merged.write.mode("overwrite").parquet(staged)
-    fs, p = _fs(spark, path)
     if exists:
-        fs.delete(p(path), True)
-    fs.rename(p(staged), p(path))
+        _rename(fs, p(path), p(old))
+    _rename(fs, p(staged), p(path))
+    if exists:
+        fs.delete(p(old), True)
 
 
 def truncate(spark: SparkSession, path: str) -> None:
@@ -83,11 +95,31 @@ def write_job_input(items: DataFrame, path: str) -> None:
     items.select("platform", "code").write.mode("overwrite").json(path)
 
 
+def write_log(lines: DataFrame, path: str) -> None:
+    """JSON lines of ``time, level, module, msg``, see :func:`log_lines`."""
+    log_lines(lines).write.mode("overwrite").text(path)
+
+
+def log_lines(lines: DataFrame) -> DataFrame:
+    """``value``: one JSON object per row of ``ts, level, module, msg``; the time in seconds, missing fields left out."""
+    return lines.select(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "level", "module", "msg")).alias("value"))
+
+
+def write_performance(calls: DataFrame, path: str) -> None:
+    """JSON lines of a profiler's rows."""
+    calls.write.mode("overwrite").json(path)
+
+
 def delete_keys(keys: DataFrame, gone: DataFrame, *on: str) -> DataFrame:
     """Keys that remain when those in ``gone`` are deleted."""
     return keys.join(gone.select(*on).distinct(), list(on), "left_anti")
 
 
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source.toString()} could not be renamed to {target.toString()}")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path

@@ -128,6 +128,25 @@ def colour_moments(pixels: np.ndarray) -> np.ndarray:
     return np.concatenate([mean, np.sqrt((centred**2).mean(axis=0)), np.cbrt((centred**3).mean(axis=0))])
 
 
+def ssim(a: np.ndarray, b: np.ndarray) -> float:
+    """Structural similarity of two grey images: the mean over sliding windows of 11 x 11 pixels with Gaussian weights (sigma 1.5), edges mirrored."""
+    from ..operators.quality import C1, C2
+
+    weights = np.exp(-((np.arange(11) - 5) ** 2) / (2 * 1.5**2))
+    weights /= weights.sum()
+
+    def blur(x: np.ndarray) -> np.ndarray:
+        for axis in (0, 1):
+            padded = np.pad(x, [(5, 5) if i == axis else (0, 0) for i in (0, 1)], mode="reflect")
+            x = np.apply_along_axis(lambda line: np.convolve(line, weights, mode="valid"), axis, padded)
+        return x
+
+    a, b = a.astype(float), b.astype(float)
+    ma, mb = blur(a), blur(b)
+    va, vb, cov = blur(a * a) - ma * ma, blur(b * b) - mb * mb, blur(a * b) - ma * mb
+    return float((((2 * ma * mb + C1) * (2 * cov + C2)) / ((ma * ma + mb * mb + C1) * (va + vb + C2))).mean())
+
+
 def phash(grid: np.ndarray) -> int:
     """Perceptual hash of a 32 x 32 grey grid: signs of the 8 x 8 low frequencies against their mean without the first."""
     k, n = np.arange(32)[:, None], np.arange(32)[None, :]

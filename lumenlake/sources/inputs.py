@@ -36,7 +36,7 @@ def read_jdbc(spark: SparkSession, url: str, dbtable: str, key: str | None = Non
     return reader.load()
 
 
-def pending(df: DataFrame, flag: str, order: str, n: int) -> DataFrame:
+def pending(df: DataFrame, flag: str, order: str | list[str], n: int) -> DataFrame:
     """The first ``n`` rows whose flag is false; null flags are not false."""
     return df.where(F.col(flag) == F.lit(False)).orderBy(order).limit(n)
 

@@ -47,3 +47,13 @@ def with_suffix(keys: DataFrame, *suffixes: str, key: str = "key") -> DataFrame:
     for s in suffixes:
         hit = hit | F.endswith(F.lower(F.col(key)), F.lit(s.lower()))
     return keys.where(hit)
+
+
+def frame_files(spark: SparkSession, root: str) -> DataFrame:
+    """``code, name, position, content`` of the files ``<platform>/<code>/frames/<name>.png`` (or without ``frames``) below ``root``; the position follows the name as text."""
+    from ..operators.relational import lexical_positions
+
+    files = contents(spark, root, "*.png").withColumn("_p", F.split("path", "/"))
+    folder = F.when(F.element_at("_p", -2) == "frames", F.element_at("_p", -3)).otherwise(F.element_at("_p", -2))
+    named = files.select(folder.alias("code"), F.element_at("_p", -1).alias("name"), "content")
+    return lexical_positions(named, "name", "code")

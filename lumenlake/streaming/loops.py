@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.jobs import TERMINAL
+from ..session import cut_lineage
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -29,6 +31,18 @@ def run_to_parquet(stream: DataFrame, checkpoint: str, out: str, mode: str = "ap
     query.awaitTermination()
 
 
+def run_in_folder(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives until its end, as a table: run in a new folder below ``folder``, which is removed; the result is checkpointed."""
+    spark = stream.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    base = path.toString()
+    try:
+        run_to_parquet(stream, f"{base}/checkpoint", f"{base}/out")
+        return cut_lineage(spark.read.parquet(f"{base}/out"))
+    finally:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dedup_within(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """The first row of every key within the watermark; state older than ``delay`` is dropped."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
@@ -67,6 +81,10 @@ def job_states(stream: DataFrame, job: str, ts: str, status: str) -> DataFrame:
     return stream.groupBy(job).applyInPandasWithState(step, f"{job} {kind}, status string, n_events long", "status string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+# What Spark says of a missing and of a corrupt dataset.
+_ABSENT = ("PATH_NOT_FOUND", "does not exist", "is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE.CANNOT_READ")
+
+
 class Checkpoint:
     """Show, set and reset the one-row checkpoint table of a batch loop; ids are text."""
 
@@ -74,11 +92,13 @@ class Checkpoint:
         self.spark, self.path = spark, path
 
     def show(self) -> str | None:
-        """The last processed id; None for a missing or unreadable checkpoint."""
+        """The last processed id; None for a missing or corrupt checkpoint. A store that fails is an error, as a loop must not begin anew because of it."""
         try:
             row = self.spark.read.schema("id string, updated_at timestamp").parquet(self.path).orderBy(F.desc("updated_at")).first()
-        except Exception:
-            return None
+        except Exception as e:
+            if any(sign in str(e) for sign in _ABSENT):
+                return None
+            raise
         return row.id if row else None
 
     def set(self, last_id: str) -> None:

@@ -136,8 +136,8 @@ def test_job_states_and_progress(spark):
     ev = spark.createDataFrame([("j", T0, "PENDING"), ("j", T0 + timedelta(1), "COMPLETED"), ("k", T0, "RUNNING")], "job string, ts timestamp, status string")
     got = {r.job: (r.status, r.terminal) for r in jobs.latest_state(ev, "job", "ts", "status").collect()}
     assert got == {"j": ("COMPLETED", True), "k": ("RUNNING", False)}
-    lines = spark.createDataFrame(list(enumerate(['{"item_done": 1}', "noise", 'x {"item_done": 2}', "{bad}", '{"item_done": 3} y', "", "z"])), "no int, line string")
-    assert [(r.done, r.percent) for r in jobs.progress_deltas(lines, "no", "line", F.lit(3)).orderBy("no").collect()] == [(1, 33), (2, 33), (3, 33)]
+    lines = spark.createDataFrame(list(enumerate(['{"item_done": 1}', "noise", 'x {"item_done": 2}', "{bad}", '{"item_done": 3} y', "", "z"])), "no int, line string").withColumn("job", F.lit("j"))
+    assert [(r.done, r.percent) for r in jobs.progress_deltas(lines, "no", "line", F.lit(3), "job").orderBy("no").collect()] == [(1, 33), (2, 33), (3, 33)]
     marks = spark.range(12).withColumn("g", F.lit(1))
     assert [r.completed for r in jobs.progress_marks(marks, "id", "g").orderBy("id").collect()] == [2, 4, 6, 8, 10, 12]
     assert jobs.progress_marks(marks.limit(5), "id", "g").count() == 0

@@ -83,7 +83,7 @@ def test_video_hits(spark, corpus):
     named = search.hits_with_video(hits, corpus, F.when(F.col("id") != 9, F.col("video")))
     best = {r.video_id: r.score for r in search.best_hit_per_video(named).collect()}
     assert best == {"v0": 0.0, "v1": 0.75, "unknown": 0.1}  # clamped at 0.0
-    grouped = [(r.video_id, r.total_frames, r.frames) for r in search.hits_by_video(named).collect()]
+    grouped = [(r.video_id, r.total_frames, [f.frame for f in r.frame_results]) for r in search.hits_by_video(named).collect()]
     assert grouped == [("v1", 2, [5]), ("unknown", 1, [9]), ("v0", 1, [4])]
 
 
