@@ -100,6 +100,7 @@ _LINK = frozenset(
 )
 
 _WORD = re.compile(r"[^\W\d_ぁ-ゖァ-ヶー一-龯]+(?:['’-][^\W\d_ぁ-ゖァ-ヶー一-龯]+)*|[ぁ-ゖァ-ヶー一-龯]+")
+_TAG = re.compile(r"#\w+")
 _BLANK = re.compile(r"[^\S\n]{1,2}\Z")
 _MIDDLE = re.compile(r"[^\S\n]{1,2}[^\W\d_]\.[^\S\n]?\Z")
 _PARTICLES = re.compile(r"[^\S\n](?:(?:de|da|do|dos|das|di|del|della|van|von|der|den|du|le|la|al|el|bin|ben)[^\S\n]){1,3}\Z", re.I)
@@ -134,7 +135,7 @@ def learn(texts: DataFrame, text: str) -> Lexicon:
     Every task counts, over the texts that use both cases, words written small, words with a capital inside a
     sentence, at its start and behind a German article or number word, and pairs of capitalised words. Ordinary are words
     mostly written small or only capital where a sentence starts, and nouns, which German articles precede; a given
-    name stands before at least PARTNERS different words that are not ordinary. What reaches the driver is bounded
+    name stands before at least PARTNERS different words that are not ordinary, and more often first than second in a pair. What reaches the driver is bounded
     by ORDINARY and GIVEN.
     """
     kinds = ("small", "inside", "first", "counted")
@@ -146,7 +147,7 @@ def learn(texts: DataFrame, text: str) -> Lexicon:
             words = list(set().union(*(seen[k] for k in kinds)))
             pairs = seen["pairs"]
             columns = [pa.array([*words, *(a for a, _ in pairs)], pa.string()), pa.array([*[None] * len(words), *(b for _, b in pairs)], pa.string())]
-            columns += [pa.array([*(seen[k][w] for w in words), *[0] * len(pairs)], pa.int64()) for k in kinds]
+            columns += [pa.array([*(seen[k][w] for w in words), *(pairs.values() if k == "inside" else [0] * len(pairs))], pa.int64()) for k in kinds]
             for c in seen.values():
                 c.clear()
             return pa.RecordBatch.from_arrays(columns, ["word", "partner", *kinds])
@@ -154,12 +155,8 @@ def learn(texts: DataFrame, text: str) -> Lexicon:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and not t.islower() and not t.isupper():
-                    b = bare(t)
-                    seen["small"].update(_SMALL.findall(b))
-                    seen["inside"].update(w.lower() for w in _INSIDE.findall(b))
-                    seen["first"].update(w.lower() for w in _FIRST.findall(b))
-                    seen["counted"].update(w.lower() for w in _COUNTED.findall(b))
-                    seen["pairs"].update((x.lower(), y.lower()) for x, y in _PAIR.findall(b))
+                    for k, words in zip((*kinds, "pairs"), _evidence(bare(t)), strict=True):
+                        seen[k].update(words)
             if sum(map(len, seen.values())) > 500_000:
                 yield flush()
         yield flush()
@@ -171,17 +168,50 @@ def learn(texts: DataFrame, text: str) -> Lexicon:
     words = counted.where(F.col("partner").isNull() & is_ordinary).select("word", (small + inside + first).alias("n"))
     ordinary = {r.word for r in words.orderBy(F.desc("n"), "word").limit(ORDINARY).collect()}
     proper = words.select(F.col("word").alias("partner"))
-    per = counted.where("partner IS NOT NULL").join(proper, "partner", "left_anti").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= PARTNERS)
+    both = counted.where("partner IS NOT NULL")
+    as_first = both.join(proper, "partner", "left_anti").groupBy("word").agg(F.count("*").alias("n"), F.sum("inside").alias("as_first")).where(F.col("n") >= PARTNERS)
+    as_second = both.groupBy(F.col("partner").alias("word")).agg(F.sum("inside").alias("as_second"))
+    per = as_first.join(as_second, "word", "left").where(F.col("as_first") >= F.coalesce("as_second", F.lit(0)))
     given = {r.word for r in per.orderBy(F.desc("n"), "word").limit(GIVEN).collect()}
     return Lexicon(USUAL.given | (given - ordinary - STOP - FIRM), frozenset(ordinary - USUAL.given), bool(ordinary))
 
 
-_CAPITAL = r"(?:[A-Z][a-z]+|[А-ЯЁ][а-яё]+)(?![\w'’-])"
-_SMALL = re.compile(r"(?<![\w@＠#./'’+:-])(?:[a-z]{2,}|[а-яё]{2,})(?![\w@＠'’+-]|\.\w|\s?[@＠(\[{<])")
-_INSIDE = re.compile(rf"(?<=[^\W\d_][ ,;]){_CAPITAL}|(?<=[,;] ){_CAPITAL}")
-_FIRST = re.compile(rf"(?:\A|(?<=[a-zа-яё\d).][.!?…] )|(?<=[\n\"“«] )|(?<=[\n\"“«])){_CAPITAL}")
-_COUNTED = re.compile(rf"(?:(?<=\bder )|(?<=\bdie )|(?<=\bdas )|(?<=\bden )|(?<=\bdem )|(?<=\bein )|(?<=\beine )|(?<=\beinen )|(?<=\beinem )|(?<=\bdrei )|(?<=\bzwei )|(?<=\bkein )|(?<=\bkeine )){_CAPITAL}")
-_PAIR = re.compile(rf"(?<=[^\s.!?…。] )({_CAPITAL}) (?=((?:[A-Z][a-z]+|[А-ЯЁ][а-яё]+)(?:-[A-ZА-ЯЁ]?[a-zа-яё]+)*)[^\w'’-])")
+_CAPITAL = re.compile(r"[A-Z][a-z]+|[А-ЯЁ][а-яё]+")
+_AROUND = "\"'“”«»()[]{}<>*~"
+_STOPS = ".,;:!?…"
+_ARTICLES = frozenset("der die das den dem ein eine einen einem einer kein keine drei zwei".split())
+
+
+def _evidence(text: str) -> tuple[list, list, list, list, list]:
+    """Of one text: words written small, capital inside a sentence, at the start of one, capital behind a German article, and pairs of capital words inside a sentence."""
+    small: list[str] = []
+    inside: list[str] = []
+    first: list[str] = []
+    counted: list[str] = []
+    pairs: list[tuple[str, str]] = []
+    begins, before, held = True, "", ""  # a sentence begins; the word before in small letters; the capital word just before, if nothing parts them
+    parts = text.split()
+    last = len(parts) - 1
+    for i, part in enumerate(parts):
+        word = part.strip(_AROUND + _STOPS)
+        if word.islower():
+            if word.isalpha() and not (i < last and parts[i + 1][0] in "@＠([{<"):
+                small.append(word)
+            before, held = word, ""
+        elif _CAPITAL.fullmatch(word):
+            low = word.lower()
+            (first if begins else inside).append(low)
+            if before in _ARTICLES:
+                counted.append(low)
+            if held and i < last:  # at the end of a text a word may be cut off
+                pairs.append((held, low))
+            before, held = low, "" if begins or part[-1] in _STOPS else low
+        else:
+            if held and i < last and (m := _CAPITAL.match(word)) and word[m.end() :][:1] == "-":  # a surname of two parts
+                pairs.append((held, word.lower()))
+            before, held = word, ""
+        begins = part[-1] in ".!?…。" and not (len(part) == 2 and part[0].isupper())
+    return small, inside, first, counted, pairs
 
 
 def _case(word: str) -> str:
@@ -362,14 +392,15 @@ _HAS_CJK = re.compile("[一-龯]")
 _SIGN_CHARS = re.compile("[📷📸🎥📹🎬👤✍🎤🎧©–—]")
 
 
-def names(text: str, lexicon: Lexicon = USUAL, introduced: list[int] | tuple = (), deeds: list[int] | tuple = ()) -> Iterator[tuple[int, int]]:
-    """Spans of the names in a text without accents (:func:`bare`); overlapping ones may come. ``introduced``: where introducing phrases end; ``deeds``: where phrases of deeds begin."""
-    small = text.lower()
-    low, known = _WORD.findall(small), lexicon.known
+def names(text: str, lexicon: Lexicon = USUAL, introduced: list[int] | tuple = (), deeds: list[int] | tuple = (), small: str | None = None) -> Iterator[tuple[int, int]]:
+    """Spans of the names in a text without accents (:func:`bare`); overlapping ones may come. ``introduced``: where introducing phrases end; ``deeds``: where phrases of deeds begin; ``small``: the text in small letters, if known."""
+    small = text.lower() if small is None else small
+    low, known = _WORD.findall(_TAG.sub(" ", small) if "#" in small else small), lexicon.known
 
     def strange(m: re.Match | None) -> bool:
         return m is not None and not any(w in known for w in re.split(r"[\s.,]+", m[1].lower()) if len(w) > 1)
 
+    deeds = [at for at in deeds if (w := small[max(0, at - 40) : at].split()) and w[-1] not in known]
     introduced = [at for at in introduced if strange(_AFTER_INTRO.match(text, at))]
     initials = any(len(w) == 1 and f"{w}." in small for w in set(low))
     signs = bool(_SIGN_CHARS.search(text)) and any(map(strange, _AFTER_SIGN.finditer(text)))
@@ -385,7 +416,7 @@ def names(text: str, lexicon: Lexicon = USUAL, introduced: list[int] | tuple = (
 
 def _adjacent(low: list[str], known: frozenset[str]) -> bool:
     """Two unknown words in a row."""
-    strange = [w not in known for w in low]
+    strange = [w not in known and len(w) > 2 and w < "\u3040" for w in low]  # Japanese has its own patterns
     return any(map(operator.and_, strange, strange[1:]))
 
 

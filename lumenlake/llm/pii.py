@@ -176,6 +176,7 @@ def normal_form(source: str) -> Tape:
     return Tape(one_script(tape.text), tape.start, tape.end)
 
 
+_ALIKE = re.compile(f"[{''.join(map(chr, _PROTOTYPES))}]")
 _LATIN = re.compile(r"[A-Za-z]")
 _MIXED = re.compile(r"[A-Za-zÀ-ɏͰ-ӿ]+")
 _FOREIGN = re.compile("[Ͱ-ӿ]")
@@ -202,7 +203,7 @@ def one_script(text: str) -> str:
 
 def latin_form(tape: Tape) -> Tape:
     """The tape with look-alike letters mapped to Latin ones and at- and dot-disguises undone: for mail addresses and codes."""
-    text = tape.text if tape.text.isascii() else tape.text.translate(_PROTOTYPES)
+    text = tape.text.translate(_PROTOTYPES) if not tape.text.isascii() and _ALIKE.search(tape.text) else tape.text
     tape = Tape(text, tape.start, tape.end)
     low = " ".join(text.lower().split())  # blanks of any kind, as in the patterns
     if "(" in text or "[" in text or "{" in text or "<" in text:
@@ -483,7 +484,7 @@ def find(source: str | None, lexicon: Lexicon = USUAL) -> list[tuple[int, int, s
                 spans.append((*tape.span(a, b), "ADDRESS"))
                 rest = rest[:a] + "§" * (b - a) + rest[b:]  # its digits are no other number's
         spans += [(*tape.span(a, b), kind) for a, b, kind in _numbers(rest)]
-    spans += [(*tape.span(a, b), "NAME") for a, b in names(plain, lexicon, introduced, deeds)]
+    spans += [(*tape.span(a, b), "NAME") for a, b in names(plain, lexicon, introduced, deeds, low)]
     rank = {"EMAIL": 0, "ADDRESS": 1, "ID_NUMBER": 2, "PHONE": 3, "NAME": 4}
     out: list[tuple[int, int, str]] = []
     for s in sorted(set(spans), key=lambda s: (rank[s[2]], s[0] - s[1])):
