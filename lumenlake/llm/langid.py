@@ -121,10 +121,14 @@ def normal(text: str) -> str:
     return _composed(skeleton(text) or "")
 
 
+_MARKS = re.compile(f"[{''.join(chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)))}]+")
+
+
 def _composed(text: str) -> str:
     """Accents composed with their letters; those that no letter can take are left out, as they would cut words."""
     text = unicodedata.normalize("NFC", text)
-    return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
+    return text if text.isascii() else _MARKS.sub("", text)
+
 
 
 def aligned(text: str) -> tuple[str, list[int]]:
@@ -177,13 +181,19 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
+        last, number = np.zeros(1 << BITS, np.int32), np.arange(4096, dtype=np.int32)
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             n += len(texts)
-            for at in range(0, len(texts), 32):
-                part = [" " + " ".join(normal(t).lower().split()) + " " for t in texts[at : at + 32]]
-                once = np.unique(np.concatenate([(o << BITS) | f for o, f in grams(part)]))  # each feature once for each text
-                total += np.bincount(once & ((1 << BITS) - 1), minlength=1 << BITS)
+            for at in range(0, len(texts), 64):
+                part = [" " + " ".join(normal(t).lower().split()) + " " for t in texts[at : at + 64]]
+                orders = [(f, np.searchsorted(o, np.arange(len(part) + 1)).tolist()) for o, f in grams(part)]
+                for i in range(len(part)):
+                    f = np.concatenate([x[ends[i] : ends[i + 1]] for x, ends in orders])
+                    if len(f) > len(number):
+                        number = np.arange(2 * len(f), dtype=np.int32)
+                    last[f] = number[: len(f)]
+                    total[f[last[f] == number[: len(f)]]] += 1  # each feature once for each text
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["feature", "n"])
 
