@@ -58,12 +58,10 @@ def label_code(label: Column) -> Column:
     text = F.lower(F.btrim(label, F.lit(" \t\r\n\u00a0\u3000")))
     base = F.regexp_replace(F.regexp_replace(text, r"\(.*\)$", ""), r"[-_][a-z0-9]{2,8}([-_.@].*)?$", "")
     base = F.trim(base)
-    known = F.create_map(*(F.lit(x) for code, names in LANGUAGES.items() for name in names for x in (name, code)))
-    return (
-        F.when(F.map_contains_key(known, text), F.element_at(known, text))  # most labels need no pattern
-        .when(text.isNull() | (text == "") | text.isin(*NO_LANGUAGE) | base.isin(*NO_LANGUAGE), None)
-        .when(F.map_contains_key(known, base), F.element_at(known, base))
-        .when(base.isin(*OTHER_NAMES) | base.rlike("^[a-z]{2,3}$"), base)
+    named = lambda c: F.coalesce(*(F.when(c.isin(*names), code) for code, names in LANGUAGES.items()))  # noqa: E731  sets, looked up by hash
+    return F.coalesce(
+        named(text),  # most labels need no pattern
+        F.when(text.isNull() | (text == "") | text.isin(*NO_LANGUAGE) | base.isin(*NO_LANGUAGE), None).otherwise(F.coalesce(named(base), F.when(base.isin(*OTHER_NAMES) | base.rlike("^[a-z]{2,3}$"), base))),
     )
 
 
