@@ -261,3 +261,25 @@ def fill_report(packed: DataFrame, packs: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(packs.select("pack_id", "capacity")), "pack_id").select(
         "pack_id", "n_containers", "n_pieces", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("fill_rate")
     )
+
+
+def checks(packed: DataFrame, packs: DataFrame, docs: DataFrame, count_tokens) -> DataFrame:
+    """``pack_id, n_documents, n_changed, n_overfull, n_overlaps``: what must be 0 of a right assignment, counted.
+
+    Changed are documents whose pieces do not add up to their tokens; overfull are containers above capacity; overlaps
+    are pieces that begin before the piece before them in the container ends.
+    """
+    settings = packs.select("pack_id", "tokenizer", "capacity").distinct().collect()
+    want = None
+    for row in settings:
+        sizes = count_tokens(docs, row.tokenizer).select(F.lit(row.pack_id).alias("pack_id"), "doc_id", "n_tokens")
+        want = sizes if want is None else want.unionByName(sizes)
+    got = packed.groupBy("pack_id", "doc_id").agg(F.sum("n_tokens").alias("packed"))
+    whole = want.join(got, ["pack_id", "doc_id"], "full").groupBy("pack_id").agg(F.count("*").alias("n_documents"), F.count_if(~F.col("packed").eqNullSafe(F.col("n_tokens").cast("long"))).alias("n_changed"))
+    bound = F.broadcast(packs.select("pack_id", "capacity"))  # a table of settings
+    w = Window.partitionBy("pack_id", "container_id").orderBy("offset")  # no more pieces than the capacity
+    placed = packed.where("container_id IS NOT NULL").withColumn("end", F.col("offset") + F.col("n_tokens")).withColumn("before", F.lag("end", 1, 0).over(w)).join(bound, "pack_id")
+    per = placed.groupBy("pack_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.max("end").alias("e"), F.max("capacity").alias("c"), F.count_if(F.col("before") > F.col("offset")).alias("o"))
+    bad = per.groupBy("pack_id").agg(F.count_if((F.col("t") > F.col("c")) | (F.col("e") > F.col("c"))).alias("n_overfull"), F.sum("o").alias("n_overlaps"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("int").alias(c)
+    return whole.join(bad, "pack_id", "left").select("pack_id", "n_documents", zero("n_changed"), zero("n_overfull"), zero("n_overlaps"))

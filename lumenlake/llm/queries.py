@@ -41,6 +41,12 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("doc_id", "n_tokens", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of what each document's ids decode to."""
+    ids = tokenizers.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), VOCABULARY)
+    return ids.select("doc_id", F.md5(tokenizers.decoded(F.col("ids"), VOCABULARY)).alias("text_hash"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "pack_capacities"), tokenizers.count_tokens)
 
@@ -53,6 +59,11 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), table(spark, d, "pack_capacities"))
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per pack: documents and how many of them lost or gained tokens, containers over capacity, pieces that overlap."""
+    return packing.checks(_packed(spark, d), table(spark, d, "pack_capacities"), table(spark, d, "documents").select("doc_id", "text"), tokenizers.count_tokens)
+
+
 def _captions(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "insta_content").select("id", F.col("caption").alias("text")).where("text IS NOT NULL AND id IS NOT NULL"))
 
@@ -75,6 +86,12 @@ def p6_captions(spark: SparkSession, d: str) -> DataFrame:
     return langid.text_languages(_segments(spark, d)).withColumnRenamed("id", "insta_content_id")
 
 
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with a caption that have a language or a row that says that there is none, and those with a confidence."""
+    rows = p6_captions(spark, d)
+    return rows.agg(F.count_distinct("insta_content_id").alias("n_posts"), F.count_distinct(F.when(F.col("confidence").between(0, 1), F.col("insta_content_id"))).alias("n_confident"))
+
+
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d, True).withColumnRenamed("id", "insta_content_id").distinct()
 
@@ -112,11 +129,16 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)
 
 
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per source in the report of rates."""
+    return toxicity.source_rates(_scored(spark, d)).select("source", "n_documents")
+
+
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(_scored(spark, d))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_consistent, p2_classes, p2_members, p5_found, p5_spans, p5_redacted, p6_found, p6_captions, p6_segments, p8_ids, p8_round_trip, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)
+    for f in (p2_found, p2_consistent, p2_classes, p2_members, p5_found, p5_spans, p5_redacted, p6_found, p6_captions, p6_coverage, p6_segments, p8_ids, p8_decoded, p8_round_trip, p9_pack, p9_checks, p9_fill, p10_found, p10_scores, p10_rates, p10_sources)
 }
