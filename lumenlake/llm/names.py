@@ -247,7 +247,7 @@ class _Reader:
         """No sign of a firm, a venue, a street, a handle or an address around the words ``i`` to ``j``."""
         a, b = self.words[i][1], self.words[j][2]
         before, behind = self.text[a - 1 : a], self.text[b : b + 1]
-        if before in ("@", "#", "&", "/", "_", ".") and before or behind and behind in "@_/" or self.text[b : b + 3].lstrip()[:1] in ("&", "+") or self.text[:a].rstrip()[-1:] in ("&", "+"):
+        if before in ("@", "#", "&", "/", "_", ".") and before or behind and behind in "@_/" or self.text[b : b + 3].lstrip()[:1] in ("&", "+") or self.text[max(0, a - 8) : a].rstrip()[-1:] in ("&", "+"):
             return False
         if behind == "." and self.text[b + 1 : b + 2].isalpha() and self.text[b + 1 : b + 2].islower():
             return False
@@ -258,7 +258,7 @@ class _Reader:
     def opened(self, i: int) -> bool:
         """Word ``i`` begins a sentence, follows a sign, or is introduced by a word that names persons."""
         a = self.words[i][1]
-        return bool(_OPEN.search(self.text[max(0, a - 4) : a])) or i == 0 and not self.text[:a].strip() or self.linked(i)
+        return bool(_OPEN.search(self.text[max(0, a - 4) : a])) or i == 0 and not self.text[: min(a, 80)].strip() or self.linked(i)
 
     def linked(self, i: int) -> bool:
         return bool(i) and self.low[i - 1] in _LINK and bool(re.match(r"[\s.:]{1,3}\Z", self.gap(i - 1)))
@@ -444,7 +444,7 @@ def _found(text: str, lexicon: Lexicon, initials: bool, introduced: list[int] |
             upper, case = m[1].isupper(), _case(m[2])
             opened = r.opened(first)
             fits = upper and case != "s" and (opened or lexicon.learned) or not upper and case == "s" and opened and len(m[2]) > 3 and (lexicon.learned or r.linked(first))
-            if fits and not text[: m.start()].rstrip()[-1:].isdigit():
+            if fits and not text[max(0, m.start() - 8) : m.start()].rstrip()[-1:].isdigit():
                 yield m.start(), r.words[r.longer(first, i)][2]
         for m in _LAST_INITIAL.finditer(text):
             i = at.get(m.start(1))
@@ -454,7 +454,8 @@ def _found(text: str, lexicon: Lexicon, initials: bool, introduced: list[int] |
         if m := _AFTER_INTRO.match(text, end):
             yield from _introduced(r, m.start(1), m.end(1), at, ends)
     for start in deeds:
-        j = ends.get(len(text[:start].rstrip()))
+        before = text[max(0, start - 8) : start]
+        j = ends.get(start - len(before) + len(before.rstrip()))
         i = None if j is None or not j else j - 1 if len(r.words[j - 1][0]) > 1 else j - 2
         if i is not None and i >= 0 and (r.surname(i) == j or re.match(r",[^\S\n]\Z", r.gap(i))) and r.unknown(i) and r.unknown(j) and r.alike(i, j) and r.opened(i) and r.clean(i, j):
             yield r.words[i][1], r.words[j][2]
@@ -475,7 +476,7 @@ def _found(text: str, lexicon: Lexicon, initials: bool, introduced: list[int] |
 
 def _inside(r: _Reader, i: int) -> bool:
     """Word ``i`` stands inside a sentence and not after a word for a place."""
-    before = r.text[: r.words[i][1]].rstrip()[-1:]
+    before = r.text[max(0, r.words[i][1] - 8) : r.words[i][1]].rstrip()[-1:]
     return (before.isalnum() or before in ",;:(") and r.low[i - 1] not in _PLACED and not (r.words[i - 1][0][0].isupper() and _BLANK.match(r.gap(i - 1)) and r.low[i - 1] not in STOP)
 
 
@@ -500,5 +501,5 @@ def _introduced(r: _Reader, a: int, b: int, at: dict[int, int], ends: dict[int,
 
 def _closed(r: _Reader, j: int) -> bool:
     """After word ``j`` the phrase ends, or a function word goes on."""
-    rest = r.text[r.words[j][2] :]
+    rest = r.text[r.words[j][2] : r.words[j][2] + 40]
     return not rest.strip() or not rest.lstrip()[0].isalnum() or j + 1 < len(r.words) and r.low[j + 1] in STOP

@@ -477,12 +477,17 @@ def find(source: str | None, lexicon: Lexicon = USUAL) -> list[tuple[int, int, s
     if "@" in latin.text:
         spans += [(*latin.span(*m.span()), "EMAIL") for m in _EMAIL.finditer(latin.text)]
     if _HAS_DIGIT.search(tape.text):
-        rest = tape.text
+        places = []
         for i, pattern in enumerate(_ADDRESSES):
             for m in pattern.finditer(tape.text) if f"address{i}" in possible else ():
-                a, b = m.start(), m.start() + len(m.group().rstrip(" ,"))
-                spans.append((*tape.span(a, b), "ADDRESS"))
-                rest = rest[:a] + "§" * (b - a) + rest[b:]  # its digits are no other number's
+                places.append((m.start(), m.start() + len(m.group().rstrip(" ,"))))
+        rest = tape.text
+        if places:
+            spans += [(*tape.span(a, b), "ADDRESS") for a, b in places]
+            letters = list(rest)
+            for a, b in places:
+                letters[a:b] = "§" * (b - a)  # its digits are no other number's
+            rest = "".join(letters)
         spans += [(*tape.span(a, b), kind) for a, b, kind in _numbers(rest)]
     spans += [(*tape.span(a, b), "NAME") for a, b in names(plain, lexicon, introduced, deeds, low)]
     rank = {"EMAIL": 0, "ADDRESS": 1, "ID_NUMBER": 2, "PHONE": 3, "NAME": 4}

@@ -175,3 +175,16 @@ def test_recall_and_precision_of_every_type():
 def test_spans_are_names_and_no_more():
     for text, name in [("Contact Maria Gomez for details", "Maria Gomez"), ("Happy birthday Emily Stone!", "Emily Stone"), ("Ich heiße Hans Müller", "Hans Müller"), ("私の名前は田中太郎です", "田中太郎")]:
         assert [text[a:b] for a, b, _ in P.find(text)] == [name]
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    part = "Thanks to Maria Gomez and Peter Novak of 12 Baker Street, call 020 7946 0991 or write to a@b.example; J. Smithson taught me this. "
+    seconds = []
+    for n in (500, 4000):
+        text, begun = part * n, time.time()
+        found = P.find(text)
+        seconds.append(time.time() - begun)
+        assert len(found) >= 5 * n
+    assert len(part * 4000) > 500_000 and seconds[1] < 20 * max(seconds[0], 0.05)
